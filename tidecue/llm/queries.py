@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from tidecue.llm.mixing import OP10_SQL, op10_mix_sources
 from tidecue.llm.quality import op7_quality_rules
+from tidecue.llm.secrets import op3_secret_scan
 from tidecue.llm.sharding import op5_kd_shards
+from tidecue.llm.simhash import op6_simhash_groups
+from tidecue.llm.tokens import op4_token_counts
 
 QUERIES = {
+    "op3_secret_scan": op3_secret_scan,
+    "op4_token_counts": op4_token_counts,
     "op5_kd_shards": op5_kd_shards,
+    "op6_simhash_groups": op6_simhash_groups,
     "op7_quality_rules": op7_quality_rules,
     "op10_mix_sources": op10_mix_sources,
 }
