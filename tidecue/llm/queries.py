@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidecue.llm.decontam import op1_decontaminate
 from tidecue.llm.mixing import OP10_SQL, op10_mix_sources
 from tidecue.llm.quality import op7_quality_rules
 from tidecue.llm.secrets import op3_secret_scan
@@ -10,6 +11,7 @@ from tidecue.llm.simhash import op6_simhash_groups
 from tidecue.llm.tokens import op4_token_counts
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op3_secret_scan": op3_secret_scan,
     "op4_token_counts": op4_token_counts,
     "op5_kd_shards": op5_kd_shards,
