@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidecue.llm.common import materialize, table
+from tidecue.llm.decontam import drop_leaks
 from tidecue.llm.mixing import mix_documents
 from tidecue.llm.quality import keep_good
 from tidecue.llm.sharding import shard
+from tidecue.llm.simhash import keep_one_of_each
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,6 +17,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, fingerprints that differ in two bits at most.
+
+    Five-word shingles are what stages on shingles take unless told otherwise; the group is named by its least doc_id.
+    """
+    return keep_one_of_each(docs, shingle=5)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no benchmark item."""
+    return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes the block of its first word."""
     return mix_documents(docs)
@@ -25,7 +40,13 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return shard(docs)
 
 
-STAGES = [("quality rules", quality), ("mixing", mixing), ("sharding", sharding)]
+STAGES = [
+    ("quality rules", quality),
+    ("simhash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources to target weights", mixing),
+    ("sharding", sharding),
+]
 
 #: The stages learn rules and search semantically, which SQL can't express; tests hold run() against brute force.
 ORACLE_SQL = None

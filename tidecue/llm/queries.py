@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidecue.llm.decontam import op1_decontaminate
 from tidecue.llm.html import op8_html_text
 from tidecue.llm.linededup import op2_line_dedup
+from tidecue.llm.lmscore import op9_lm_scores
 from tidecue.llm.mixing import OP10_SQL, op10_mix_sources
 from tidecue.llm.quality import op7_quality_rules
 from tidecue.llm.secrets import op3_secret_scan
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_simhash_groups": op6_simhash_groups,
     "op7_quality_rules": op7_quality_rules,
     "op8_html_text": op8_html_text,
+    "op9_lm_scores": op9_lm_scores,
     "op10_mix_sources": op10_mix_sources,
 }
 
