@@ -18,11 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, fingerprints that differ in two bits at most.
-
-    Five-word shingles are what stages on shingles take unless told otherwise; the group is named by its least doc_id.
-    """
-    return keep_one_of_each(docs, shingle=5)
+    """One document of each group: fingerprints and links are those of the operator's contract (3 words, 2 bits)."""
+    return keep_one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

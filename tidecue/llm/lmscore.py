@@ -5,9 +5,10 @@ fall into classes by shape (letters beyond ASCII, a mark at the end, length). P(
 indicator features: the last word, the last two as one, and skips to the second and third last. P(word | class) is the
 smoothed share of the word in its class, with one more slot for words that training never saw.
 
-Text is read once and kept as numbered chunks: whole documents as local word ids, and the local words with their counts.
-Counts of all words are one aggregation over the chunks' words and come back by one join, a row for each word of a chunk,
-not for each token, so no vocabulary is ever sent around whole. Weights (a parameter's size, whatever the corpus) are
+Text is read once and kept as numbered chunks: whole documents as local word ids, and the local words' 64-bit hashes, shapes
+and counts. A word is its hash from there on (two words that share one would count together; five million words have
+one such pair with a chance of about 1 in a million). Counts of all words are summed where the hashes meet, a row for each word of
+a chunk, not for each token, and go back to their chunks packed, so no vocabulary is ever sent around whole. Weights (a parameter's size, whatever the corpus) are
 trained by rounds of gradient descent over each task's own chunks; the weights of a round's tasks are
 averaged by the tokens they saw, in slices, and go on to the next round. All training documents are seen once.
 """
@@ -19,8 +20,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidecue.llm.common import materialize, table, text_or_empty
@@ -36,16 +38,24 @@ BATCH = 8192
 RATE = 0.1
 SLICES = 16
 #: The end of a text as a word; no word holds white space.
-END = "\n"
+END = b"\n"
+_MARKS = b".,;:!?"
+#: A word's place: its chunk, its number there, its shape.
+_I_BITS, _K_BITS, _SEQ_BITS = 24, 3, 12
 #: Odd multipliers for the four features; fixed.
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _ROWS = (1 << BUCKET_BITS) + 1  # the last one is the bias
 
 
+def shape(word: bytes) -> int:
+    """One of eight: letters beyond ASCII, a mark at the end, over six bytes."""
+    return 4 * (not word.isascii()) + 2 * (word[-1] in _MARKS) + (len(word) > 6)
+
+
 def encoded(docs: DataFrame) -> DataFrame:
-    """Chunks of whole documents: ids of rows, tokens of each, local word ids, words and their counts in training rows."""
+    """Chunks of whole documents: ids of rows, tokens of each, local word ids; hash, shape and training count of each word."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"chunk long, doc_ids array<{kind}>, held array<boolean>, lengths array<int>, ids binary, words array<string>, counts array<int>"
+    schema = f"chunk long, doc_ids array<{kind}>, held array<boolean>, lengths array<int>, ids binary, hashes binary, shapes binary, counts binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
@@ -53,20 +63,20 @@ def encoded(docs: DataFrame) -> DataFrame:
 
         def done() -> pa.RecordBatch:
             flat = np.concatenate(ids)
-            training = np.repeat(~np.array(held), lengths)
-            counts = np.bincount(flat[training], minlength=len(number)).astype(np.int32)
-            words = [w.decode("utf-8", "replace") for w in number]
-            row = [[(part << 24) + seq], [pa.array(doc_ids, doc_type)], [held], [lengths], [flat.astype(np.int32).tobytes()], [words], [counts]]
-            types = [pa.int64(), pa.list_(doc_type), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32())]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], names=["chunk", "doc_ids", "held", "lengths", "ids", "words", "counts"])
+            counts = np.bincount(flat[np.repeat(~np.array(held), lengths)], minlength=len(number)).astype(np.int32)
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number))
+            shapes = np.fromiter(map(shape, number), np.int8, len(number))
+            row = [[(part << _SEQ_BITS) + seq], [pa.array(doc_ids, doc_type)], [held], [lengths], *([x.tobytes()] for x in (flat, hashes, shapes, counts))]
+            types = [pa.int64(), pa.list_(doc_type), pa.list_(pa.bool_()), pa.list_(pa.int32()), *[pa.binary()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], names=["chunk", "doc_ids", "held", "lengths", "ids", "hashes", "shapes", "counts"])
 
         for batch in batches:
             doc_type = batch.schema.field(0).type
             for doc_id, name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 text = text.as_py()
                 words = text.encode("utf-8", "surrogatepass").lower().split()
-                words.append(END.encode())
-                ids.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)))
+                words.append(END)
+                ids.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
                 doc_ids.append(doc_id)
                 held.append(zlib.crc32((name or "").encode()) % FOLDS == HELD_OUT)
                 lengths.append(len(words))
@@ -81,11 +91,43 @@ def encoded(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("doc_id").cast("string").alias("name"), text_or_empty().alias("text")).mapInArrow(run, schema)
 
 
-def word_class(heads: list[str]):
-    """The class of column word: its place among the frequent words, or else its shape."""
-    shape = (F.octet_length("word") > F.char_length("word")).cast("int") * 4 + F.col("word").rlike(r"[.,;:!?]$").cast("int") * 2 + (F.char_length("word") > 6).cast("int")
-    place = F.array_position(F.array(*map(F.lit, heads)).cast("array<string>"), F.col("word"))
-    return F.when(place > 0, place - 1).otherwise(HEADS + shape).cast("int")
+def word_rows(chunks: DataFrame) -> DataFrame:
+    """hash, place and training count of each word of each chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, hashes, shapes, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                h, k, n = np.frombuffer(hashes, np.int64), np.frombuffer(shapes, np.int8).astype(np.int64), np.frombuffer(counts, np.int32)
+                at = (((chunk << _I_BITS) + np.arange(len(h), dtype=np.int64)) << _K_BITS) + k
+                for i in range(0, len(h), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in (h, at, n)], names=["h", "at", "n"])
+
+    return chunks.select("chunk", "hashes", "shapes", "counts").mapInArrow(run, "h long, at long, n int")
+
+
+def packed(counted: DataFrame) -> DataFrame:
+    """The counts of all training rows, for each chunk in the order of its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, parts = None, []
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([np.concatenate(parts).tobytes()], pa.binary())], names=["chunk", "c"])
+
+        for batch in batches:
+            of, c = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else []
+            for lo, hi in zip(starts, [*starts[1:], len(of)], strict=True):
+                if parts and of[lo] != chunk:
+                    yield done()
+                    parts = []
+                chunk = int(of[lo])
+                parts.append(c[lo:hi])
+        if parts:
+            yield done()
+
+    placed = counted.select(F.shiftright("at", _I_BITS + _K_BITS).alias("chunk"), "at", "c")
+    return placed.repartition("chunk").sortWithinPartitions("chunk", "at").mapInArrow(run, "chunk long, c binary")
 
 
 def _tokens(ids: bytes, lengths: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,24 +164,38 @@ def train(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, classes: n
         weights[touched] -= RATE * step / np.sqrt(squares[touched] + 1e-6)
 
 
-def _stats(value: pa.Scalar) -> dict[str, np.ndarray]:
-    x = value.values
-    order = np.argsort(x.field("i").to_numpy())
-    return {k: x.field(k).to_numpy()[order] for k in ("c", "k", "h")}
+def _classes(hashes: np.ndarray, shapes: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """The class of each word: its place among the frequent words, or else its shape."""
+    out = HEADS + shapes.astype(np.int64)
+    if len(heads):
+        order = np.argsort(heads)
+        at = np.searchsorted(heads[order], hashes).clip(max=len(heads) - 1)
+        hit = heads[order][at] == hashes
+        out[hit] = order[at[hit]]
+    return out
+
+
+def _opened(batch: pa.RecordBatch, heads: np.ndarray) -> Iterator[tuple]:
+    """doc_ids, held, lengths, counts by word, class by word, word of each token, features of each token."""
+    for doc_ids, held, lengths, ids, hashes, shapes, c in zip(*(batch.column(i) for i in range(7)), strict=True):
+        h, n = np.frombuffer(hashes.as_py(), np.int64), lengths.values.to_numpy()
+        flat, rows = _tokens(ids.as_py(), n, h.view(np.uint64))
+        yield doc_ids.values, np.array(held.as_py(), bool), n, np.frombuffer(c.as_py(), np.int64), _classes(h, np.frombuffer(shapes.as_py(), np.int8), heads), flat, rows
+
+
+_READY = ("doc_ids", "held", "lengths", "ids", "hashes", "shapes", "c")
 
 
-def _round(chunks: DataFrame, weights: np.ndarray) -> np.ndarray:
+def _round(chunks: DataFrame, weights: np.ndarray, heads: np.ndarray) -> np.ndarray:
     """The weights after every task has gone over its chunks, averaged by tokens."""
     sent = chunks.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, squares, seen = sent.value.copy(), np.zeros_like(sent.value), 0
         for batch in batches:
-            for held, lengths, ids, stats in zip(*(batch.column(i) for i in range(4)), strict=True):
-                s, n = _stats(stats), lengths.values.to_numpy()
-                flat, rows = _tokens(ids.as_py(), n, s["h"].view(np.uint64))
-                used = np.repeat(~np.array(held.as_py()), n)
-                train(own, squares, rows[used], s["k"][flat[used]])
+            for _, held, n, _, classes, flat, rows in _opened(batch, heads):
+                used = np.repeat(~held, n)
+                train(own, squares, rows[used], classes[flat[used]])
                 seen += int(used.sum())
         if seen:
             parts = np.array_split(own, SLICES)
@@ -154,7 +210,7 @@ def _round(chunks: DataFrame, weights: np.ndarray) -> np.ndarray:
                 sums[1] = sums[1] + n * np.frombuffer(w, np.float32).astype(np.float64)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([(w / n).astype(np.float32).tobytes() for n, w in total.values()], pa.binary())], names=["slice", "w"])
 
-    done = chunks.select("held", "lengths", "ids", "stats").mapInArrow(run, "slice int, n double, w binary").repartition(SLICES, "slice").mapInArrow(average, "slice int, w binary")
+    done = chunks.select(*_READY).mapInArrow(run, "slice int, n double, w binary").repartition(SLICES, "slice").mapInArrow(average, "slice int, w binary")
     got = {r.slice: np.frombuffer(bytes(r.w), np.float32) for r in done.collect()}
     return np.concatenate([got[k] for k in range(SLICES)]).reshape(weights.shape) if got else weights
 
@@ -163,51 +219,45 @@ def score(docs: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``.
 
     A null or empty text is the end token alone; a null doc_id counts as an empty name, which is training. Repeated rows
-    each train and are each scored. Without any training row nothing is known and the scores are those of
+    each train and are each scored; a word is what stands between ASCII white space. Without any training row nothing is known and the scores are those of
     one unknown slot. An empty table gives no rows. Texts are scored whole.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     chunks = materialize(encoded(docs), "lm-chunks")
-    words = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("i", "x")).select("chunk", "i", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    counts = materialize(words.filter("n > 0").groupBy("word").agg(F.sum("n").cast("long").alias("c")), "lm-counts")
-    heads = [r.word for r in counts.orderBy(F.col("c").desc(), "word").limit(HEADS).collect()]
-    known = counts.withColumn("k", word_class(heads))
+    word = Window.partitionBy("h")
+    counted = word_rows(chunks).withColumn("c", F.sum("n").over(word)).withColumn("nth", F.row_number().over(word.orderBy("at")))
+    counted = materialize(counted.select("at", F.col("c").cast("long").alias("c"), F.when((F.col("nth") == 1) & (F.col("c") > 0), F.col("h")).alias("word")), "lm-counts")
+    words = counted.filter("word is not null")
+    heads = np.array([r.word for r in words.orderBy(F.col("c").desc(), "word").limit(HEADS).collect()], np.int64)
+    place = F.array_position(F.array(*map(F.lit, heads.tolist())).cast("array<long>"), F.col("word"))
+    of_class = F.when(place > 0, place - 1).otherwise(HEADS + F.col("at").bitwiseAND(F.lit(SHAPES - 1))).cast("int")
     n_class, v_class = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in known.groupBy("k").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
+    for r in words.groupBy(of_class.alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
         n_class[r.k], v_class[r.k] = r.n, r.v
     n_all, v_all = int(n_class.sum()), int(v_class.sum())
-    stats = (
-        words.select("chunk", "i", "word")
-        .join(counts, "word", "left")
-        .select("chunk", F.struct("i", F.coalesce("c", F.lit(0)).alias("c"), word_class(heads).alias("k"), F.xxhash64("word").alias("h")).alias("s"))
-        .groupBy("chunk")
-        .agg(F.collect_list("s").alias("stats"))
-    )
-    ready = materialize(chunks.drop("words", "counts").join(stats, "chunk"), "lm-ready")
+    ready = materialize(chunks.drop("counts").join(packed(counted), "chunk"), "lm-ready")
     weights = np.zeros((_ROWS, CLASSES), np.float32)
     weights[-1] = np.log((n_class + 0.5) / (n_class + 0.5).sum())
     for k in range(rounds):
-        weights = _round(ready.filter(F.pmod(F.xxhash64("chunk"), F.lit(rounds)) == k), weights)
+        weights = _round(ready.filter(F.pmod(F.xxhash64("chunk"), F.lit(rounds)) == k), weights, heads)
     sent = docs.sparkSession.sparkContext.broadcast(weights)
     in_class, base = np.log10(n_class + 0.5 * (v_class + 1)), float(np.log10(n_all + 0.5 * (v_all + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            for doc_ids, held, lengths, ids, stats in zip(*(batch.column(i) for i in range(5)), strict=True):
-                s, n = _stats(stats), lengths.values.to_numpy()
-                flat, rows = _tokens(ids.as_py(), n, s["h"].view(np.uint64))
-                of_word, classes = np.log10(s["c"] + 0.5), s["k"][flat]
+            for doc_ids, held, n, c, k, flat, rows in _opened(batch, heads):
+                of_word, classes = np.log10(c + 0.5), k[flat]
                 by_token = of_word[flat] - in_class[classes]
                 for at in range(0, len(flat), 8 * BATCH):
                     part = slice(at, at + 8 * BATCH)
                     by_token[part] += log_probs(own, rows[part])[np.arange(len(classes[part])), classes[part]] / np.log(10)
                 starts = np.cumsum(n) - n
                 total = lambda x: np.add.reduceat(x, starts)  # noqa: B023, E731
-                columns = [doc_ids.values, pa.array(held.as_py(), pa.bool_()), pa.array(n.astype(np.int64)), pa.array(total((s["c"] > 0)[flat].astype(np.int64))), pa.array(np.full(len(n), n_all, np.int64)), pa.array(total(of_word[flat]) - n * base), pa.array(total(by_token))]
+                columns = [doc_ids, pa.array(held), pa.array(n.astype(np.int64)), pa.array(total((c > 0)[flat].astype(np.int64))), pa.array(np.full(len(n), n_all, np.int64)), pa.array(total(of_word[flat]) - n * base), pa.array(total(by_token))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return ready.select("doc_ids", "held", "lengths", "ids", "stats").mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return ready.select(*_READY).mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
