@@ -2,5 +2,119 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidecue.functions import qa, text, timecode
+from tidecue.operators import captions
+from tidecue.sources import cues as sources
+
+
+def _cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.from_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.from_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line and the next one of its document stand for a source and its translation."""
+    after = F.lead("source").over(Window.partitionBy("video_id").orderBy("cue_index"))
+    return _cues(spark, sf_dir).select("video_id", "cue_index", "source", F.coalesce(after, F.lit("")).alias("translation"))
+
+
+def _rule(test) -> object:
+    return lambda spark, sf_dir: _pairs(spark, sf_dir).filter(test(F.col("source"), F.col("translation"))).select("video_id", "cue_index")
+
+
+def chapter_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _cues(spark, sf_dir)
+    chapters = own.groupBy("video_id").agg(F.max("end_ms").alias("n")).select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / 20000).cast("long"))).alias("window_id"))
+    chapters = chapters.withColumn("window_start", F.col("window_id") * 20000).withColumn("window_end", F.col("window_start") + 20000)
+    return captions.overlap_join(own, chapters, 20000).select("video_id", "cue_index", "window_id")
+
+
+def bilingual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _pairs(spark, sf_dir).filter("translation <> ''").select("video_id", "cue_index", "translation")
+    return captions.render_srt(_cues(spark, sf_dir).join(pairs, ["video_id", "cue_index"]), F.concat("translation", F.lit("\n"), "source"))
+
+
+def positional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _turns(spark, sf_dir)
+    rank = F.row_number().over(Window.partitionBy("video_id").orderBy("cue_index")).cast("long")
+    side = lambda role, name: turns.filter(F.col("role") == role).select("video_id", rank.alias("pos"), F.col("source").alias(name))
+    return side("user", "english").join(side("assistant", "other"), ["video_id", "pos"])
+
+
+def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = captions.render_srt(_cues(spark, sf_dir), F.trim("source")).withColumnRenamed("srt", "content")
+    return sources.parse_srt(files).select("video_id", "cue_index", "source", "start_ms", "end_ms")
+
+
+QUERIES = {
+    "crop_rebase": lambda s, d: captions.crop(_cues(s, d), 5000, 20000).withColumns({"start": timecode.format_ms(F.col("start_ms")), "end": timecode.format_ms(F.col("end_ms"))}),
+    "window_boundary_flags": lambda s, d: captions.window_flags(_cues(s, d), 6000, 15000, 2000, 2000),
+    "chapter_overlap_join": chapter_join,
+    "batch_assign": lambda s, d: captions.batches(_turns(s, d), 3).select("video_id", "cue_index", "batch_id"),
+    "batch_contexts": lambda s, d: captions.batch_contexts(_turns(s, d), 3, 2, 2),
+    "context_samples": lambda s, d: captions.samples(_cues(s, d)),
+    "positional_merge": positional,
+    "srt_render": lambda s, d: captions.render_srt(_cues(s, d), F.col("source")),
+    "bilingual_render": bilingual,
+    "transcript": lambda s, d: captions.transcript(_cues(s, d)),
+    "tokens_proportional": lambda s, d: captions.tokens(_cues(s, d)),
+    "rolling_trim": lambda s, d: captions.trimmed(_turns(s, d)),
+    "srt_round_trip": round_trip,
+    "qa_empty": _rule(lambda a, b: qa.empty(b)),
+    "qa_url": _rule(lambda a, b: qa.differ(a, b, qa.URL)),
+    "qa_numeric": _rule(lambda a, b: F.array_sort(F.regexp_extract_all(a, F.lit(qa.NUMBER), 0)) != F.array_sort(F.regexp_extract_all(b, F.lit(qa.NUMBER), 0))),
+    "qa_tag_count": _rule(qa.tags_differ),
+    "qa_bracket": _rule(qa.brackets_differ),
+    "qa_short": _rule(qa.too_short),
+    "qa_long": _rule(qa.too_long),
+    "timecode_format": lambda s, d: s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", timecode.format_ms(F.col("o_orderkey") * 977).alias("t"), timecode.duration_display(F.col("o_orderkey") * 7).alias("shown"), timecode.parse_ms(timecode.format_ms(F.col("o_orderkey") * 977)).alias("back")),
+    "html_tag_strip": lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", F.sha2(text.without_tags(F.col("html")), 256).alias("stripped")),
+    "source_hash": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("hash")),
+}
+
+_T = "printf('%02d:%02d:%02d,%03d', ({0}) // 3600000, ({0}) // 60000 % 60, ({0}) // 1000 % 60, ({0}) % 1000)"
+_CUES = r"""WITH l AS (SELECT doc_id AS video_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS x FROM documents),
+c0 AS (SELECT video_id, unnest(x) AS source, generate_subscripts(x, 1)::BIGINT AS cue_index FROM l),
+c AS (SELECT video_id, cue_index, source, (cue_index - 1) * 2500 AS start_ms, (cue_index - 1) * 2500 + 2000 + length(source) % 1000 AS end_ms FROM c0) """
+_TURNS = """WITH c AS (SELECT conv_id AS video_id, (turn + 1)::BIGINT AS cue_index, role, text AS source FROM conversations) """
+_PAIRS = _CUES + ", p AS (SELECT *, coalesce(lead(source) OVER (PARTITION BY video_id ORDER BY cue_index), '') AS translation FROM c) "
+_BAG = "list_sort(regexp_extract_all({}, '{}'))"
+_GATE = r"(NOT regexp_full_match(source, '\s*https?://\S+\s*') AND len(regexp_extract_all(source, '\pL')) >= 12 AND len(regexp_extract_all(source, '[A-Za-z]+')) >= 10)"
+_STRIP = r"regexp_replace(translation, '^\s+|\s+$', '', 'g')"
+_N = "(length({0}) - length(replace({0}, '{1}', '')) + length({0}) - length(replace({0}, '{2}', '')))"
+_NUMBERS = r"\pN+(?:\.\pN+)?".replace("pN", "p{Nd}")
+
+
+def _where(test: str) -> str:
+    return _PAIRS + "SELECT video_id, cue_index FROM p WHERE " + test
+
+
+ORACLE_SQL = {
+    "crop_rebase": _CUES + f", k AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY cue_index) AS cue_index, source, greatest(start_ms, 5000) - 5000 AS start_ms, least(end_ms, 20000) - 5000 AS end_ms FROM c WHERE end_ms > 5000 AND start_ms < 20000) SELECT *, {_T.format('start_ms')} AS start, {_T.format('end_ms')} AS end FROM k",
+    "window_boundary_flags": _CUES + "SELECT video_id, cue_index, end_ms > 6000 AND start_ms < 15000 AS intersects_clip, NOT (end_ms > 6000 AND start_ms < 15000) AS is_padding_only, start_ms < 6000 AND end_ms > 6000 AS crosses_clip_start, start_ms < 15000 AND end_ms > 15000 AS crosses_clip_end FROM c WHERE end_ms > 4000 AND start_ms < 17000",
+    "chapter_overlap_join": _CUES + ", w AS (SELECT video_id, unnest(range(0, (max(end_ms) - 1) // 20000 + 1)) AS window_id FROM c GROUP BY video_id) SELECT c.video_id, cue_index, window_id FROM c JOIN w ON c.video_id = w.video_id AND end_ms > window_id * 20000 AND start_ms < window_id * 20000 + 20000",
+    "batch_assign": _TURNS + "SELECT video_id, cue_index, (cue_index - 1) // 3 + 1 AS batch_id FROM c",
+    "batch_contexts": _TURNS + ", b AS (SELECT DISTINCT video_id, (cue_index - 1) // 3 + 1 AS batch_id FROM c) SELECT b.video_id, batch_id, coalesce(string_agg(cue_index::VARCHAR, ',' ORDER BY cue_index) FILTER (cue_index BETWEEN batch_id * 3 - 4 AND batch_id * 3 - 3), '') AS context_before, string_agg(cue_index::VARCHAR, ',' ORDER BY cue_index) FILTER (cue_index BETWEEN batch_id * 3 - 2 AND batch_id * 3) AS target, coalesce(string_agg(cue_index::VARCHAR, ',' ORDER BY cue_index) FILTER (cue_index BETWEEN batch_id * 3 + 1 AND batch_id * 3 + 2), '') AS context_after FROM b JOIN c ON b.video_id = c.video_id GROUP BY b.video_id, batch_id",
+    "context_samples": _CUES + ", n AS (SELECT *, count(*) OVER (PARTITION BY video_id) AS n FROM c) SELECT video_id, cue_index, 'front' AS section FROM n WHERE cue_index <= 5 UNION ALL SELECT video_id, cue_index, 'middle' FROM n WHERE cue_index > greatest((n - 5) // 2, 0) AND cue_index <= greatest((n - 5) // 2, 0) + 5 UNION ALL SELECT video_id, cue_index, 'tail' FROM n WHERE cue_index > n - 5",
+    "positional_merge": _TURNS + ", u AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY cue_index) AS pos, source AS english FROM c WHERE role = 'user'), a AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY cue_index) AS pos, source AS other FROM c WHERE role = 'assistant') SELECT * FROM u JOIN a USING (video_id, pos)",
+    "srt_render": _CUES + f"SELECT video_id, string_agg(cue_index::VARCHAR || chr(10) || {_T.format('start_ms')} || ' --> ' || {_T.format('end_ms')} || chr(10) || source || chr(10) || chr(10), '' ORDER BY cue_index) AS srt FROM c GROUP BY video_id",
+    "bilingual_render": _PAIRS + f"SELECT video_id, string_agg(cue_index::VARCHAR || chr(10) || {_T.format('start_ms')} || ' --> ' || {_T.format('end_ms')} || chr(10) || translation || chr(10) || source || chr(10) || chr(10), '' ORDER BY cue_index) AS srt FROM p WHERE translation <> '' GROUP BY video_id",
+    "transcript": _CUES + f"SELECT video_id, string_agg('[' || {_T.format('start_ms')} || '] ' || source, chr(10) ORDER BY cue_index) AS transcript, arg_max(end_ms, cue_index) AS duration_ms, count(*) AS n_cues, greatest(1, arg_max(end_ms, cue_index) // 180000) AS estimated_chapters FROM c GROUP BY video_id",
+    "srt_round_trip": _CUES + "SELECT video_id, cue_index, trim(source) AS source, start_ms, end_ms FROM c",
+    "qa_empty": _where(f"{_STRIP} = ''"),
+    "qa_url": _where(f"len(regexp_extract_all(source, 'https?://[^\\s<>\"'']+')) > 0 AND {_BAG.format('source', qa.URL.replace(chr(39), chr(39) * 2))} <> {_BAG.format(_STRIP, qa.URL.replace(chr(39), chr(39) * 2))}"),
+    "qa_numeric": _where(f"{_BAG.format('source', _NUMBERS)} <> {_BAG.format('translation', _NUMBERS)}"),
+    "qa_tag_count": _where(f"len(regexp_extract_all(source, '<[^>]+>')) <> len(regexp_extract_all({_STRIP}, '<[^>]+>'))"),
+    "qa_bracket": _where(" OR ".join(f"({_N.format('source', *x)} > 0 AND abs({_N.format('source', *x)} - {_N.format(_STRIP, *x)}) >= 2)" for x in qa.BRACKETS)),
+    "qa_short": _where(f"{_GATE} AND length({_STRIP}) < greatest(8.0, length(source) * 0.18)"),
+    "qa_long": _where(f"{_GATE} AND length({_STRIP}) > greatest(80.0, length(source) * 3.5)"),
+    "timecode_format": f"SELECT o_orderkey, {_T.format('o_orderkey * 977')} AS t, CASE WHEN o_orderkey * 7 >= 3600 THEN printf('%d:%02d:%02d', o_orderkey * 7 // 3600, o_orderkey * 7 // 60 % 60, o_orderkey * 7 % 60) ELSE printf('%02d:%02d', o_orderkey * 7 // 60, o_orderkey * 7 % 60) END AS shown, (o_orderkey * 977)::BIGINT AS back FROM orders",
+    "html_tag_strip": "SELECT page_id, sha256(regexp_replace(html, '<[^>]+>', ' ', 'g')) AS stripped FROM pages",
+    "source_hash": "SELECT doc_id, sha256(text) AS hash FROM documents",
+}
