@@ -1,0 +1,198 @@
+"""Each operator against brute force on small rows, with nulls, empty and long texts, ties, repeats and clashing columns."""
+
+import base64
+import collections
+import json
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+
+from tidecue.llm import components, decontam, html, linededup, lmscore, mixing, quality, secrets, sharding, simhash, tokens
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def rows(df):
+    return [r.asDict() for r in df.collect()]
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in rows(df)}
+
+
+def test_secret_spans():
+    jwt = ".".join(base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=") for x in ({"alg": "HS256"}, {"sub": "1"})) + ".c2lnbmF0dXJl"
+    key = b"\x30\x2e\x02\x01\x00\x30\x05\x06\x03\x2b\x65\x70\x04\x22" + b"\x04\x20" + bytes(range(32))
+    text = f'é Token = "abcdefghijkl" x {jwt} y {base64.b64encode(key).decode()} AKIA' + "A" * 14 + " 0123456789abcdef token=short"
+    n_assign, n_access, n_hex, base, spans = secrets.scan_text(text)
+    assert (n_assign, n_access, n_hex) == (1, 1, 1)
+    assert base.startswith("assign:2:23") and "jwt:" in spans and "key:" in spans and set(base.split(",")) <= set(spans.split(","))
+    assert not secrets._is_der_key(key[:-1]) and not secrets.confirmed_spans("eyJhbGci.eyJz.c2ln " + "word" * 20)
+
+
+def test_secret_rows(docs, none):
+    assert len(rows(secrets.scan(docs))) == docs.count() and not rows(secrets.scan(none))
+
+
+def test_token_counts_match_the_library(docs, none):
+    import sentencepiece
+
+    model = tokens.model_bytes()
+    library, own = sentencepiece.SentencePieceProcessor(model_proto=model), tokens.Transducer(model)
+    pick, alphabet = random.Random(3), [*" ab\nteh▁éü梦😀\x00.012<s>Ａ", "▁the", "  ", "ing", "tion"]
+    for _ in range(400):
+        text = "".join(pick.choice(alphabet) for _ in range(pick.randrange(60)))
+        assert own.count(text) == own.count(text, chunk=3) == len(library.encode(text)), text
+    got = rows(tokens.count_tokens(docs, model))
+    assert sorted(r["n_tokens"] for r in got) == sorted(len(library.encode(r["text"] or "")) for r in rows(docs))
+    assert not rows(tokens.count_tokens(none, model))
+
+
+def test_fingerprints_and_groups(docs, none):
+    def brute(text):
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        s = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+        h = [xxhash.xxh64_intdigest(x, seed=42) for x in s]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    got = rows(simhash.near_groups(docs))
+    assert len(got) == docs.count()
+    want = {r["doc_id"]: brute(r["text"] or "") for r in rows(docs)}
+    assert all(r["fingerprint"] == f"{want[r['doc_id']]:016x}" for r in got)
+    ids = [r["component_id"] for r in got if r["doc_id"] in (24, 25, 26)]
+    assert ids == [24] * 3 and {r["doc_id"]: r["component_id"] for r in got}[29] in (10, 28)
+    assert not rows(simhash.near_groups(none))
+    kept = rows(simhash.keep_one_of_each(docs))
+    assert sum(r["doc_id"] == 3 for r in kept) == 1 and {24, 25, 26} & {r["doc_id"] for r in kept} == {24}
+
+
+@pytest.mark.parametrize("budget", [0, 1, 2, 3])
+def test_trie_finds_every_link(budget):
+    draw = np.random.default_rng(budget)
+    keys = np.unique(np.r_[draw.integers(0, 1 << 16, 400), 1 << np.arange(16)].astype(np.uint64))
+    got = {(int(a), int(b)) for i, j in simhash.trie_links(keys, 16, budget) for a, b in zip(i, j, strict=True)}
+    assert got == {(i, j) for i in range(len(keys)) for j in range(i + 1, len(keys)) if (int(keys[i]) ^ int(keys[j])).bit_count() <= budget}
+
+
+def test_components_of_chains(spark):
+    edges = [(i, i + 1) for i in range(20)] + [(50, 40), (50, 45)]
+    got = {r["u"]: r["root"] for r in rows(components.components(spark.createDataFrame(edges, "u long, v long")))}
+    assert got == {i: 0 for i in range(1, 21)} | {45: 40, 50: 40}
+
+
+def test_quality(spark, docs, none):
+    bad = [(100 + i, "### " * 70 + " ".join(f"w{i * j}" for j in range(60)), "x") for i in range(12)]
+    every = docs.select("doc_id", "text", "source").union(spark.createDataFrame(bad, "doc_id long, text string, source string"))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(24)] + [(100 + i, 0, 0) for i in range(12)] + [(None, 1, 0), (5, None, 1)], "doc_id long, quality int, toxic int")
+    got = by_id(quality.judge(every, labels))
+    for r in rows(docs):
+        w = WORD.findall(r["text"] or "")
+        windows = collections.Counter(zip(w, w[1:], w[2:]))
+        held = {i + k for i in range(len(w) - 2) for k in range(3) if windows[tuple(w[i : i + 3])] > 1}
+        g = got[r["doc_id"]]
+        assert (g["n_words"], g["word_chars"], g["n_repeat_words"]) == (len(w), sum(map(len, w)), len(held))
+        assert g["base_failed"] == (len(w) < 50 or 100 * len(held) > 50 * len(w)) and (not g["base_failed"] or not g["kept"])
+    rules = quality.fit(every, labels)
+    assert rules and all(r.precision >= quality.MIN_PRECISION for r in rules)
+    assert not any(got[100 + i]["kept"] for i in range(12)) and got[1]["kept"]
+    assert not rows(quality.judge(none, labels)) and quality.keep_good(docs, labels.limit(0)).columns == docs.columns
+
+
+def test_mix(docs, none):
+    done = mixing.mix(docs, n_blocks=64)
+    got = rows(done.documents)
+    assert len(got) == docs.count() and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+    sizes = sum(len(WORD.findall(r["text"] or "")) for r in rows(docs))
+    assert sum(r["size"] for r in got) == sizes and got[0].keys() >= {"target", "source_size"}
+    by_source = rows(done.sources)
+    assert math.isclose(sum(r["target"] for r in by_source), 1.5 * sizes)
+    for s in by_source:
+        taken = sum(r["taken"] for r in got if r["source"] == s["source"])
+        assert abs(taken - s["target"]) <= 2 * math.ceil(sizes / 64) and s["target"] <= 2 * s["source_size"] + 1e-6
+    assert sorted(map(str, rows(mixing.mix(docs, n_blocks=64).documents))) == sorted(map(str, got))
+    assert not rows(mixing.mix(none).documents) and mixing.mix_documents(docs).columns == docs.columns
+
+
+def test_shards(docs, none):
+    got = rows(sharding.shard(docs, n_shards=4))
+    assert len(got) == docs.count() and {r["law"] for r in got} == {"bytes"}
+    for k in {r["shard"] for r in got}:
+        assert sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sum(r["shard"] == k for r in got)))
+    text = {r["doc_id"]: (r["text"] or "").encode() for r in rows(docs)}
+    assert all((r["size"], r["text_crc32"]) == (len(text[r["doc_id"]]) + 1, zlib.crc32(text[r["doc_id"]])) for r in got)
+    assert not rows(sharding.shard(none))
+
+
+def test_shards_are_near_equal(spark):
+    many = spark.range(3000).selectExpr("id as doc_id", "repeat(concat('w', cast(id % 700 as string), ' '), cast(20 + id % 50 as int)) as text")
+    sums = collections.Counter()
+    for r in rows(sharding.shard(many)):
+        sums[r["shard"]] += r["size"]
+    assert len(sums) == 16 and max(sums.values()) < 1.03 * min(sums.values())
+
+
+def test_leaks(spark, docs, none):
+    item = "Which amber lanterns drift beyond harbour walls while seventeen patient sailors count falling copper coins. The answer is nineteen."
+    loose = "which amber lanterns drift far beyond harbour walls and seventeen sailors count falling copper coins the answer is nineteen"
+    benchmark = spark.createDataFrame([(1, item), (2, "Seven purple herons nested quietly inside abandoned railway clocks near Lisbon. Answer: seven."), (3, None), (4, "")], "item_id long, text string")
+    filler = rows(docs)[5]["text"]
+    planted = spark.createDataFrame([(200, f"{filler} {item} {filler}"), (201, f"{filler} {loose}")], "doc_id long, text string")
+    every = docs.select("doc_id", "text").union(planted)
+    assert {(r["doc_id"], r["item_id"]) for r in rows(decontam.leaks(every, benchmark))} == {(200, 1), (201, 1)}
+    kept = rows(decontam.drop_leaks(every, benchmark))
+    assert len(kept) == docs.count()
+    assert not rows(decontam.leaks(none, benchmark)) and not rows(decontam.leaks(docs, benchmark.limit(0)))
+
+
+def test_lcs():
+    pick = random.Random(1)
+    for _ in range(100):
+        a, b = ([pick.randrange(5) for _ in range(pick.randrange(1, 12))] for _ in range(2))
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        assert decontam.lcs(np.array(a), np.array(b)) == t[-1][-1]
+
+
+def test_line_dedup(spark, none):
+    shared = "\n".join(f"shared line number {i} of a passage that moves around" for i in range(12))
+    texts = [(1, f"own one\nmore own\n{shared}\nend one"), (2, f"own two\n{shared}\nend two"), (3, "alone"), (4, None), (5, "alone\nx\nalone\nx"), (None, shared)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for _, text in texts:
+        assert "\n".join(c[2] for c in linededup.chunks(text or "")) == (text or "")
+    got = by_id(linededup.dedup_lines(df))
+    assert got[1]["n_removed"] == 0 and got[2]["n_removed"] >= 6 and got[2]["text"].startswith("own two") and got[3]["text"] == "alone"
+    assert got[None]["n_removed"] == 0 and got[4]["text"] == "" and not rows(linededup.dedup_lines(none))
+
+
+def test_html(spark):
+    page = '<html><head><title>t</title><script>var a="</p>";</script></head><body><nav><ul><li>Home</ul></nav><div class="ad">Buy</div><article><h1>A &amp; B</h1><p>one\n two<p>three<div id="comments">no</div></article><footer>f</footer></body>'
+    bare = "<body><div><p>Read our terms and conditions before you use this site today</p><p>{}</p></div></body>"
+    data = [(1, "http://a.example/1", page), (2, "http://a.example/2", None), (3, None, ""), (4, "http://b.example/1", bare.format("first story")), (5, "http://b.example/2", bare.format("second story"))]
+    got = {r["page_id"]: r for r in rows(html.extract(spark.createDataFrame(data, "page_id long, url string, html string")))}
+    assert got[1]["text"] == "A & B\none two\nthree" and got[1]["n_chars"] == 19
+    assert got[2]["text"] == got[3]["text"] == "" and got[4]["text"] == "first story" and got[5]["text"] == "second story"
+
+
+def test_lm(docs, none):
+    got = rows(lmscore.score(docs))
+    every = rows(docs)
+    held = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 5 == 1
+    toks = lambda t: [w.lower() for w in WORD.findall(t or "")] + ["\n"]
+    count = collections.Counter(w for r in every if not held(r["doc_id"]) for w in toks(r["text"]))
+    n, v = sum(count.values()), len(count)
+    base = sorted(round(sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in toks(r["text"])), 6) for r in every)
+    assert sorted(round(r["base_score"], 6) for r in got) == base and {r["train_tokens"] for r in got} == {n}
+    assert all(r["held_out"] == held(r["doc_id"]) and r["score"] <= 0 for r in got) and not rows(lmscore.score(none))
+
+
+def test_class_probabilities_sum_to_one():
+    w = np.random.default_rng(1).standard_normal((lmscore._ROWS, lmscore.CLASSES)).astype(np.float32)
+    p = np.exp(lmscore.log_probs(w, np.random.default_rng(2).integers(0, 1 << lmscore.BUCKET_BITS, (50, 4))))
+    assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
