@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -66,7 +67,7 @@ def encoded(docs: DataFrame) -> DataFrame:
             counts = np.bincount(flat[np.repeat(~np.array(held), lengths)], minlength=len(number)).astype(np.int32)
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number))
             shapes = np.fromiter(map(shape, number), np.int8, len(number))
-            row = [[(part << _SEQ_BITS) + seq], [pa.array(doc_ids, doc_type)], [held], [lengths], *([x.tobytes()] for x in (flat, hashes, shapes, counts))]
+            row = [[(part << _SEQ_BITS) + seq], [pa.array(doc_ids, doc_type)], [held], [lengths], [zstandard.compress(flat.tobytes(), 1)], *([x.tobytes()] for x in (hashes, shapes, counts))]
             types = [pa.int64(), pa.list_(doc_type), pa.list_(pa.bool_()), pa.list_(pa.int32()), *[pa.binary()] * 4]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], names=["chunk", "doc_ids", "held", "lengths", "ids", "hashes", "shapes", "counts"])
 
@@ -132,7 +133,7 @@ def packed(counted: DataFrame) -> DataFrame:
 
 def _tokens(ids: bytes, lengths: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Local word ids, and the four feature rows of each token; contexts end at the start of a document."""
-    flat = np.frombuffer(ids, np.int32)
+    flat = np.frombuffer(zstandard.decompress(ids), np.int32)
     starts = np.cumsum(lengths) - lengths
     place = np.arange(len(flat)) - np.repeat(starts, lengths)
     own = hashes[flat]
@@ -219,8 +220,8 @@ def score(docs: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``.
 
     A null or empty text is the end token alone; a null doc_id counts as an empty name, which is training. Repeated rows
-    each train and are each scored; a word is what stands between ASCII white space. Without any training row nothing is known and the scores are those of
-    one unknown slot. An empty table gives no rows. Texts are scored whole.
+    each train and are each scored. Without any training row nothing is known and the scores are those of one
+    unknown slot. An empty table gives no rows. Texts are scored whole.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     chunks = materialize(encoded(docs), "lm-chunks")
