@@ -2,10 +2,12 @@
 
 A rolling hash over the hashes of neighbouring lines sets the chunk boundaries, so a passage that moves between
 documents falls into the same chunks wherever it stands. Chunks of two lines or more that occur more than once anywhere
-are found by hash, compared byte by byte with their first occurrence (least doc_id, then line), and removed elsewhere.
+are found by a 128-bit hash; the bytes of all chunks of one hash are compared, and each but the first (least doc_id, then
+line) is removed.
 
-What is aggregated is hashes; texts of chunks meet only where their hash repeats, each occurrence beside the first
-one, in a join that can be split at a hot hash. No list of a chunk's occurrences is ever gathered.
+What is counted and joined is hashes, salted where one is frequent. The bytes are compared by grouping them, so a chunk
+with a million copies leaves a map task once; no list of a chunk's occurrences is ever gathered. Whole texts are dealt
+by doc_id once, and read from there for the comparison and for the result.
 """
 
 from __future__ import annotations
@@ -25,11 +27,13 @@ WINDOW = 2
 DIVISOR = 2
 MIN_LINES = 2
 MAX_LINES = 32
+#: Parts that the occurrences of each repeated hash are dealt into.
+SALTS = 16
 _BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
-def chunks(text: str) -> list[tuple[int, int, str, int]]:
-    """(first line, lines, text, hash) of each chunk; together they are the text's \\n-split lines in order."""
+def chunks(text: str) -> list[tuple[int, int, str]]:
+    """(first line, lines, text) of each chunk; together they are the text's \\n-split lines in order."""
     lines = text.split("\n")
     hashes = [xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines]
     drop = pow(_BASE, WINDOW, 1 << 64)
@@ -38,36 +42,54 @@ def chunks(text: str) -> list[tuple[int, int, str, int]]:
         rolling = (rolling * _BASE + h - (hashes[i - WINDOW] * drop if i >= WINDOW else 0)) & _MASK
         n = i + 1 - start
         if i + 1 == len(lines) or n >= MAX_LINES or (n >= MIN_LINES and (rolling >> 32) % DIVISOR == 0):
-            whole = "\n".join(lines[start : i + 1])
-            out.append((start, n, whole, xxhash.xxh3_64_intdigest(whole.encode("utf-8", "surrogatepass"), 1) - (1 << 63)))
+            out.append((start, n, "\n".join(lines[start : i + 1])))
             start = i + 1
     return out
 
 
-def chunk_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, line, hash and text of the chunks of two lines or more that aren't blank."""
+def digest(chunk: str) -> bytes:
+    return xxhash.xxh3_128_digest(chunk.encode("utf-8", "surrogatepass"))
+
+
+def chunk_hashes(docs: DataFrame) -> DataFrame:
+    """doc_id, line and hash of the chunks of two lines or more that aren't blank."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column(0)
-            rows = [(k, *c) for k, x in enumerate(batch.column(1)) for c in chunks(x.as_py()) if c[1] >= MIN_LINES and not c[2].isspace()]
+            rows = [(k, line, digest(c)) for k, x in enumerate(batch.column(1)) for line, n, c in chunks(x.as_py()) if n >= MIN_LINES and not c.isspace()]
             yield pa.RecordBatch.from_arrays(
-                [own.take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.string())],
-                names=["doc_id", "line", "hash", "chunk"],
+                [own.take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())],
+                names=["doc_id", "line", "hash"],
             )
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id {kind}, line long, hash long, chunk string")
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id {kind}, line long, hash binary")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, line, hash of every chunk that equals an earlier one byte by byte."""
-    rows = materialize(chunk_rows(docs.filter("doc_id is not null")), "chunks")
-    first = rows.groupBy("hash").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("hash", "first")
-    found = rows.join(first, "hash")
-    opening = found.filter("doc_id = first.doc_id and line = first.line").select("hash", F.col("chunk").alias("first_chunk")).dropDuplicates(["hash"])
-    others = found.filter("not (doc_id = first.doc_id and line = first.line)")
-    return others.join(opening, "hash").filter("chunk = first_chunk").select("doc_id", "line", "hash")
+    """doc_id, line, hash, is_first of every chunk whose hash occurs more than once."""
+    rows = materialize(chunk_hashes(docs.filter("doc_id is not null")), "chunks")
+    first = rows.groupBy("hash").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    first = first.select("hash", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "line"), F.lit(SALTS)).cast("int"))
+    return salted.join(first, ["hash", "salt"]).select("doc_id", "line", "hash", (F.struct("doc_id", "line") == F.col("first")).alias("is_first"))
+
+
+def unequal(marked: DataFrame) -> DataFrame:
+    """The hashes of ``marked`` (text, marks) whose chunks aren't all the same bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, marks in zip(batch.column(0), batch.column(1), strict=True):
+                if marks.is_valid:
+                    wanted = {(m["line"], m["hash"]) for m in marks.as_py()}
+                    lines = {m[0] for m in wanted}
+                    out += [(h, c) for line, _, c in chunks(text.as_py()) if line in lines and (line, h := digest(c)) in wanted]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.string())], names=["hash", "chunk"])
+
+    return marked.select("text", "marks").mapInArrow(run, "hash binary, chunk string").distinct().groupBy("hash").count().filter("count > 1").select("hash")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -75,24 +97,30 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     A null text is an empty one (one blank line); a text whose chunks all repeat becomes empty. Blank chunks and single
     lines are never removed. Rows with one doc_id are taken for one document, so a repeated row changes nothing;
-    rows without a doc_id are left alone. An empty table gives no rows.
+    rows without a doc_id are left alone. An empty table gives no rows. Should different chunks share a 128-bit hash,
+    the comparison tells, and no chunk of that hash is removed.
     """
-    gone = repeats(docs).groupBy("doc_id").agg(F.collect_set(F.struct("line", "hash")).alias("gone"))
+    texts = docs.select("doc_id", text_or_empty().alias("text"))
+    found = materialize(repeats(docs), "repeats")
+    marks = found.groupBy("doc_id").agg(F.collect_set(F.struct("line", "hash")).alias("marks"))
+    others = found.filter("not is_first").join(unequal(texts.join(marks, "doc_id", "left")), "hash", "left_anti")
+    gone = others.groupBy("doc_id").agg(F.collect_set(F.struct("line", "hash")).alias("gone"))
 
     def rebuild(texts: pd.Series, marks: pd.Series) -> pd.DataFrame:
         out = []
         for text, gone in zip(texts, marks, strict=True):
-            out_of = {(int(g["line"]), int(g["hash"])) for g in gone} if gone is not None and len(gone) else None
+            out_of = {(int(g["line"]), bytes(g["hash"])) for g in gone} if gone is not None and len(gone) else None
             if not out_of:
                 out.append((text.count("\n") + 1, 0, text))
                 continue
             parts = chunks(text)
-            kept = [c for c in parts if (c[0], c[3]) not in out_of]
+            lines = {x[0] for x in out_of}
+            kept = [c for c in parts if c[0] not in lines or (c[0], digest(c[2])) not in out_of]
             n = sum(c[1] for c in parts)
             out.append((n, n - sum(c[1] for c in kept), "\n".join(c[2] for c in kept)))
         return pd.DataFrame(out, columns=["n_lines", "n_removed", "text"])
 
-    joined = docs.select("doc_id", text_or_empty().alias("text")).join(gone, "doc_id", "left")
+    joined = texts.join(gone, "doc_id", "left")
     return joined.select("doc_id", F.pandas_udf(rebuild, "n_lines long, n_removed long, text string")("text", "gone").alias("r")).select("doc_id", "r.*")
 
 
