@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecue.llm.common import materialize, table, text_or_empty
@@ -51,6 +51,10 @@ def digest(chunk: str) -> bytes:
     return xxhash.xxh3_128_digest(chunk.encode("utf-8", "surrogatepass"))
 
 
+def _salts() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+
+
 def chunk_hashes(docs: DataFrame) -> DataFrame:
     """doc_id, line and hash of the chunks of two lines or more that aren't blank."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -68,12 +72,12 @@ def chunk_hashes(docs: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, line, hash, is_first of every chunk whose hash occurs more than once."""
+    """doc_id, line, hash, salt, is_first of every chunk whose hash occurs more than once."""
     rows = materialize(chunk_hashes(docs.filter("doc_id is not null")), "chunks")
     first = rows.groupBy("hash").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    first = first.select("hash", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    first = first.select("hash", "first", _salts())
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "line"), F.lit(SALTS)).cast("int"))
-    return salted.join(first, ["hash", "salt"]).select("doc_id", "line", "hash", (F.struct("doc_id", "line") == F.col("first")).alias("is_first"))
+    return salted.join(first, ["hash", "salt"]).select("doc_id", "line", "hash", "salt", (F.struct("doc_id", "line") == F.col("first")).alias("is_first"))
 
 
 def unequal(marked: DataFrame) -> DataFrame:
@@ -103,7 +107,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", text_or_empty().alias("text"))
     found = materialize(repeats(docs), "repeats")
     marks = found.groupBy("doc_id").agg(F.collect_set(F.struct("line", "hash")).alias("marks"))
-    others = found.filter("not is_first").join(unequal(texts.join(marks, "doc_id", "left")), "hash", "left_anti")
+    others = found.filter("not is_first").join(unequal(texts.join(marks, "doc_id", "left")).select("hash", _salts()), ["hash", "salt"], "left_anti")
     gone = others.groupBy("doc_id").agg(F.collect_set(F.struct("line", "hash")).alias("gone"))
 
     def rebuild(texts: pd.Series, marks: pd.Series) -> pd.DataFrame:
