@@ -4,7 +4,7 @@
 2. The benchmark's passages become TF-IDF rows; a randomised SVD of them, whose products with the rows are computed
    where the rows are and summed, gives a latent space (its width is a parameter) that tells items apart.
 3. Every window of two neighbouring runs of a text is projected and compared with all benchmark passages by cosine. A window
-   whose words can't reach the cosine with any item, by the Cauchy-Schwarz bound, is not projected.
+   whose words can't reach any item, by bounds on both thresholds that are sums over its words, is not projected.
 4. Around a candidate window the longest common subsequence with the whole item is measured. Near-verbatim
    passages count at once; looser ones, paraphrases, only if the item's answer (its last sentence) is there too.
 
@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +67,8 @@ class Block:
     queries: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
     norms: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
     floor: float = 0.0
+    weighted: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
+    reach: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
 
 
 def block_of(rows: list[tuple[object, str]]) -> Block:
@@ -90,10 +93,10 @@ class _Ids(dict):
         super().__init__()
         self.vocabulary = vocabulary
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: str) -> int:
         if len(self) > _CACHE:
             self.clear()
-        w = word.decode("utf-8", "replace").lower().strip(_EDGE)
+        w = word.lower().strip(_EDGE)
         self[word] = n = self.vocabulary.get(w, -1) if w else -2
         return n
 
@@ -101,14 +104,30 @@ class _Ids(dict):
 _IDS: dict[int, tuple[dict, _Ids]] = {}
 
 
-def _ids_of(text: str, vocabulary: dict[str, int]) -> np.ndarray:
+def _ids_of(texts: pa.Array, vocabulary: dict[str, int]) -> Iterator[np.ndarray]:
+    """The term ids of each text; a word that stands in many of them is looked up once."""
     kept = _IDS.get(id(vocabulary))
     if kept is None or kept[0] is not vocabulary:
         _IDS.clear()
         kept = _IDS[id(vocabulary)] = (vocabulary, _Ids(vocabulary))
-    words = text.encode("utf-8", "surrogatepass").split()
-    ids = np.fromiter(map(kept[1].__getitem__, words), np.int32, len(words))
-    return ids[ids != -2]
+    words = pc.ascii_split_whitespace(texts)
+    coded = words.flatten().dictionary_encode()
+    ids = np.fromiter(map(kept[1].__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)), np.int32, len(coded.dictionary))[coded.indices.to_numpy()]
+    at = words.offsets.to_numpy()
+    for lo, hi in zip(at[:-1] - at[0], at[1:] - at[0], strict=True):
+        own = ids[lo:hi]
+        yield own[own != -2]
+
+
+def _terms_by_run(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Run and term of each known term, once for each run that holds it, in order; and the number of runs."""
+    runs = -(-len(ids) // STEP)
+    grid = np.full(runs * STEP, -1, np.int32)
+    grid[: len(ids)] = ids
+    grid = np.sort(grid.reshape(runs, STEP), axis=1)
+    keep = grid >= 0
+    keep[:, 1:] &= grid[:, 1:] != grid[:, :-1]
+    return np.nonzero(keep)[0], grid[keep], runs
 
 
 def passage_counts(docs: DataFrame, block: Block) -> tuple[np.ndarray, int]:
@@ -119,12 +138,10 @@ def passage_counts(docs: DataFrame, block: Block) -> tuple[np.ndarray, int]:
         vocabulary = sent.value
         held, total = np.zeros(len(vocabulary), np.int64), 0
         for batch in batches:
-            for x in batch.column(0):
-                ids = _ids_of(x.as_py(), vocabulary)
-                total += -(-len(ids) // STEP)
-                at = np.flatnonzero(ids >= 0)
-                key = np.unique(at // STEP * np.int64(len(vocabulary)) + ids[at])
-                held += np.bincount(key % len(vocabulary), minlength=len(vocabulary))
+            for ids in _ids_of(batch.column(0), vocabulary):
+                _, term, runs = _terms_by_run(ids)
+                total += runs
+                held += np.bincount(term, minlength=len(vocabulary))
         some = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[some, -1]), pa.array(np.r_[held[some], total])], names=["term", "n"])
 
@@ -171,9 +188,21 @@ def fit(spark: SparkSession, block: Block, counts: np.ndarray, total: int, *, ra
     block.norms = np.linalg.norm(latent, axis=1).clip(1e-9)
     block.queries = np.ascontiguousarray((latent / block.norms[:, None]).T)
     block.floor = float(min((x**2).sum() for _, x in rows_of))
+    block.weighted = block.basis * block.idf.astype(np.float32)[:, None]
+    block.reach = reach(block)
     return block
 
 
+def reach(block: Block) -> np.ndarray:
+    """For each term the most that one unit of it adds to a projection on any passage's row, as a share of that row's length.
+
+    Summed over a window's terms it is at least the share that ``CONTAINS`` asks for, so a smaller sum rules the window out.
+    """
+    rows = block.queries / block.norms
+    parts = [(block.basis[i : i + 1024] @ rows).max(axis=1) for i in range(0, len(block.basis), 1024)]
+    return np.concatenate(parts).clip(0)
+
+
 def lcs(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest common subsequence, one machine operation on len(a) bits for each element of b."""
     masks: dict[int, int] = {}
@@ -190,38 +219,36 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
 
 def search(text: str, block: Block, *, cosine: float = COSINE) -> list[tuple[int, float, float, float]]:
     """(item, cosine, share of the item's words, share of its answer) for each item that the text leaks."""
-    ids = _ids_of(text, block.vocabulary)
-    n = len(ids)
-    known = np.flatnonzero(ids >= 0)
-    if not len(known):
-        return []
-    runs = -(-n // STEP)
-    run = known // STEP
-    weight = (block.idf[ids[known]]).astype(np.float32)
+    return search_ids(next(_ids_of(pa.array([text]), block.vocabulary)), block, cosine=cosine)
+
+
+def search_ids(ids: np.ndarray, block: Block, *, cosine: float = COSINE) -> list[tuple[int, float, float, float]]:
+    """``search`` of a text whose term ids are known."""
     # a term counts once in each run, so repeated words don't make a window look like an item
-    order = np.lexsort((ids[known], run))
-    same = np.r_[False, (np.diff(run[order]) == 0) & (np.diff(ids[known][order]) == 0)]
-    first = np.flatnonzero(~same)
-    at = order[first]
-    w = weight[at]
-    energy = np.bincount(run[at], w.astype(np.float64) ** 2, minlength=runs)
-    pair = energy + np.r_[energy[1:], 0.0]
-    open_windows = np.flatnonzero(2 * pair >= cosine**2 * block.floor)
+    run, term, runs = _terms_by_run(ids)
+    if not len(run):
+        return []
+    w = block.idf[term].astype(np.float32)
+    energy = np.bincount(run, w.astype(np.float64) ** 2, minlength=runs + 1)
+    most = np.bincount(run, w * block.reach[term], minlength=runs + 1)
+    # a little below the thresholds, so that rounding rules nothing out
+    open_windows = np.flatnonzero((2 * (energy[:-1] + energy[1:]) >= cosine**2 * block.floor) & (most[:-1] + most[1:] >= 0.999 * CONTAINS))
     if not len(open_windows):
         return []
     used = np.zeros(runs + 1, bool)
     used[open_windows] = used[open_windows + 1] = True
-    rows = used[run[at]]
-    at, w = at[rows], w[rows]
+    rows = used[run]
+    run, term = run[rows], term[rows]
     latent = np.zeros((runs + 1, block.basis.shape[1]), np.float32)
-    starts = np.flatnonzero(np.r_[True, np.diff(run[at]) != 0])
-    latent[run[at][starts]] = np.add.reduceat(block.basis[ids[known][at]] * w[:, None], starts, axis=0)
+    starts = np.flatnonzero(np.r_[True, np.diff(run) != 0])
+    latent[run[starts]] = np.add.reduceat(block.weighted.take(term, axis=0), starts, axis=0)
     rows_of = latent[open_windows] + latent[open_windows + 1]
     along = rows_of @ block.queries
-    scores = along / np.linalg.norm(rows_of, axis=1, keepdims=True).clip(1e-6)
+    lengths = np.linalg.norm(rows_of, axis=1).clip(1e-6)
     found: dict[int, list[tuple[int, float]]] = {}
-    for i, j in zip(*np.nonzero((scores >= cosine) & (along >= CONTAINS * block.norms)), strict=True):
-        found.setdefault(block.passages[j][0], []).append((int(open_windows[i]), float(scores[i, j])))
+    for i, j in zip(*np.nonzero(along >= CONTAINS * block.norms), strict=True):
+        if (score := float(along[i, j] / lengths[i])) >= cosine:
+            found.setdefault(block.passages[j][0], []).append((int(open_windows[i]), score))
     out = []
     for k, windows in sorted(found.items()):
         item = block.items[k]
@@ -281,7 +308,7 @@ def _searcher(sent, kinds: tuple[str, str], schema: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = sent.value
         for batch in batches:
-            rows = [(d, block.items[k].item_id, round(c, 4), x, y) for d, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for k, c, x, y in search(text.as_py(), block)]
+            rows = [(d, block.items[k].item_id, round(c, 4), x, y) for d, ids in zip(batch.column(0).to_pylist(), _ids_of(batch.column(1), block.vocabulary), strict=True) for k, c, x, y in search_ids(ids, block)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
     return run
@@ -291,7 +318,8 @@ def leaking(text: Column, block) -> Column:
     """Whether a text leaks an item of a block that is sent to the tasks."""
 
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([bool(search(x, block.value)) for x in texts], dtype=bool)
+        ids = _ids_of(pa.array(texts, pa.string()), block.value.vocabulary)
+        return pd.Series([bool(search_ids(x, block.value)) for x in ids], dtype=bool)
 
     return F.pandas_udf(run, "boolean")(text)
 
