@@ -68,7 +68,15 @@ QUERIES = {
     "srt_round_trip": round_trip,
     "qa_empty": _rule(lambda a, b: qa.empty(b)),
     "qa_url": _rule(lambda a, b: qa.differ(a, b, qa.URL)),
-    "qa_numeric": _rule(lambda a, b: F.array_sort(F.regexp_extract_all(a, F.lit(qa.NUMBER), 0)) != F.array_sort(F.regexp_extract_all(b, F.lit(qa.NUMBER), 0))),
+    "qa_numeric": _rule(lambda a, b: qa.differ(a, b, qa.NUMBER)),
+    "qa_leak": _rule(lambda a, b: qa.leaks_markup(b)),
+    "qa_refusal": _rule(lambda a, b: qa.refuses(b)),
+    "qa_polluted": _rule(lambda a, b: qa.polluted(b)),
+    "qa_unit": _rule(qa.units_differ),
+    "qa_option": _rule(lambda a, b: qa.differ(a, b, qa.OPTION)),
+    "qa_code": _rule(qa.code_differs),
+    "qa_script": _rule(lambda a, b: qa.lacks_script(a, b, "zh")),
+    "qa_issues": lambda s, d: _pairs(s, d).select("video_id", "cue_index", F.array_join(qa.issues(F.col("source"), F.col("translation"), "zh"), "; ").alias("issues")).filter("issues <> ''"),
     "qa_tag_count": _rule(qa.tags_differ),
     "qa_bracket": _rule(qa.brackets_differ),
     "qa_short": _rule(qa.too_short),
@@ -85,12 +93,23 @@ c AS (SELECT video_id, cue_index, source, (cue_index - 1) * 2500 AS start_ms, (c
 _TURNS = """WITH c AS (SELECT conv_id AS video_id, (turn + 1)::BIGINT AS cue_index, role, text AS source FROM conversations) """
 _PAIRS = _CUES + ", p AS (SELECT *, coalesce(lead(source) OVER (PARTITION BY video_id ORDER BY cue_index), '') AS translation FROM c) "
 _BAG = "list_sort(regexp_extract_all({}, '{}'))"
-_GATE = r"(NOT regexp_full_match(source, '\s*https?://\S+\s*') AND len(regexp_extract_all(source, '\pL')) >= 12 AND len(regexp_extract_all(source, '[A-Za-z]+')) >= 10)"
+_GATE = r"(NOT regexp_full_match(source, '\s*https?://\S+\s*') AND NOT (regexp_matches(source, '\S\s+\S') AND (regexp_matches(source, '(^|\s)--') OR contains(source, '/') OR contains(source, '\'))) AND len(regexp_extract_all(source, '\pL')) >= 12 AND len(regexp_extract_all(source, '[A-Za-z]+')) >= 10)"
 _STRIP = r"regexp_replace(translation, '^\s+|\s+$', '', 'g')"
 _N = "(length({0}) - length(replace({0}, '{1}', '')) + length({0}) - length(replace({0}, '{2}', '')))"
 _NUMBERS = r"\pN+(?:\.\pN+)?".replace("pN", "p{Nd}")
 
 
+def _differ(pattern: str) -> str:
+    return f"len(regexp_extract_all(source, '{pattern}')) > 0 AND {_BAG.format('source', pattern)} <> {_BAG.format(_STRIP, pattern)}"
+
+
+def _units(text: str) -> str:
+    pattern = qa.NUMBER_UNIT.removeprefix("(?iU)").replace(r"\d", r"\p{Nd}")
+    cases = " ".join("WHEN lower(u) IN (" + ", ".join(f"'{x}'" for x in spellings) + f") THEN '{name}'" for name, spellings in qa.UNITS.items())
+    units = f"list_transform(regexp_extract_all({text}, '{pattern}', 2, 'i'), lambda u: CASE {cases} ELSE lower(u) END)"
+    return f"list_sort(list_transform(list_zip(regexp_extract_all({text}, '{pattern}', 1, 'i'), {units}), lambda x: x[1] || ' ' || x[2]))"
+
+
 def _where(test: str) -> str:
     return _PAIRS + "SELECT video_id, cue_index FROM p WHERE " + test
 
@@ -108,9 +127,15 @@ ORACLE_SQL = {
     "transcript": _CUES + f"SELECT video_id, string_agg('[' || {_T.format('start_ms')} || '] ' || source, chr(10) ORDER BY cue_index) AS transcript, arg_max(end_ms, cue_index) AS duration_ms, count(*) AS n_cues, greatest(1, arg_max(end_ms, cue_index) // 180000) AS estimated_chapters FROM c GROUP BY video_id",
     "srt_round_trip": _CUES + "SELECT video_id, cue_index, trim(source) AS source, start_ms, end_ms FROM c",
     "qa_empty": _where(f"{_STRIP} = ''"),
-    "qa_url": _where(f"len(regexp_extract_all(source, 'https?://[^\\s<>\"'']+')) > 0 AND {_BAG.format('source', qa.URL.replace(chr(39), chr(39) * 2))} <> {_BAG.format(_STRIP, qa.URL.replace(chr(39), chr(39) * 2))}"),
-    "qa_numeric": _where(f"{_BAG.format('source', _NUMBERS)} <> {_BAG.format('translation', _NUMBERS)}"),
-    "qa_tag_count": _where(f"len(regexp_extract_all(source, '<[^>]+>')) <> len(regexp_extract_all({_STRIP}, '<[^>]+>'))"),
+    "qa_url": _where(_differ(r"https?://\S+")),
+    "qa_numeric": _where(_differ(_NUMBERS)),
+    "qa_option": _where(_differ(r"--[\pL\pM\p{Nd}\p{Pc}-]+")),
+    "qa_leak": _where(f"contains({_STRIP}, '```') OR (regexp_full_match({_STRIP}, '(?s)\\{{.*\\}}|\\[.*\\]') AND (contains(translation, '\"id\"') OR contains(translation, '\"translation\"')))"),
+    "qa_refusal": _where(" OR ".join("contains(lower(translation), '" + x.replace("'", "''") + "')" for x in qa.REFUSALS)),
+    "qa_polluted": _where(" OR ".join(f"starts_with(lower({_STRIP}), '{x}')" for x in qa.POLLUTIONS)),
+    "qa_unit": _where(f"len({_units('source')}) > 0 AND {_units('source')} <> {_units('translation')}"),
+    "qa_script": _where(f"{_GATE} AND NOT regexp_matches(translation, '[\u4e00-\u9fff]')"),
+    "qa_tag_count": _where(rf"len(regexp_extract_all(source, '</?[^>\s]+(?:\s+[^>]*)?>')) <> len(regexp_extract_all({_STRIP}, '</?[^>\s]+(?:\s+[^>]*)?>'))"),
     "qa_bracket": _where(" OR ".join(f"({_N.format('source', *x)} > 0 AND abs({_N.format('source', *x)} - {_N.format(_STRIP, *x)}) >= 2)" for x in qa.BRACKETS)),
     "qa_short": _where(f"{_GATE} AND length({_STRIP}) < greatest(8.0, length(source) * 0.18)"),
     "qa_long": _where(f"{_GATE} AND length({_STRIP}) > greatest(80.0, length(source) * 3.5)"),
