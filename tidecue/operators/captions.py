@@ -115,6 +115,11 @@ def render_srt(cues: DataFrame, text: Column) -> DataFrame:
     return cues.groupBy("video_id").agg(F.array_join(parts, "").alias("srt"))
 
 
+def srt_to_vtt(srt: Column) -> Column:
+    """An SRT file as WebVTT: a header, and times with a point."""
+    return F.concat(F.lit("WEBVTT\n\n"), F.regexp_replace(srt, r"(\d{2}:\d{2}:\d{2}),(\d{3})", "$1.$2"))
+
+
 def transcript(cues: DataFrame) -> DataFrame:
     """The timed transcript of each video, its length by its last cue, and about how many chapters of 180 s it has."""
     line = F.concat(F.lit("["), format_ms(F.col("start_ms")), F.lit("] "), F.col("source"))

@@ -52,6 +52,11 @@ def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.parse_srt(files).select("video_id", "cue_index", "source", "start_ms", "end_ms")
 
 
+def vtt_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = captions.render_srt(_cues(spark, sf_dir), F.trim("source")).select("video_id", captions.srt_to_vtt(F.col("srt")).alias("content"))
+    return sources.parse_vtt(files).select("video_id", "cue_index", "cue_id", "source", "start_ms", "end_ms")
+
+
 QUERIES = {
     "crop_rebase": lambda s, d: captions.crop(_cues(s, d), 5000, 20000).withColumns({"start": timecode.format_ms(F.col("start_ms")), "end": timecode.format_ms(F.col("end_ms"))}),
     "window_boundary_flags": lambda s, d: captions.window_flags(_cues(s, d), 6000, 15000, 2000, 2000),
@@ -66,6 +71,7 @@ QUERIES = {
     "tokens_proportional": lambda s, d: captions.tokens(_cues(s, d)),
     "rolling_trim": lambda s, d: captions.trimmed(_turns(s, d)),
     "srt_round_trip": round_trip,
+    "vtt_round_trip": vtt_round_trip,
     "qa_empty": _rule(lambda a, b: qa.empty(b)),
     "qa_url": _rule(lambda a, b: qa.differ(a, b, qa.URL)),
     "qa_numeric": _rule(lambda a, b: qa.differ(a, b, qa.NUMBER)),
@@ -126,6 +132,7 @@ ORACLE_SQL = {
     "bilingual_render": _PAIRS + f"SELECT video_id, string_agg(cue_index::VARCHAR || chr(10) || {_T.format('start_ms')} || ' --> ' || {_T.format('end_ms')} || chr(10) || translation || chr(10) || source || chr(10) || chr(10), '' ORDER BY cue_index) AS srt FROM p WHERE translation <> '' GROUP BY video_id",
     "transcript": _CUES + f"SELECT video_id, string_agg('[' || {_T.format('start_ms')} || '] ' || source, chr(10) ORDER BY cue_index) AS transcript, arg_max(end_ms, cue_index) AS duration_ms, count(*) AS n_cues, greatest(1, arg_max(end_ms, cue_index) // 180000) AS estimated_chapters FROM c GROUP BY video_id",
     "srt_round_trip": _CUES + "SELECT video_id, cue_index, trim(source) AS source, start_ms, end_ms FROM c",
+    "vtt_round_trip": _CUES + "SELECT video_id, cue_index, cue_index::VARCHAR AS cue_id, trim(source) AS source, start_ms, end_ms FROM c",
     "qa_empty": _where(f"{_STRIP} = ''"),
     "qa_url": _where(_differ(r"https?://\S+")),
     "qa_numeric": _where(_differ(_NUMBERS)),
