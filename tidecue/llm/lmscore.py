@@ -144,25 +144,35 @@ def _tokens(ids: bytes, lengths: np.ndarray, hashes: np.ndarray) -> tuple[np.nda
 
 def log_probs(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Natural log of P(class | context) for each row of features."""
-    z = weights[rows[:, 0]] + weights[rows[:, 1]] + weights[rows[:, 2]] + weights[rows[:, 3]] + weights[-1]
+    z = _centred(weights, rows)
+    return z - np.log(np.exp(z) @ np.ones(CLASSES, np.float32))[:, None]
+
+
+def _centred(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The sum of each row's weights, less its maximum."""
+    z = weights.take(rows[:, 0], axis=0)
+    for k in range(1, rows.shape[1]):
+        z += weights.take(rows[:, k], axis=0)
+    z += weights[-1]
     z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    return z
 
 
 def train(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> None:
-    """One pass of mini-batch gradient descent with per-weight rates, in place."""
+    """One pass of mini-batch gradient descent with per-weight rates, in place; a batch touches most rows, so all are updated."""
+    step = np.empty((CLASSES, _ROWS))
     for at in range(0, len(rows), BATCH):
         x, y = rows[at : at + BATCH], classes[at : at + BATCH]
-        g = np.exp(log_probs(weights, x))
+        g = np.exp(_centred(weights, x))
+        g /= (g @ np.ones(CLASSES, np.float32))[:, None]
         g[np.arange(len(y)), y] -= 1.0
-        flat = np.concatenate([x.ravel(order="F"), np.full(1, _ROWS - 1, np.int32)])
-        order = np.argsort(flat[:-1], kind="stable")
-        sorted_rows = flat[:-1][order]
-        first = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
-        touched = np.r_[sorted_rows[first], _ROWS - 1]
-        step = np.concatenate([np.add.reduceat(g[order % len(y)], first, axis=0), g.sum(axis=0, keepdims=True)])
-        squares[touched] += step * step
-        weights[touched] -= RATE * step / np.sqrt(squares[touched] + 1e-6)
+        flat = x.ravel(order="F").astype(np.int64)
+        for k, own in enumerate(np.ascontiguousarray(g.T, np.float64)):
+            step[k] = np.bincount(flat, np.tile(own, x.shape[1]), _ROWS)
+            step[k, -1] = own.sum()
+        by_row = step.T.astype(np.float32)
+        squares += by_row * by_row
+        weights -= RATE * by_row / np.sqrt(squares + 1e-6)
 
 
 def _classes(hashes: np.ndarray, shapes: np.ndarray, heads: np.ndarray) -> np.ndarray:
