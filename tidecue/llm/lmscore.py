@@ -53,6 +53,16 @@ def shape(word: bytes) -> int:
     return 4 * (not word.isascii()) + 2 * (word[-1] in _MARKS) + (len(word) > 6)
 
 
+def _packed_ids(ids: np.ndarray) -> bytes:
+    """Compressed by planes, lowest bytes first: the high bytes of most ids are zeros."""
+    return zstandard.compress(ids.view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+
+
+def _unpacked_ids(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view(np.int32).ravel()
+
+
 def encoded(docs: DataFrame) -> DataFrame:
     """Chunks of whole documents: ids of rows, tokens of each, local word ids; hash, shape and training count of each word."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -67,7 +77,7 @@ def encoded(docs: DataFrame) -> DataFrame:
             counts = np.bincount(flat[np.repeat(~np.array(held), lengths)], minlength=len(number)).astype(np.int32)
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number))
             shapes = np.fromiter(map(shape, number), np.int8, len(number))
-            row = [[(part << _SEQ_BITS) + seq], [pa.array(doc_ids, doc_type)], [held], [lengths], [zstandard.compress(flat.tobytes(), 1)], *([x.tobytes()] for x in (hashes, shapes, counts))]
+            row = [[(part << _SEQ_BITS) + seq], [pa.array(doc_ids, doc_type)], [held], [lengths], [_packed_ids(flat)], *([x.tobytes()] for x in (hashes, shapes, counts))]
             types = [pa.int64(), pa.list_(doc_type), pa.list_(pa.bool_()), pa.list_(pa.int32()), *[pa.binary()] * 4]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], names=["chunk", "doc_ids", "held", "lengths", "ids", "hashes", "shapes", "counts"])
 
@@ -133,7 +143,7 @@ def packed(counted: DataFrame) -> DataFrame:
 
 def _tokens(ids: bytes, lengths: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Local word ids, and the four feature rows of each token; contexts end at the start of a document."""
-    flat = np.frombuffer(zstandard.decompress(ids), np.int32)
+    flat = _unpacked_ids(ids)
     starts = np.cumsum(lengths) - lengths
     place = np.arange(len(flat)) - np.repeat(starts, lengths)
     own = hashes[flat]
