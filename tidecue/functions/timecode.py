@@ -33,12 +33,12 @@ def duration_display(seconds: Column) -> Column:
 
 
 def file_size(n: Column) -> Column:
-    """Bytes as B, KB, MB, GB, TB or PB with one decimal."""
+    """Bytes as B, KB, MB, GB, TB or PB with one decimal, rounded half to even."""
     out = None
     for k, unit in enumerate(("B", "KB", "MB", "GB", "TB")):
-        shown = F.format_string("%.1f " + unit, n / float(1024**k))
+        shown = F.format_string("%.1f " + unit, F.bround(n / float(1024**k), 1))
         out = F.when(n < 1024 ** (k + 1), shown) if out is None else out.when(n < 1024 ** (k + 1), shown)
-    return out.otherwise(F.format_string("%.1f PB", n / float(1024**5)))
+    return out.otherwise(F.format_string("%.1f PB", F.bround(n / float(1024**5), 1)))
 
 
 def shifted(ms: Column, offset: Column) -> Column:

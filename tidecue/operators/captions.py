@@ -24,6 +24,13 @@ def crop(cues: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
     return inside.select("video_id", rank.alias("cue_index"), "source", a.cast("long").alias("start_ms"), b.cast("long").alias("end_ms"))
 
 
+def shift(cues: DataFrame, offset_ms: int) -> DataFrame:
+    """Cues moved by ``offset_ms``, not before 0; those that then end at 0 or before are gone."""
+    moved = lambda name: (F.col(name) + offset_ms).cast("long")
+    out = cues.filter(moved("end_ms") > 0)
+    return out.withColumns({"start_ms": F.greatest(F.lit(0).cast("long"), moved("start_ms")), "end_ms": moved("end_ms")})
+
+
 def window_flags(cues: DataFrame, start_ms: int, end_ms: int, before_ms: int, after_ms: int) -> DataFrame:
     """Cues in reach of the padded clip, with what they have to do with the clip itself."""
     near = cues.filter(overlaps(F.lit(max(0, start_ms - before_ms)), F.lit(end_ms + after_ms)))

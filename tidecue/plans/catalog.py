@@ -57,6 +57,26 @@ def vtt_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.parse_vtt(files).select("video_id", "cue_index", "cue_id", "source", "start_ms", "end_ms")
 
 
+def lenient_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = captions.render_srt(_cues(spark, sf_dir), F.trim("source")).withColumnRenamed("srt", "content")
+    return sources.parse_srt_lenient(files)
+
+
+def halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as one failed batch."""
+    whole = _turns(spark, sf_dir).groupBy(F.col("video_id").alias("batch_id")).agg(F.array_sort(F.collect_list("cue_index")).alias("cues"))
+    return captions.split_halves(whole).select("batch_id", F.col("half").cast("long").alias("half"), F.array_join("cues", ",").alias("cues"))
+
+
+def glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.glossary(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("video_id"), "text"), "text")
+
+
+def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.concat(F.lit("https://me:p@"), F.col("doc_id").cast("string"), F.lit("@host/"), F.col("lang"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.redacted(url).alias("url"))
+
+
 QUERIES = {
     "crop_rebase": lambda s, d: captions.crop(_cues(s, d), 5000, 20000).withColumns({"start": timecode.format_ms(F.col("start_ms")), "end": timecode.format_ms(F.col("end_ms"))}),
     "window_boundary_flags": lambda s, d: captions.window_flags(_cues(s, d), 6000, 15000, 2000, 2000),
@@ -89,6 +109,12 @@ QUERIES = {
     "qa_long": _rule(qa.too_long),
     "timecode_format": lambda s, d: s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", timecode.format_ms(F.col("o_orderkey") * 977).alias("t"), timecode.duration_display(F.col("o_orderkey") * 7).alias("shown"), timecode.parse_ms(timecode.format_ms(F.col("o_orderkey") * 977)).alias("back")),
     "html_tag_strip": lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", F.sha2(text.without_tags(F.col("html")), 256).alias("stripped")),
+    "shift_cues": lambda s, d: captions.shift(_cues(s, d), -4000),
+    "srt_lenient_scan": lenient_scan,
+    "batch_halves": halves,
+    "glossary_head": glossary,
+    "url_redacted": redacted,
+    "file_size_display": lambda s, d: s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", timecode.file_size(F.col("o_orderkey") * 64).alias("small"), timecode.file_size(F.col("o_orderkey") * F.col("o_orderkey") * 977).alias("large")),
     "source_hash": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("hash")),
 }
 
@@ -116,6 +142,11 @@ def _units(text: str) -> str:
     return f"list_sort(list_transform(list_zip(regexp_extract_all({text}, '{pattern}', 1, 'i'), {units}), lambda x: x[1] || ' ' || x[2]))"
 
 
+def _size(n: str) -> str:
+    cases = " ".join(f"WHEN {n} < {1024 ** (k + 1)} THEN printf('%.1f {unit}', ({n}) / {1024**k}.0::DOUBLE)" for k, unit in enumerate(("B", "KB", "MB", "GB", "TB")))
+    return f"CASE {cases} ELSE printf('%.1f PB', ({n}) / {1024**5}.0::DOUBLE) END"
+
+
 def _where(test: str) -> str:
     return _PAIRS + "SELECT video_id, cue_index FROM p WHERE " + test
 
@@ -148,5 +179,11 @@ ORACLE_SQL = {
     "qa_long": _where(f"{_GATE} AND length({_STRIP}) > greatest(80.0, length(source) * 3.5)"),
     "timecode_format": f"SELECT o_orderkey, {_T.format('o_orderkey * 977')} AS t, CASE WHEN o_orderkey * 7 >= 3600 THEN printf('%d:%02d:%02d', o_orderkey * 7 // 3600, o_orderkey * 7 // 60 % 60, o_orderkey * 7 % 60) ELSE printf('%02d:%02d', o_orderkey * 7 // 60, o_orderkey * 7 % 60) END AS shown, (o_orderkey * 977)::BIGINT AS back FROM orders",
     "html_tag_strip": "SELECT page_id, sha256(regexp_replace(html, '<[^>]+>', ' ', 'g')) AS stripped FROM pages",
+    "shift_cues": _CUES + "SELECT video_id, cue_index, source, greatest(0, start_ms - 4000) AS start_ms, end_ms - 4000 AS end_ms FROM c WHERE end_ms > 4000",
+    "srt_lenient_scan": _CUES + f"SELECT video_id, cue_index - 1 AS pos, cue_index::VARCHAR AS number, {_T.format('start_ms')} || ' --> ' || {_T.format('end_ms')} AS time, trim(source) AS source FROM c",
+    "batch_halves": _TURNS + ", n AS (SELECT *, count(*) OVER (PARTITION BY video_id) AS n, row_number() OVER (PARTITION BY video_id ORDER BY cue_index) AS r FROM c) SELECT video_id AS batch_id, (r > n // 2)::BIGINT AS half, string_agg(cue_index::VARCHAR, ',' ORDER BY cue_index) AS cues FROM n WHERE n >= 2 GROUP BY ALL",
+    "glossary_head": "SELECT doc_id AS video_id, left(coalesce(text, ''), 12000) AS glossary, length(coalesce(text, '')) > 12000 AS truncated, sha256(coalesce(text, '')) AS hash FROM documents",
+    "url_redacted": "SELECT doc_id, 'https://<redacted>@host/' || lang AS url FROM documents",
+    "file_size_display": f"SELECT o_orderkey, {_size('o_orderkey * 64')} AS small, {_size('o_orderkey * o_orderkey * 977')} AS large FROM orders",
     "source_hash": "SELECT doc_id, sha256(text) AS hash FROM documents",
 }

@@ -84,6 +84,19 @@ def parse_vtt(files: DataFrame, content: str = "content") -> DataFrame:
     return _to_cues(files.select("video_id", F.posexplode(kept).alias("pos", "block")), F.col("block.at") > 1)
 
 
+def parse_srt_lenient(files: DataFrame, content: str = "content") -> DataFrame:
+    """SRT text as blocks between empty lines: number, time line and text as they stand; blocks under three lines are dropped."""
+    blocks = F.filter(F.transform(F.split(stripped(F.col(content)), "\n\n"), lambda b: F.split(stripped(b), "\n")), lambda x: F.size(x) >= 3)
+    rows = files.select("video_id", F.posexplode(blocks).alias("pos", "x"))
+    return rows.select("video_id", F.col("pos").cast("long").alias("pos"), F.col("x")[0].alias("number"), F.col("x")[1].alias("time"), F.array_join(F.slice("x", F.lit(3), F.size("x")), "\n").alias("source"))
+
+
+def glossary(files: DataFrame, content: str = "content", most: int = 12000) -> DataFrame:
+    """The head of each glossary, whether it was cut, and the hash of the whole; null is empty."""
+    whole = F.coalesce(F.col(content), F.lit(""))
+    return files.select("video_id", F.substring(whole, 1, most).alias("glossary"), (F.length(whole) > most).alias("truncated"), F.sha2(whole, 256).alias("hash"))
+
+
 def violations(cues: DataFrame) -> DataFrame:
     """What is wrong with cues, a row for each cue and reason; none if all is well."""
     tests = {"no timing line": F.col("start_ms").isNull() | F.col("end_ms").isNull(), "blank text": F.trim("source") == ""}
