@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidecue.llm.common import materialize, table
 from tidecue.llm.decontam import drop_leaks
+from tidecue.llm.jaccard import keep_one_of_each
 from tidecue.llm.mixing import mix_documents
 from tidecue.llm.quality import keep_good
 from tidecue.llm.sharding import shard
-from tidecue.llm.simhash import keep_one_of_each
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +18,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: fingerprints and links are those of the operator's contract (3 words, 2 bits)."""
+    """One document of each group of near copies: links are a Jaccard similarity of 0.8 or more of 5-word shingles, checked exactly."""
     return keep_one_of_each(docs)
 
 

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tidecue.llm import components, decontam, html, linededup, lmscore, mixing, quality, secrets, sharding, simhash, tokens
+from tidecue.llm import components, decontam, html, jaccard, linededup, lmscore, mixing, quality, secrets, sharding, simhash, tokens
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -71,6 +71,34 @@ def test_fingerprints_and_groups(docs, none):
     assert sum(r["doc_id"] == 3 for r in kept) == 1 and {24, 25, 26} & {r["doc_id"] for r in kept} == {24}
 
 
+def test_near_copies_against_all_pairs(spark, docs, none):
+    pick, every = random.Random(7), []
+    for base in range(30):
+        words = [f"w{pick.randrange(10**6)}" for _ in range(pick.randrange(60, 200))]
+        for copy in range(6):  # chains too: each copy is made from the last one
+            every.append((20 * base + copy, " ".join(words)))
+            for _ in range(pick.randrange(1, 5)):
+                words[pick.randrange(len(words))] = f"x{pick.randrange(10**6)}"
+    edge = [f"e{i}" for i in range(49)]  # 45 shingles; 40 of 50 shared is 0.8 exactly
+    every += [(900, " ".join(edge)), (901, " ".join([*edge[:-5], *(f"f{i}" for i in range(5))])), (902, "too short"), (903, "Too  SHORT"), (904, None), (905, "")]
+    hub = [f"h{i}" for i in range(100)]
+    every += [(1000 + i, " ".join([*hub, *(f"t{i}x{j}" for j in range(5))])) for i in range(150)]
+    sets = {i: set(zip(*(w[k:] for k in range(5)))) if len(w := (t or "").lower().split()) > 5 else {tuple(w)} - {()} for i, t in every}
+    group = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and (5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])) and group[a] != group[b]:
+                low, high = sorted((group[a], group[b]))
+                group = {i: low if g == high else g for i, g in group.items()}
+    df = spark.createDataFrame(every, "doc_id long, text string").repartition(3)
+    kept = {r["doc_id"] for r in rows(jaccard.keep_one_of_each(df))}
+    assert kept == set(group.values()) and 900 in kept and 901 not in kept and {904, 905} & kept == {904}
+    assert not rows(jaccard.keep_one_of_each(none)) and any(r["doc_id"] is None for r in rows(jaccard.keep_one_of_each(docs)))
+    import corpus_pipeline
+
+    assert {r["doc_id"] for r in rows(corpus_pipeline.near_dedup(spark, df, ""))} == kept
+
+
 @pytest.mark.parametrize("budget", [0, 1, 2, 3])
 def test_trie_finds_every_link(budget):
     draw = np.random.default_rng(budget)

@@ -178,17 +178,21 @@ def near_groups(docs: DataFrame, *, shingle: int = SHINGLE, budget: int = BUDGET
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their group, all columns as they were; of repeated rows one stays.
+def keep_named(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``kept`` (kept_id, distinct), all columns as they were; of repeated rows one stays.
 
     Rows without a doc_id have no name to choose by and stay.
     """
-    kept = near_groups(docs, **options).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     apart = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id")
     chosen = apart.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
     first = chosen.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("row.text")))).filter("nth = 1")
     return first.select("row.*").union(apart.filter("doc_id is null").select("row.*"))
 
 
+def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` whose doc_id names their group; see ``keep_named``."""
+    return keep_named(docs, near_groups(docs, **options).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct())
+
+
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
