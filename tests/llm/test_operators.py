@@ -199,6 +199,28 @@ def test_line_dedup(spark, none):
     assert got[None]["n_removed"] == 0 and got[4]["text"] == "" and not rows(linededup.dedup_lines(none))
 
 
+def test_line_dedup_removes_whole_runs(spark):
+    pick, texts = random.Random(5), []
+    passages = [[f"passage {p} line {i} of some words" for i in range(n)] for p, n in enumerate([2, 2, 2, 3, 3, 4, 5, 9] * 3)]
+    for d in range(60):
+        lines = [f"own {d} {i}" for i in range(pick.randrange(1, 4))]
+        for p in pick.sample(passages, 4):
+            lines += [*p, f"own {d} {pick.random()}"]
+        texts.append((d, "\n".join(lines)))
+    texts += [(90, "x\nx\nx\nx\nx"), (91, "a\nb\n\n \nc\nd"), (92, "a\nb\n\n \nc\nd\ne")]
+    seen, want = {}, {}
+    for d, text in texts:
+        lines, out = text.split("\n"), set()
+        for i in range(len(lines) - 1):
+            at = seen.setdefault((lines[i], lines[i + 1]), (d, i))
+            if (lines[i] + lines[i + 1]).strip() and (at[0] != d or i >= at[1] + 2):
+                out |= {i, i + 1}
+        want[d] = "\n".join(x for i, x in enumerate(lines) if i not in out)
+    got = by_id(linededup.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)))
+    assert {d: r["text"] for d, r in got.items()} == want
+    assert got[90]["text"] == "x\nx" and got[92]["text"] == "e" and sum(r["text"].count("passage") for r in got.values()) == sum(map(len, passages))
+
+
 def test_html(spark):
     page = '<html><head><title>t</title><script>var a="</p>";</script></head><body><nav><ul><li>Home</ul></nav><div class="ad">Buy</div><article><h1>A &amp; B</h1><p>one\n two<p>three<div id="comments">no</div></article><footer>f</footer></body>'
     bare = "<body><div><p>Read our terms and conditions before you use this site today</p><p>{}</p></div></body>"

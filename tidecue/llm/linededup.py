@@ -1,12 +1,13 @@
-"""Line dedup over content-defined chunks of lines.
+"""Line dedup of whole repeated runs of lines.
 
-A rolling hash over the hashes of neighbouring lines sets the chunk boundaries, so a passage that moves between
-documents falls into the same chunks wherever it stands. Chunks of two lines or more that occur more than once anywhere
-are found by a 128-bit hash; the bytes of all chunks of one hash are compared, and each but the first (least doc_id, then
-line) is removed.
+Chunks that a rolling hash cuts (``chunks``) miss a repeated passage that doesn't hold two of their boundaries and leave the head
+and tail of others. So an anchor stands at every line: each pair of neighbouring lines. A run of two lines or more that
+occurs more than once is nothing but pairs that do, so removing the lines of every repeated pair but the first removes
+whole runs wherever they begin and end. Pairs are found by a 128-bit hash; the bytes of all pairs of one hash are compared, and
+each but the first (least doc_id, then line) is removed. A line that is removed always stays in an earlier place.
 
-What is counted and joined is hashes, salted where one is frequent. The bytes are compared by grouping them, so a chunk
-with a million copies leaves a map task once; no list of a chunk's occurrences is ever gathered. Whole texts are dealt
+What is counted and joined is hashes, salted where one is frequent. The bytes are compared by grouping them, so a pair
+with a million copies leaves a map task once; no list of a pair's occurrences is ever gathered. Whole texts are dealt
 by doc_id once, and read from there for the comparison and for the result.
 """
 
@@ -55,14 +56,21 @@ def _salts() -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
 
 
-def chunk_hashes(docs: DataFrame) -> DataFrame:
-    """doc_id, line and hash of the chunks of two lines or more that aren't blank."""
+def pair(lines: list[str], i: int) -> str:
+    """The text of line ``i`` and the next."""
+    return f"{lines[i]}\n{lines[i + 1]}"
+
+
+def pair_hashes(docs: DataFrame) -> DataFrame:
+    """doc_id, line and hash of the pairs of lines that aren't blank."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column(0)
-            rows = [(k, line, digest(c)) for k, x in enumerate(batch.column(1)) for line, n, c in chunks(x.as_py()) if n >= MIN_LINES and not c.isspace()]
+            own, rows = batch.column(0), []
+            for k, x in enumerate(batch.column(1)):
+                lines = x.as_py().split("\n")
+                rows += [(k, i, digest(c)) for i in range(len(lines) - 1) if not (c := pair(lines, i)).isspace()]
             yield pa.RecordBatch.from_arrays(
                 [own.take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())],
                 names=["doc_id", "line", "hash"],
@@ -72,37 +80,52 @@ def chunk_hashes(docs: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, line, hash, salt, is_first of every chunk whose hash occurs more than once."""
-    rows = materialize(chunk_hashes(docs.filter("doc_id is not null")), "chunks")
+    """doc_id, line, hash, salt, is_first of every pair whose hash occurs more than once; pairs that overlap the first count as it."""
+    rows = materialize(pair_hashes(docs.filter("doc_id is not null")), "pairs")
     first = rows.groupBy("hash").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     first = first.select("hash", "first", _salts())
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "line"), F.lit(SALTS)).cast("int"))
-    return salted.join(first, ["hash", "salt"]).select("doc_id", "line", "hash", "salt", (F.struct("doc_id", "line") == F.col("first")).alias("is_first"))
+    is_first = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("line") < F.col("first.line") + MIN_LINES)
+    return salted.join(first, ["hash", "salt"]).select("doc_id", "line", "hash", "salt", is_first.alias("is_first"))
 
 
 def unequal(marked: DataFrame) -> DataFrame:
-    """The hashes of ``marked`` (text, marks) whose chunks aren't all the same bytes."""
+    """The hashes of ``marked`` (text, marks) whose pairs aren't all the same bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text, marks in zip(batch.column(0), batch.column(1), strict=True):
                 if marks.is_valid:
-                    wanted = {(m["line"], m["hash"]) for m in marks.as_py()}
-                    lines = {m[0] for m in wanted}
-                    out += [(h, c) for line, _, c in chunks(text.as_py()) if line in lines and (line, h := digest(c)) in wanted]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.string())], names=["hash", "chunk"])
+                    lines = text.as_py().split("\n")
+                    out += [(m["hash"], c) for m in marks.as_py() if m["line"] + 1 < len(lines) and digest(c := pair(lines, m["line"])) == m["hash"]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.string())], names=["hash", "pair"])
+
+    return marked.select("text", "marks").mapInArrow(run, "hash binary, pair string").distinct().groupBy("hash").count().filter("count > 1").select("hash")
 
-    return marked.select("text", "marks").mapInArrow(run, "hash binary, chunk string").distinct().groupBy("hash").count().filter("count > 1").select("hash")
+
+def without(text: str, gone: set[tuple[int, bytes]]) -> tuple[int, int, str]:
+    """Lines, lines removed and what stays of ``text`` without the pairs ``gone`` and the blank lines between them."""
+    lines = text.split("\n")
+    out = {k for i, h in gone if i + 1 < len(lines) and digest(pair(lines, i)) == h for k in (i, i + 1)}
+    last = None
+    for i, x in enumerate(lines):
+        if i in out:
+            if last is not None:
+                out.update(range(last, i))
+            last = i
+        elif x and not x.isspace():
+            last = None
+    return len(lines), len(out), "\n".join(x for i, x in enumerate(lines) if i not in out)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and the text that stays, for every row of ``docs``.
 
-    A null text is an empty one (one blank line); a text whose chunks all repeat becomes empty. Blank chunks and single
+    A null text is an empty one (one blank line); a text whose lines all repeat in runs becomes empty. Blank pairs and single
     lines are never removed. Rows with one doc_id are taken for one document, so a repeated row changes nothing;
-    rows without a doc_id are left alone. An empty table gives no rows. Should different chunks share a 128-bit hash,
-    the comparison tells, and no chunk of that hash is removed.
+    rows without a doc_id are left alone. An empty table gives no rows. Should different pairs share a 128-bit hash,
+    the comparison tells, and no pair of that hash is removed.
     """
     texts = docs.select("doc_id", text_or_empty().alias("text"))
     found = materialize(repeats(docs), "repeats")
@@ -111,17 +134,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     gone = others.groupBy("doc_id").agg(F.collect_set(F.struct("line", "hash")).alias("gone"))
 
     def rebuild(texts: pd.Series, marks: pd.Series) -> pd.DataFrame:
-        out = []
-        for text, gone in zip(texts, marks, strict=True):
-            out_of = {(int(g["line"]), bytes(g["hash"])) for g in gone} if gone is not None and len(gone) else None
-            if not out_of:
-                out.append((text.count("\n") + 1, 0, text))
-                continue
-            parts = chunks(text)
-            lines = {x[0] for x in out_of}
-            kept = [c for c in parts if c[0] not in lines or (c[0], digest(c[2])) not in out_of]
-            n = sum(c[1] for c in parts)
-            out.append((n, n - sum(c[1] for c in kept), "\n".join(c[2] for c in kept)))
+        out = [without(text, {(int(g["line"]), bytes(g["hash"])) for g in gone} if gone is not None else set()) for text, gone in zip(texts, marks, strict=True)]
         return pd.DataFrame(out, columns=["n_lines", "n_removed", "text"])
 
     joined = texts.join(gone, "doc_id", "left")
