@@ -230,6 +230,14 @@ def test_html(spark):
     assert got[2]["text"] == got[3]["text"] == "" and got[4]["text"] == "first story" and got[5]["text"] == "second story"
 
 
+def test_html_does_not_depend_on_groups(spark):
+    notice = "Shared by two pages only are these ten words number {}"
+    data = [(i, f"http://big.example/{i}", f"<p>own {i} words that no other page has {i * 7}</p><p>{notice.format(i // 2)}</p>") for i in range(40)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string").repartition(3)
+    got = {n: {r["page_id"]: r["text"] for r in rows(html.extract(pages, group_pages=n))} for n in (3, 200)}
+    assert got[3] == got[200] and not any("Shared" in t for t in got[3].values()) and len(got[3]) == 40
+
+
 def test_lm(docs, none):
     got = rows(lmscore.score(docs))
     every = rows(docs)
