@@ -45,7 +45,7 @@ STAGES = [
     ("sharding", sharding),
 ]
 
-#: The stages learn rules and search semantically, which SQL can't express; tests hold run() against brute force.
+#: The stages learn rules and search semantically, which SQL can't express. Tests hold operators to brute force, and the stages to columns and row counts only.
 ORACLE_SQL = None
 
 
