@@ -35,6 +35,21 @@ def test_secret_spans():
     assert not secrets._is_der_key(key[:-1]) and not secrets.confirmed_spans("eyJhbGci.eyJz.c2ln " + "word" * 20)
 
 
+def test_secrets_confirmed_at_their_ends():
+    for n in range(600, 696):
+        body = b"\x02\x01\x00\x30\x05\x06\x03\x2b\x65\x70\x04\x82" + (n - 18).to_bytes(2) + bytes(k % 251 for k in range(n - 18))
+        der = b"\x30\x82" + len(body).to_bytes(2) + body
+        code = base64.b64encode(der).decode()
+        lines = "\n".join(code[i : i + 64] for i in range(0, len(code), 64))
+        assert [lines] == [m[0] for m in secrets.BASE64.finditer(f"-----BEGIN PRIVATE KEY-----\n{lines}\n-----END PRIVATE KEY-----\n") if len(m[0]) > 60]
+    b64 = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
+    for first in (b'{"alg":"HS256"}', b'{\n"alg":"HS256"}', b'{\t"alg":"HS256"}'):
+        token = f"{b64(first)}.{b64(b'{}')}.c2ln"
+        for text in (f"see {token}.", f"see {token}. Next", f"see {token} here"):
+            assert secrets.confirmed_spans(text) == [("jwt", 4, 4 + len(token))], text
+        assert not secrets.confirmed_spans(f"see {token}.more")
+
+
 def test_secret_rows(docs, none):
     assert len(rows(secrets.scan(docs))) == docs.count() and not rows(secrets.scan(none))
 

@@ -34,9 +34,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 _HINTS = ("pass", "secret", "token", "api")
 
-JWT = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*(?![A-Za-z0-9_.-])")
-#: A base64 run, perhaps wrapped over lines of 40 characters or more.
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{40,}\r?\n)*[A-Za-z0-9+/_-]{4,}={0,2}(?![A-Za-z0-9+/=_-])")
+JWT = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*(?!\.?[A-Za-z0-9_-])")
+#: A base64 run, perhaps wrapped over lines of 40 characters or more, before a line of dashes.
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{40,}\r?\n(?!-----))*(?:[A-Za-z0-9+/_-]{4,}={0,2}|[A-Za-z0-9+/_-]{2,3}={1,2})(?![A-Za-z0-9+/=_-])")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{24}")
 HEX_CODE = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])")
 MIN_BASE64 = 24
@@ -143,7 +143,7 @@ def _is_object(part: str, key: str | None = None) -> bool:
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """The spans that decoding confirms."""
     out = []
-    if "ey" in text:  # a JSON object in base64url starts with it: {" or { and white space
+    if "ey" in text or "ew" in text:  # a JSON object in base64url starts with one: {" or { and a blank, or { and a line end or tab
         for m in JWT.finditer(text):
             head, body, _ = m[0].split(".")
             if _is_object(head, "alg") and _is_object(body):
