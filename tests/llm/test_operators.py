@@ -62,12 +62,27 @@ def test_token_counts_match_the_library(docs, none):
     pick, alphabet = random.Random(3), [*" ab\nteh▁éü梦😀\x00.012<s>Ａ", "▁the", "  ", "ing", "tion"]
     for _ in range(400):
         text = "".join(pick.choice(alphabet) for _ in range(pick.randrange(60)))
-        assert own.count(text) == own.count(text, chunk=3) == len(library.encode(text)), text
+        assert own.count(text) == len(library.encode(text)), text
+    for word in ("".join(pick.choice("ting the▁ restéa".replace(" ", "").replace("▁", "")) for _ in range(n)) for n in (63, 64, 65, 3000, 70_000)):
+        assert own.count(word) == own.count(f"a {word}") - 1 == len(library.encode(word))
     got = rows(tokens.count_tokens(docs, model))
     assert sorted(r["n_tokens"] for r in got) == sorted(len(library.encode(r["text"] or "")) for r in rows(docs))
     assert not rows(tokens.count_tokens(none, model))
 
 
+def test_chunk_maps_compose_in_any_cut(monkeypatch):
+    import sentencepiece
+
+    model, pick = tokens.model_bytes(), random.Random(4)
+    library, own = sentencepiece.SentencePieceProcessor(model_proto=model), tokens.Transducer(model)
+    monkeypatch.setattr(tokens, "MAX_STATES", 500)
+    word = "".join(pick.choice("aeinrsthl梦é") for _ in range(5000))
+    for n in (1, 7, 100, 6000):
+        maps = [tokens.StateMap(own, (tokens.SPACE + word)[i : i + n]) for i in range(0, len(word) + 1, n)]
+        assert tokens.scanned(maps)(tokens.START)[1] == len(library.encode(word))
+        assert len(own.states) <= 502  # memory is bounded within a word
+
+
 def test_fingerprints_and_groups(docs, none):
     def brute(text):
         w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text))

@@ -11,19 +11,21 @@ those that a later piece can still reach back to matter. That finite knowledge i
 * a transition reads a character and carries the number of tokens that it adds (merging takes some back).
 
 States and transitions are compiled when first needed and kept; beyond a fixed number they are dropped and
-compiled anew, so memory is bounded. No piece holds a space after another character, so a word (spaces, then others)
-starts from the initial state: the composed transition of a whole word is kept as well.
+compiled anew, within a word too, so memory is bounded. No piece holds a space after another character, so a word (spaces,
+then others) starts from the initial state: its map is a constant, which is kept, and the scan over the words of a text is
+a sum. The words of an Arrow batch are split and numbered there, so each distinct one is looked up once.
 
-Long texts are cut into chunks. What a chunk does to any state is its map: the characters before its first reset, the
-tokens from there on, and its last, open word. Maps compose associatively; a balanced scan composes them.
+A word longer than a chunk, such as a text without spaces, is cut into chunks. What a chunk does to any state is its
+map (``StateMap``). Maps compose associatively (``Composed``); the levels of a balanced scan compose neighbours.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,9 +36,16 @@ MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 CHUNK = 1 << 15
 MAX_STATES = 300_000
-MAX_WORDS = 500_000
+#: Words of over so many characters go through the transducer one by one.
+SHORT = 64
+#: Rows whose words are numbered together.
+SLICE = 1024
 SPACE = "▁"
-_WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+#: The state before a word.
+START = ("", ("",), (0,))
+#: A move is packed as the next state and, in the low bits, the tokens added plus a constant, as it may take some back.
+_ADDED_BITS, _ADDED_ZERO, _ADDED_MASK = 8, 128, 255
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Transducer:
@@ -55,32 +64,38 @@ class Transducer:
         self.starts = {p[:k] for p in self.rank for k in range(1, len(p))}
         self.longest = max(map(len, self.rank), default=1)
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.symbols = sorted(self.chars)
+        self.wide = len(self.symbols) + 4  # characters outside the vocabulary differ by their bytes only
+        self.of_point = np.select([np.arange(0x110000) < x for x in (0x80, 0x800, 0x10000)], [self.wide - 4, self.wide - 3, self.wide - 2], self.wide - 1).astype(np.int32)
+        self.of_point[[ord(c) for c in self.symbols]] = np.arange(len(self.symbols))
         self._reset()
 
     def _reset(self) -> None:
-        self.states: list[tuple[str, tuple[str, ...], tuple[int, ...]]] = []
+        self.states: list[tuple[str, tuple[str | None, ...], tuple[int, ...]]] = []
         self.numbers: dict[tuple, int] = {}
-        self.moves: list[dict[str, tuple[int, int]]] = []
-        self.words = _Words(self)
-        self._number(("", ("",), (0,)))
+        self.moves: dict[int, int] = {}
+        self.table = _Table(1 << 12)
+        self._number(START)
 
     def _number(self, state: tuple) -> int:
         n = self.numbers.get(state)
         if n is None:
             n = self.numbers[state] = len(self.states)
             self.states.append(state)
-            self.moves.append({})
         return n
 
     def merged(self, parts: list[str]) -> list[str]:
         """Byte-pair encoding as it is defined; only run while compiling, on two pieces at most."""
-        rank = self.rank
-        while len(parts) > 1:
-            best = min(((rank[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in rank), default=None)
-            if best is None:
-                break
-            i = best[1]
+        rank, never = self.rank, float("inf")
+        costs = [rank.get(a + b, never) for a, b in zip(parts, parts[1:], strict=False)]
+        while costs and (least := min(costs)) < never:
+            i = costs.index(least)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del costs[i]
+            if i:
+                costs[i - 1] = rank.get(parts[i - 1] + parts[i], never)
+            if i < len(costs):
+                costs[i] = rank.get(parts[i] + parts[i + 1], never)
         return parts
 
     def fits(self, before: str, piece: str) -> bool:
@@ -92,84 +107,206 @@ class Transducer:
             known = self.pairs[key] = self.merged(list(before + piece)) == ([before, piece] if before else [piece])
         return known
 
-    def compile(self, state: int, char: str) -> tuple[int, int]:
-        """The transition of ``state`` on ``char``: the next state and the tokens added."""
+    def compile(self, move: int) -> int:
+        """Compiles and keeps what state ``move`` // wide does on symbol ``move`` % wide: next state and tokens added, packed."""
+        state, symbol = divmod(move, self.wide)
         seen, last, counts = self.states[state]
-        if char not in self.chars:  # becomes bytes, merges with nothing
-            found = (self._number(("", ("\0",), (0,))), len(char.encode("utf-8", "surrogatepass")))
+        if symbol >= len(self.symbols):  # becomes bytes, merges with nothing
+            after, added = ("", ("\0",), (0,)), symbol - len(self.symbols) + 1
         else:
-            text = seen + char
-            for k in range(min(len(text), self.longest), 0, -1):
-                piece, before = text[-k:], last[k - 1]
-                if piece in self.rank and (self.fits(before, piece) if before != "\0" else self.fits("", piece)):
+            text = seen + self.symbols[symbol]
+            ends = [text[-k:] for k in range(1, min(len(text), self.longest) + 1)]
+            for k in range(len(ends), 0, -1):
+                piece = ends[k - 1]
+                if piece in self.rank and self.fits("" if last[k - 1] == "\0" else last[k - 1], piece):
                     break
             else:
                 raise AssertionError("every character of the vocabulary is a piece")
             added = counts[k - 1] + 1
-            depth = min(len(text), self.longest - 1)
-            while depth and text[-depth:] not in self.starts:
-                depth -= 1
-            found = (self._number((text[len(text) - depth :], (piece, *last[:depth]), (0, *(c - added for c in counts[:depth])))), added)
-        self.moves[state][char] = found
+            # a position that no piece can begin at is forgotten, so that states which behave alike are one
+            open_at = [x in self.starts for x in ends[: self.longest - 1]]
+            while open_at and not open_at[-1]:
+                open_at.pop()
+            depth = len(open_at)
+            pieces = [p if o else None for p, o in zip(last, open_at, strict=False)]
+            relative = [c - added if o else 0 for c, o in zip(counts, open_at, strict=False)]
+            after = (text[len(text) - depth :], (piece, *pieces), (0, *relative))
+        found = self.moves[move] = self._number(after) << _ADDED_BITS | (added + _ADDED_ZERO)
         return found
 
+    def _symbols(self, text: str) -> np.ndarray:
+        return self.of_point[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
+
     def count_word(self, word: str) -> int:
+        """Tokens of one word from the start state; a long word is cut into chunks whose maps are composed."""
+        maps = [StateMap(self, word[i : i + CHUNK]) for i in range(0, len(word), CHUNK)]
+        return scanned(maps)(START)[1]
+
+    def steps(self, state: tuple, text: str) -> Iterator[tuple[tuple, int]]:
+        """The state after each character and the tokens added, whatever number the state has now."""
+        number, get, wide = self._number(state), self.moves.get, self.wide
+        for c in self._symbols(text).tolist():
+            if len(self.states) > MAX_STATES:
+                state = self.states[number]
+                self._reset()
+                number, get = self._number(state), self.moves.get
+            move = number * wide + c
+            if (found := get(move)) is None:
+                found = self.compile(move)
+            number = found >> _ADDED_BITS
+            yield self.states[number], (found & _ADDED_MASK) - _ADDED_ZERO
+
+    def count_words(self, words: pa.Array) -> np.ndarray:
+        """The tokens of each word, with a space before it; all short words take a step at a time together."""
+        sizes = pc.utf8_length(words).to_numpy().astype(np.int64)
+        symbols, begins = self._symbols("".join(words.to_pylist())), np.cumsum(sizes) - sizes
         if len(self.states) > MAX_STATES:
             self._reset()
-        state, total, moves = 0, 0, self.moves
-        for c in word:
-            move = moves[state].get(c)
-            state, added = move if move is not None else self.compile(state, c)
-            total += added
+        first = self.moves.get(int(self.of_point[ord(SPACE)]))
+        if first is None:
+            first = self.compile(int(self.of_point[ord(SPACE)]))
+        state = np.full(len(sizes), first >> _ADDED_BITS, np.int64)
+        total = np.full(len(sizes), (first & _ADDED_MASK) - _ADDED_ZERO, np.int64)
+        order = np.argsort(-np.minimum(sizes, SHORT + 1), kind="stable")
+        longer = np.searchsorted(-np.minimum(sizes, SHORT + 1)[order], -np.arange(SHORT + 2), side="left")  # words of over k characters
+        skip = int(longer[SHORT])
+        for k in range(SHORT):
+            own = order[skip : longer[k]]
+            if not len(own):
+                break
+            found = self.table.get(moves := state[own] * self.wide + symbols[begins[own] + k])
+            if len(lacking := np.flatnonzero(found < 0)):
+                new = np.unique(moves[lacking])
+                values = [self.moves.get(m) for m in new.tolist()]
+                values = np.array([self.compile(m) if v is None else v for m, v in zip(new.tolist(), values, strict=True)], np.int64)
+                self.table.put(new, values)
+                found[lacking] = values[np.searchsorted(new, moves[lacking])]
+            state[own] = found >> _ADDED_BITS
+            total[own] += (found & _ADDED_MASK) - _ADDED_ZERO
+        for i in order[:skip].tolist():
+            total[i] = self.count_word(SPACE + words[i].as_py())
+        total[sizes == 0] = 0
         return total
 
-    def chunk_map(self, text: str) -> tuple[str, int, str] | tuple[str]:
-        """(characters before the first reset, tokens up to the last reset, the word after it); (text,) without a reset."""
-        m = re.search(f"(?<=[^{SPACE}]){SPACE}", text)
-        if m is None:
-            return (text,)
-        words = _WORD.findall(text, m.start())
-        last = words.pop()
-        return text[: m.start()], sum(map(self.words.__getitem__, words)), last
-
-    def compose(self, a: tuple, b: tuple) -> tuple:
-        """First ``a``, then ``b``."""
-        if len(a) == 1 and len(b) == 1:
-            return self.chunk_map(a[0] + b[0])
-        if len(a) == 1:
-            joint = self.chunk_map(a[0] + b[0])
-            return (joint[0], b[1], b[2]) if len(joint) == 1 else (joint[0], joint[1] + self.words[joint[2]] + b[1], b[2])
-        joint = self.chunk_map(a[2] + b[0])
-        if len(b) == 1:
-            return (a[0], a[1], joint[0]) if len(joint) == 1 else (a[0], a[1] + self.words[joint[0]] + joint[1], joint[2])
-        inner = self.words[joint[0]] + (joint[1] + self.words[joint[2]] if len(joint) == 3 else 0)
-        return (a[0], a[1] + inner + b[1], b[2])
-
-    def count(self, text: str, chunk: int = CHUNK) -> int:
-        if not text:
-            return 0
-        text = SPACE + text.replace(" ", SPACE)
-        maps = [self.chunk_map(text[i : i + chunk]) for i in range(0, len(text), chunk)]
-        while len(maps) > 1:  # one level of the scan: neighbours compose
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        (whole,) = maps
-        return self.words[whole[0]] + (whole[1] + self.words[whole[2]] if len(whole) == 3 else 0)
-
-
-class _Words(dict):
-    """Tokens of a word; words that aren't kept yet go through the transducer."""
-
-    def __init__(self, own: Transducer):
-        super().__init__()
-        self.own = own
-
-    def __missing__(self, word: str) -> int:
-        n = self.own.count_word(word)
-        if len(word) <= 64:
-            if len(self) > MAX_WORDS:
-                self.clear()
-            self[word] = n
-        return n
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """The tokens of each text of an Arrow array; a word that stands in many places is counted once.
+
+        A word begins at a space that follows another character, and the state there is the same whatever came
+        before, so the map of a word is a constant and the scan over a text's words is a sum.
+        """
+        parts = pc.split_pattern(pc.replace_substring(texts, SPACE, " "), " ")
+        offsets = parts.offsets.to_numpy().astype(np.int64)
+        offsets -= offsets[0]
+        coded = parts.flatten().dictionary_encode()
+        names, codes = coded.dictionary, coded.indices.to_numpy()
+        of_part = self.count_words(names)[codes]
+        blank = (pc.binary_length(names).to_numpy() == 0)[codes]
+        if blank.any():
+            self._blanks(of_part, blank, offsets, names, codes)
+        total = np.r_[0, np.cumsum(of_part)]
+        found = total[offsets[1:]] - total[offsets[:-1]]
+        found[pc.binary_length(texts).to_numpy() == 0] = 0
+        return found
+
+    def _blanks(self, of_part: np.ndarray, blank: np.ndarray, offsets: np.ndarray, names: pa.Array, codes: np.ndarray) -> None:
+        """Several spaces in a row belong to the word after them, and at the end of a text are one word."""
+        first = np.zeros(len(blank) + 1, bool)
+        first[offsets[:-1]] = True
+        at = np.flatnonzero(blank)
+        starts = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | first[at[1:]]])
+        known: dict[str, int] = {}
+        for lo, hi in zip(at[starts].tolist(), (np.r_[at[starts[1:] - 1], at[-1:]] + 1).tolist(), strict=True):
+            inside = hi < len(blank) and not first[hi]
+            word = SPACE * (hi - lo + inside) + (names[int(codes[hi])].as_py() if inside else "")
+            if word not in known:
+                known[word] = self.count_word(word)
+            of_part[hi if inside else lo] = known[word]
+
+    def count(self, text: str) -> int:
+        return int(self.counts(pa.array([text], pa.string()))[0])
+
+
+class StateMap:
+    """What a chunk does to any state: (state after it, tokens added).
+
+    The chunk is read once from the start state. Another state is followed until it meets that path, from where
+    on both are the same; if it never does, it is followed to the end.
+    """
+
+    def __init__(self, own: Transducer, text: str):
+        self.own, self.text = own, text
+        self.path: list[tuple] = []
+        self.sums: list[int] = []
+        for state, added in own.steps(START, text):
+            self.path.append(state)
+            self.sums.append(added + (self.sums[-1] if self.sums else 0))
+
+    def __call__(self, state: tuple) -> tuple[tuple, int]:
+        total, now = 0, state
+        for i, (now, added) in enumerate(self.own.steps(state, self.text)):
+            total += added
+            if now == self.path[i]:
+                return self.path[-1], total + self.sums[-1] - self.sums[i]
+        return now, total
+
+
+class Composed:
+    """First ``a``, then ``b``; what it does to a state is kept."""
+
+    def __init__(self, a: StateMap | Composed, b: StateMap | Composed):
+        self.a, self.b = a, b
+        self.known: dict[tuple, tuple[tuple, int]] = {}
+
+    def __call__(self, state: tuple) -> tuple[tuple, int]:
+        if state not in self.known:
+            middle, n = self.a(state)
+            end, m = self.b(middle)
+            self.known[state] = (end, n + m)
+        return self.known[state]
+
+
+def scanned(maps: list[StateMap | Composed]) -> StateMap | Composed:
+    """One level of the scan after another: neighbouring maps compose until one is left."""
+    while len(maps) > 1:
+        maps = [Composed(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+    return maps[0]
+
+
+class _Table:
+    """Numbers by number, looked up for whole arrays: open addressing, at most half full."""
+
+    def __init__(self, size: int):
+        self.keys, self.values, self.held = np.full(size, -1, np.int64), np.full(size, -1, np.int64), 0
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key is, or the free place where it would be."""
+        mask = len(self.keys) - 1
+        at = ((keys.view(np.uint64) * _ODD) >> np.uint64(64 - mask.bit_length())).astype(np.int64)
+        open_rows = np.flatnonzero((self.keys[at] != keys) & (self.keys[at] >= 0))
+        while len(open_rows):
+            at[open_rows] = (at[open_rows] + 1) & mask
+            there = self.keys[at[open_rows]]
+            open_rows = open_rows[(there != keys[open_rows]) & (there >= 0)]
+        return at
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key; -1 without one."""
+        return self.values[self._slots(keys)]
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Distinct keys that aren't held yet."""
+        self.held += len(keys)
+        if 2 * self.held > len(self.keys):
+            old = self.keys >= 0
+            keys, values = np.r_[self.keys[old], keys], np.r_[self.values[old], values]
+            size = 1 << int(4 * self.held - 1).bit_length()
+            self.keys, self.values = np.full(size, -1, np.int64), np.full(size, -1, np.int64)
+        while len(keys):
+            at = self._slots(keys)
+            self.keys[at] = keys  # of several that meet in one place the last one stays
+            won = self.keys[at] == keys
+            self.values[at[won]] = values[won]
+            keys, values = keys[~won], values[~won]
 
 
 _COMPILED: dict[bytes, Transducer] = {}
@@ -194,9 +331,11 @@ def count_tokens(docs: DataFrame, model: bytes, *, limit: int = LIMIT) -> DataFr
         if model not in _COMPILED:
             _COMPILED.clear()
             _COMPILED[model] = Transducer(model)
-        count = _COMPILED[model].count
+        counts = _COMPILED[model].counts
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([count(x.as_py()) for x in batch.column(2)], pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+            for at in range(0, len(batch), SLICE):
+                part = batch.slice(at, SLICE)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts(part.column(2)))], names=["doc_id", "n_bytes", "n_tokens"])
 
     counted = docs.select("doc_id", F.octet_length(text_or_empty()).cast("long").alias("n_bytes"), text_or_empty().alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
