@@ -151,7 +151,7 @@ def shard(docs: DataFrame, *, n_shards: int = N_SHARDS, slack: float = SLACK, ra
     return (
         placed.withColumn("inside", inside)
         .join(counts.withColumn("before", before).select("shard", "range", "before"), ["shard", "range"])
-        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("inside") - 1).cast("int").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("inside") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     )
 
 
