@@ -97,8 +97,33 @@ def test_fingerprints_and_groups(docs, none):
     ids = [r["component_id"] for r in got if r["doc_id"] in (24, 25, 26)]
     assert ids == [24] * 3 and {r["doc_id"]: r["component_id"] for r in got}[29] in (10, 28)
     assert not rows(simhash.near_groups(none))
-    kept = rows(simhash.keep_one_of_each(docs))
-    assert sum(r["doc_id"] == 3 for r in kept) == 1 and {24, 25, 26} & {r["doc_id"] for r in kept} == {24}
+
+
+def test_groups_against_all_pairs(spark):
+    pick, texts = random.Random(5), []
+    for _ in range(40):
+        words = [pick.choice("abcdefgh") * pick.randrange(1, 4) for _ in range(pick.randrange(0, 30))]
+        for _ in range(5):
+            texts.append(" ".join(words))
+            if words:
+                words[pick.randrange(len(words))] = pick.choice("xyz")
+    prints = [simhash.fingerprint(t) for t in texts]
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= 2 and group[a] != group[b]:
+                low, high = sorted((group[a], group[b]))
+                group = [low if g == high else g for g in group]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["component_id"] for r in rows(simhash.near_groups(df))} == dict(enumerate(group))
+    assert len(set(group)) < len(set(prints))
+
+
+def test_near_dedup_keeps_rows_that_share_a_doc_id(spark):
+    a, b, c, d = (" ".join(f"w{(i * k) % 97}" for i in range(60)) for k in (1, 2, 3, 5))
+    df = spark.createDataFrame([(1, a, 5), (1, b, 5), (2, c, 5), (2, c, 5), (3, c, 6), (None, a, 1), (None, d, 1)], "doc_id long, text string, k1 int")
+    got = sorted(((r["doc_id"], r["text"]) for r in rows(jaccard.keep_one_of_each(df))), key=str)
+    assert got == sorted([(1, a), (1, b), (2, c), (None, d)], key=str)
 
 
 def test_near_copies_against_all_pairs(spark, docs, none):

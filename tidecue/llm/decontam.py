@@ -40,7 +40,7 @@ PARAPHRASE = 0.55
 ANSWER = 0.5
 ITEMS_IN_BLOCK = 4096
 _EDGE = ".,;:!?\"'()[]{}«»“”„¿¡…*_#$%&|"
-_CACHE = 1_000_000
+_CACHE = 100_000
 
 
 def terms(text: str) -> list[str]:

@@ -1,8 +1,9 @@
-"""Near-duplicates by the exact Jaccard similarity of five-word shingles, for stages that are to find near copies.
+"""The near-dedup stage: one row stays of each group of texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Fingerprints can't give this: at a similarity of 0.8 two SimHashes differ in about 10 of 64 bits, up to 18, and a band
-among 19 of them has 3 bits, which compares nearly all pairs. So candidates are texts that agree on a band of a MinHash;
-at 0.8, 32 bands of 4 miss one pair in 20 million. Every link is confirmed on the sets of shingles themselves.
+Candidates come from two searches. Texts whose SimHash fingerprints (``simhash``, here of five-word shingles) are linked by the
+trie self-join are one; but at a similarity of 0.8 two fingerprints differ in about 10 of 64 bits, up to 18, and a trie that
+spends 18 bits compares nearly all pairs. So texts that agree on a band of a MinHash are the other: at 0.8, 36 bands of 6
+miss one pair in 50,000. Every link is confirmed on the sets of shingles themselves.
 
 Texts with one set are one vertex from the start. Each member of a bucket is compared with the bucket's least vertex first;
 of the other pairs only those whose ends are not yet in one group are compared, so a large group of near copies costs
@@ -21,29 +22,38 @@ from pyspark.sql import functions as F
 
 from tidecue.llm.common import materialize, text_or_empty
 from tidecue.llm.components import components
-from tidecue.llm.simhash import SEED, keep_named
+from tidecue.llm.simhash import SEED, bits_of, near_links
 
 SHINGLE = 5
 #: Linked from a similarity of 4 / 5 on, in whole numbers so that the edge itself counts.
 OVER, UNDER = 4, 5
-BANDS, DEPTH = 32, 4
+BANDS, DEPTH = 36, 6
+#: Bits that linked fingerprints may differ by.
+BUDGET = 3
+#: Texts that are read into sets together.
+SLICE = 512
 SALTS = 16
 #: Pairs of one vertex that are compared in one place.
 _PAIRS = 64
 _BLOCK = 2048
-_DRAW = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * DEPTH), np.uint64)
-_XOR, _ODD = _DRAW[0], _DRAW[1] | np.uint64(1)
+_DRAW = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * DEPTH), np.uint32)
+_XOR, _ODD = _DRAW[0], _DRAW[1] | np.uint32(1)
 
 
-def shingles(text: str) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of the text's shingles; of all words if they are fewer, and none without a word."""
+def all_shingles(text: str) -> np.ndarray:
+    """The 64-bit hash of each of the text's shingles; of all words if they are fewer, and none without a word."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
     if len(words) <= SHINGLE:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
     grams = map(b" ".join, zip(*(words[k:] for k in range(SHINGLE)), strict=False))
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64))
+    return np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(words) - SHINGLE + 1)
+
+
+def shingles(text: str) -> np.ndarray:
+    """The sorted distinct hashes of the text's shingles."""
+    return np.unique(all_shingles(text))
 
 
 def vertex(hashes: np.ndarray) -> int:
@@ -53,9 +63,10 @@ def vertex(hashes: np.ndarray) -> int:
 
 def buckets(hashes: np.ndarray) -> np.ndarray:
     """A number for each band of the set's MinHash."""
-    least = np.full(BANDS * DEPTH, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(hashes), _BLOCK):
-        x = hashes[i : i + _BLOCK, None] ^ _XOR
+    least = np.full(BANDS * DEPTH, np.iinfo(np.uint32).max, np.uint32)
+    low = hashes.astype(np.uint32)
+    for i in range(0, len(low), _BLOCK):
+        x = low[i : i + _BLOCK, None] ^ _XOR
         x *= _ODD
         np.minimum(least, x.min(axis=0), out=least)
     return np.array([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, DEPTH))], np.uint64).view(np.int64)
@@ -66,28 +77,45 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return UNDER * both >= OVER * (len(a) + len(b) - both)
 
 
+def row_keys(docs: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of the whole row, which name it: rows with one name are one and the same."""
+    columns = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if f.dataType.typeName() in ("map", "variant") else F.col(f"`{f.name}`") for f in docs.schema]
+    return [F.xxhash64(F.lit(k), *columns).alias(f"k{k}") for k in (1, 2)]
+
+
+def _named(docs: DataFrame, *columns: Column | str) -> DataFrame:
+    """k1, k2 and ``columns``; other columns of ``docs`` can't clash with them."""
+    return docs.select(*row_keys(docs), *columns)
+
+
 def _with_buckets(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(x.as_py()) for x in batch.column(1)]
-            columns = [pa.array([vertex(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([buckets(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "v", "n", "keys"])
+        for whole in batches:
+            for at in range(0, len(whole), SLICE):
+                batch = whole.slice(at, SLICE)
+                every = [all_shingles(x.as_py()) for x in batch.column(3)]
+                prints = pa.array(np.array([bits_of(x) for x in every], np.uint64).view(np.int64))
+                sets = [np.unique(x) for x in every]
+                columns = [pa.array([vertex(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), prints, pa.array([buckets(s) for s in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["doc_id", "k1", "k2", "v", "n", "fp", "keys"])
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id {kind}, v long, n long, keys array<long>")
+    return docs.select("doc_id", *row_keys(docs), text_or_empty().alias("text")).mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, v long, n long, fp long, keys array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """v and the packed shingles of each of ``wanted`` (v, least), read from the text of its least doc_id."""
+    """v and the packed shingles of each of ``wanted`` (v, k1, k2), read from the text of the row of that name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [(v, s) for v, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) if vertex(s := shingles(x.as_py())) == v]
-            yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in got], pa.int64()), pa.array([s.tobytes() for _, s in got], pa.binary())], names=["v", "hashes"])
+            for v, text in zip(batch.column(0), batch.column(1), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([v.as_py()], pa.int64()), pa.array([shingles(text.as_py()).tobytes()], pa.binary())], names=["v", "hashes"])
 
-    texts = docs.select("doc_id", text_or_empty().alias("text")).join(wanted, F.col("doc_id") == F.col("least"))
-    return texts.select("v", "text").mapInArrow(run, "v long, hashes binary").dropDuplicates(["v"])
+    # a row that is repeated often lies in many partitions of the input, and is spread by them
+    texts = _named(docs, text_or_empty().alias("text"), F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"))
+    found = texts.join(wanted.select("*", _salts()), ["k1", "k2", "salt"]).groupBy("v").agg(F.min("text").alias("text"))
+    return found.select("v", "text").mapInArrow(run, "v long, hashes binary")
 
 
 def _salt(*columns: str) -> Column:
@@ -124,20 +152,33 @@ def _lengths_allow(n: Column, m: Column) -> Column:
     return UNDER * F.least(n, m) >= OVER * F.greatest(n, m)
 
 
-def kept_ids(docs: DataFrame) -> DataFrame:
-    """kept_id: the least doc_id of each group; rows without a doc_id are left out.
+def _by_prints(vertices: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of the trie self-join: vertices of one fingerprint, and the least ones of linked fingerprints."""
+    leaves = vertices.groupBy("fp").agg(F.min("v").alias("first"), F.count("*").alias("size"))
+    own = vertices.select("v", "fp").join(leaves.filter("size > 1").select("fp", "first"), "fp").filter("v <> first").select(F.col("v").alias("a"), F.col("first").alias("b"))
+    found = near_links(leaves.select("fp"), budget=BUDGET)
+    of = lambda side, name: leaves.select(F.col("fp").alias(side), F.col("first").alias(name))
+    return own.union(found.join(of("u", "a"), "u").join(of("v", "b"), "v").select("a", "b"))
+
+
+def kept_rows(docs: DataFrame) -> DataFrame:
+    """k1, k2: the name of one row of each group, the least doc_id's (null is last, then the least name).
 
     Texts without a word are equal sets and so one group. Texts are read whole. An empty table gives no rows.
     """
-    docs = docs.filter("doc_id is not null")
     rows = materialize(_with_buckets(docs), "sets")
-    vertices = materialize(rows.groupBy("v").agg(F.min("doc_id").alias("least"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys")), "vertices")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "k1", "k2")).alias("least")
+    vertices = materialize(rows.groupBy("v").agg(least, F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys")), "vertices")
     entries = vertices.select("v", "n", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.min(F.struct("v", "n")).alias("first"), F.count("*").alias("size")).filter("size > 1").select("key", "first", _salts())
     members = materialize(entries.withColumn("salt", _salt("v")).join(shared, ["key", "salt"]).select("key", "v", "n", "first"), "buckets")
-    sets = materialize(_sets(docs, vertices.select("v", "least").join(members.select("v").distinct(), "v", "left_semi")), "shingles")
-    stars = members.filter("v <> first.v").filter(_lengths_allow(F.col("n"), F.col("first.n"))).select(F.col("v").alias("a"), F.col("first.v").alias("b")).distinct()
-    links = _confirmed(materialize(stars, "stars-of-buckets"), sets)
+    by_prints = materialize(_by_prints(vertices), "print-pairs")
+    used = members.select("v").union(by_prints.select("a")).union(by_prints.select("b")).distinct()
+    sets = materialize(_sets(docs, vertices.select("v", "least.k1", "least.k2").join(used, "v", "left_semi")), "shingles")
+    sizes = vertices.select("v", "n")
+    stars = members.filter("v <> first.v").filter(_lengths_allow(F.col("n"), F.col("first.n"))).select(F.col("v").alias("a"), F.col("first.v").alias("b"))
+    allowed = by_prints.join(sizes.withColumnsRenamed({"v": "a", "n": "n_a"}), "a").join(sizes.withColumnsRenamed({"v": "b", "n": "n_b"}), "b").filter(_lengths_allow(F.col("n_a"), F.col("n_b")))
+    links = _confirmed(materialize(stars.union(allowed.select("a", "b")).distinct(), "stars-of-buckets"), sets)
     # What can still join two groups: pairs within a bucket, neither end its least vertex, that the links so far keep apart.
     named = members.join(components(links).withColumnRenamed("u", "v"), "v", "left").select("key", "v", "n", F.coalesce("root", "v").alias("root"), (F.col("v") == F.col("first.v")).alias("is_first"))
     named = materialize(named.filter("not is_first"), "named")
@@ -147,9 +188,16 @@ def kept_ids(docs: DataFrame) -> DataFrame:
     pairs = open_rows.withColumnRenamed("v", "a").join(others, ["key", "salt"]).filter("a < b and root <> other").filter(_lengths_allow(F.col("n"), F.col("m"))).select("a", "b").distinct()
     links = links.union(_confirmed(materialize(pairs, "pairs"), sets))
     placed = vertices.select("v", "least").join(components(links).withColumnRenamed("u", "v"), "v", "left")
-    return placed.groupBy(F.coalesce("root", "v").alias("root")).agg(F.min("least").alias("kept_id")).select("kept_id").distinct()
+    return placed.groupBy(F.coalesce("root", "v").alias("root")).agg(F.min("least").alias("least")).select("least.k1", "least.k2")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of their group, as ``simhash.keep_named`` chooses them."""
-    return keep_named(docs, materialize(kept_ids(docs), "kept"))
+    """One row of each group of near copies, all columns as they were.
+
+    A group is a group of rows, not of doc_ids: rows that share a doc_id but not their text are looked at one by one, rows
+    without a doc_id too; of rows that are the same in all columns one stays. A null text is an empty one.
+    """
+    kept = materialize(kept_rows(docs), "kept")
+    apart = _named(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    # repeated rows are taken together before they are sent anywhere
+    return apart.groupBy("k1", "k2").agg(F.first("row").alias("row")).join(kept, ["k1", "k2"], "left_semi").select("row.*")

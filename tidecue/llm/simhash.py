@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecue.llm.common import materialize, table, text_or_empty
@@ -32,21 +32,24 @@ _SLAB = 1 << 16
 _DIRECT = 16
 
 
+def bits_of(hashes: np.ndarray) -> int:
+    """64 bits, each set if it is set in over half of the hashes; 0 without one."""
+    ones = np.zeros(BITS, np.int64)
+    for i in range(0, len(hashes), _BLOCK):
+        ones += np.unpackbits(hashes[i : i + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int((np.uint64(1) << np.arange(BITS, dtype=np.uint64))[2 * ones > len(hashes)].sum(dtype=np.uint64))
+
+
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """64 bits, each set if it is set in over half of the shingles' hashes; 0 without a word."""
+    """``bits_of`` the shingles' hashes, repeats included; of all words if they are fewer, and 0 without a word."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     n = len(words) - shingle + 1
     if not words:
         return 0
     if n < 2:
         return xxhash.xxh64_intdigest(b" ".join(words), SEED)
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
-    for i in range(0, n, _BLOCK):
-        part = words[i : i + _BLOCK + shingle - 1]
-        grams = map(b" ".join, zip(*(part[k : len(part) - shingle + 1 + k] for k in range(shingle)), strict=True))
-        hashes = np.fromiter((digest(g, SEED) for g in grams), np.uint64, len(part) - shingle + 1)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int((np.uint64(1) << np.arange(BITS, dtype=np.uint64))[2 * ones > n].sum(dtype=np.uint64))
+    grams = map(b" ".join, zip(*(words[k : n + k] for k in range(shingle)), strict=True))
+    return bits_of(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, n))
 
 
 def with_fingerprints(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
@@ -178,21 +181,5 @@ def near_groups(docs: DataFrame, *, shingle: int = SHINGLE, budget: int = BUDGET
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_named(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``kept`` (kept_id, distinct), all columns as they were; of repeated rows one stays.
-
-    Rows without a doc_id have no name to choose by and stay.
-    """
-    apart = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id")
-    chosen = apart.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    first = chosen.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("row.text")))).filter("nth = 1")
-    return first.select("row.*").union(apart.filter("doc_id is null").select("row.*"))
-
-
-def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their group; see ``keep_named``."""
-    return keep_named(docs, near_groups(docs, **options).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct())
-
-
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
