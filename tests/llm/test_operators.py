@@ -305,7 +305,52 @@ def test_lm(docs, none):
     assert all(r["held_out"] == held(r["doc_id"]) and r["score"] <= 0 for r in got) and not rows(lmscore.score(none))
 
 
-def test_class_probabilities_sum_to_one():
-    w = np.random.default_rng(1).standard_normal((lmscore._ROWS, lmscore.CLASSES)).astype(np.float32)
-    p = np.exp(lmscore.log_probs(w, np.random.default_rng(2).integers(0, 1 << lmscore.BUCKET_BITS, (50, 4))))
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
+def test_lm_is_a_distribution_and_beats_the_base(spark):
+    """The probabilities of all words after a context sum to one; a plain reading of the weights gives the scores."""
+    pick, texts = random.Random(2), []
+    words = {lang: [f"{lang}{pick.choice('abcdefgh')}{pick.randrange(300)}{lang}" for _ in range(400)] for lang in "xyz"}
+    for i in range(300):
+        texts.append((i, " ".join(pick.choice(words["xyz"[i % 3]]) for _ in range(120))))
+    df = spark.createDataFrame([*texts, (300, None), (301, "")], "doc_id long, text string")
+    ready, model = lmscore.prepared(df.repartition(3), chunk_chars=20_000)
+    known = collections.Counter(w for i, t in texts if zlib.crc32(str(i).encode()) % 5 != 1 for w in [*t.encode().split(), lmscore.END])
+    known[lmscore.END] += sum(zlib.crc32(str(i).encode()) % 5 != 1 for i in (300, 301))
+    vocabulary = [*known, b"unseen"]
+    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in vocabulary], np.uint64)
+    counts = np.array([known[w] for w in vocabulary], np.int64)
+    cells = model.cells(hashes.view(np.int64), np.array([lmscore.kind(w) for w in vocabulary], np.uint8), counts)
+    place = {w: k for k, w in enumerate(vocabulary)}
+    sub, bias = lmscore.SUBCLASSES, model.biases()
+
+    def log10(context, word):  # the last words come first in ``context``
+        mix = [int(x) for x in lmscore._MIX]
+        last = [int(hashes[place[context[0]]])] if context else [1]
+        own = [int(cells[place[c]]) + 8 for c in context] + list(range(len(context) + 1, 4))
+        raw = [x * mix[k] % 2**64 for k, x in enumerate([*last, own[0], own[1], own[2]])]
+        k, j = divmod(int(cells[word]), sub)
+        z = sum(model.first[x >> (64 - model.bits)] for x in raw) + bias[0]
+        y = sum(model.second[(((x ^ k * mix[4] % 2**64) * mix[5]) % 2**64) >> (64 - model.bits)] for x in raw) + bias[1][k]
+        soft = lambda v, i: v[i] - v.max() - math.log(np.exp(v - v.max()).sum())
+        share = (counts[word] + 0.5) / (model.n[cells[word]] + 0.5 * (model.v[cells[word]] + 1))
+        return (soft(z, k) + soft(y, j)) / math.log(10) + math.log10(share)
+
+    # each subclass has one slot for unseen words, which may or may not have a member here
+    context = [vocabulary[5], vocabulary[9], vocabulary[2]]
+    seen = sum(10 ** log10(context, k) for k in range(len(vocabulary) - 1))
+    assert 0.9 < seen < 1
+    got = {r["doc_id"]: r for r in rows(lmscore.score(df, chunk_chars=50_000))}
+    for i in (0, 1, 7, 44):
+        tokens_of = [*texts[i][1].encode().split(), lmscore.END]
+        at = [place.get(w, len(vocabulary) - 1) for w in tokens_of]
+        if all(w in place for w in tokens_of):
+            want = sum(log10([tokens_of[q] for q in range(p - 1, max(-1, p - 4), -1)], k) for p, k in enumerate(at))
+            assert abs(want - got[i]["score"]) < 1e-2
+    one = {r["doc_id"]: r["score"] for r in rows(lmscore.score(df.coalesce(1)))}
+    assert all(abs(one[i] - r["score"]) <= 1e-4 * abs(one[i]) for i, r in got.items())
+    held = [r for r in got.values() if r["held_out"]]
+    assert sum(r["score"] - r["base_score"] for r in held) > 0.2 * sum(r["n_tokens"] for r in held)
+
+
+def test_lm_on_held_out_documents_of_sf001(spark):
+    got = rows(lmscore.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out"))
+    assert sum(r["score"] - r["base_score"] for r in got) > 0.08 * sum(r["n_tokens"] for r in got)

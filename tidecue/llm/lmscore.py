@@ -1,22 +1,30 @@
 """Language-model scores by a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | context) = P(class | context) P(word | class). The most frequent words are classes of their own; all others
-fall into classes by shape (letters beyond ASCII, a mark at the end, length). P(class | context) is a softmax over hashed
-indicator features: the last word, the last two as one, and skips to the second and third last. P(word | class) is the
-smoothed share of the word in its class, with one more slot for words that training never saw.
+P(word | context) = P(class | context) P(subclass | class, context) P(word | subclass). Classes are bands of frequency by shape
+(letters beyond ASCII, a mark at the end, length); a frequent word is a subclass of its own, others share one with words
+of their class and ending. Both softmaxes are trained on the same hashed indicator features: the last word, its
+subclass, and skips to the subclasses of the second and third last; those of the second hold the class as well. P(word | subclass)
+is the smoothed share of the word, with one more slot for words that training never saw.
 
-Text is read once and kept as numbered chunks: whole documents as local word ids, and the local words' 64-bit hashes, shapes
+What is gathered grows with the corpus: every word is counted, and the weights have a row for each of about the square
+root of the training tokens' number (``MAX_BITS`` bounds what is sent to the tasks).
+
+Text is read once and kept as numbered chunks: whole documents as local word ids, and the local words' 64-bit hashes, kinds
 and counts. A word is its hash from there on (two words that share one would count together; five million words have
 one such pair with a chance of about 1 in a million). Counts of all words are summed where the hashes meet, a row for each word of
-a chunk, not for each token, and go back to their chunks packed, so no vocabulary is ever sent around whole. Weights (a parameter's size, whatever the corpus) are
-trained by rounds of gradient descent over each task's own chunks; the weights of a round's tasks are
-averaged by the tokens they saw, in slices, and go on to the next round. All training documents are seen once.
+a chunk, not for each token, and go back to their chunks packed, so no vocabulary is ever sent around whole.
+
+Weights are trained by rounds of distributed gradient updates. Each round takes its own share of the training documents, by a hash
+of their text; every task sums the gradient over its documents of that share, the sums are added in slices, and one step, scaled by
+each weight's expected count, follows. So all training documents are seen once, and neither the order of rows nor
+their partitions change the result beyond the rounding of sums.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,27 +38,34 @@ from tidecue.llm.common import materialize, table, text_or_empty
 
 FOLDS, HELD_OUT = 5, 1
 CHUNK_CHARS = 8_000_000
-HEADS = 32
+#: Words that are subclasses of their own.
+HEADS = 256
 SHAPES = 8
-CLASSES = HEADS + SHAPES
-BUCKET_BITS = 13
-ROUNDS = 2
-BATCH = 8192
-RATE = 0.1
+#: Words seen in fewer than one of so many training tokens fall into the next band; heads are a band before these.
+BANDS = (1 << 13, 1 << 18)
+CLASSES = SHAPES * (len(BANDS) + 2)
+SUBCLASSES = 32
+MIN_BITS, MAX_BITS = 6, 18
+ROUNDS = 6
+#: Step length, prior count and the most that a weight moves at once.
+RATE, PRIOR, MOST = 0.3, 8.0, 1.5
+BATCH = 1 << 14
 SLICES = 16
+#: Word rows that are counted in one task, about.
+ROWS_IN_PART = 2_000_000
 #: The end of a text as a word; no word holds white space.
 END = b"\n"
 _MARKS = b".,;:!?"
-#: A word's place: its chunk, its number there, its shape.
-_I_BITS, _K_BITS, _SEQ_BITS = 24, 3, 12
-#: Odd multipliers for the four features; fixed.
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
-_ROWS = (1 << BUCKET_BITS) + 1  # the last one is the bias
+#: A word's place: its chunk, its number there.
+_I_BITS, _SEQ_BITS = 31, 14
+#: Odd multipliers for the features and for classes; fixed.
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
-def shape(word: bytes) -> int:
-    """One of eight: letters beyond ASCII, a mark at the end, over six bytes."""
-    return 4 * (not word.isascii()) + 2 * (word[-1] in _MARKS) + (len(word) > 6)
+def kind(word: bytes) -> int:
+    """One of 256: the shape (letters beyond ASCII, a mark at the end, over six bytes), and 32 for the last byte before marks."""
+    shape = 4 * (not word.isascii()) + 2 * (word[-1] in _MARKS) + (len(word) > 6)
+    return shape * SUBCLASSES + zlib.crc32(word.rstrip(_MARKS)[-1:]) % SUBCLASSES
 
 
 def _packed_ids(ids: np.ndarray) -> bytes:
@@ -63,39 +78,45 @@ def _unpacked_ids(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(np.int32).ravel()
 
 
-def encoded(docs: DataFrame) -> DataFrame:
-    """Chunks of whole documents: ids of rows, tokens of each, local word ids; hash, shape and training count of each word."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"chunk long, doc_ids array<{kind}>, held array<boolean>, lengths array<int>, ids binary, hashes binary, shapes binary, counts binary"
+def encoded(docs: DataFrame, *, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """Chunks of whole documents: ids of rows, fold and share of each, tokens, local word ids; hash, kind and training count of each word."""
+    of_id = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"chunk long, doc_ids array<{of_id}>, held array<boolean>, shares array<int>, lengths array<int>, ids binary, hashes binary, kinds binary, counts binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
-        doc_ids, held, lengths, ids, chars, number, doc_type = [], [], [], [], 0, {}, None
+        doc_ids, held, shares, lengths, ids, chars, number, doc_type = [], [], [], [], [], 0, {}, None
 
         def done() -> pa.RecordBatch:
             flat = np.concatenate(ids)
             counts = np.bincount(flat[np.repeat(~np.array(held), lengths)], minlength=len(number)).astype(np.int32)
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number))
-            shapes = np.fromiter(map(shape, number), np.int8, len(number))
-            row = [[(part << _SEQ_BITS) + seq], [pa.array(doc_ids, doc_type)], [held], [lengths], [_packed_ids(flat)], *([x.tobytes()] for x in (hashes, shapes, counts))]
-            types = [pa.int64(), pa.list_(doc_type), pa.list_(pa.bool_()), pa.list_(pa.int32()), *[pa.binary()] * 4]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], names=["chunk", "doc_ids", "held", "lengths", "ids", "hashes", "shapes", "counts"])
+            kinds = np.fromiter(map(kind, number), np.uint8, len(number))
+            row = [[(part << _SEQ_BITS) + seq], [pa.array(doc_ids, doc_type)], [held], [shares], [lengths], [_packed_ids(flat)], *([x.tobytes()] for x in (hashes, kinds, counts))]
+            types = [pa.int64(), pa.list_(doc_type), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.binary()] * 4]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(x, t) for x, t in zip(row, types, strict=True)], names=["chunk", "doc_ids", "held", "shares", "lengths", "ids", "hashes", "kinds", "counts"]
+            )
 
         for batch in batches:
             doc_type = batch.schema.field(0).type
             for doc_id, name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 text = text.as_py()
-                words = text.encode("utf-8", "surrogatepass").lower().split()
+                raw = text.encode("utf-8", "surrogatepass").lower()
+                words = raw.split()
                 words.append(END)
                 ids.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
                 doc_ids.append(doc_id)
                 held.append(zlib.crc32((name or "").encode()) % FOLDS == HELD_OUT)
+                shares.append(xxhash.xxh3_64_intdigest(raw) & 0x7FFFFFFF)
                 lengths.append(len(words))
                 chars += len(text)
-                if chars >= CHUNK_CHARS:
+                if chars >= chunk_chars:
                     yield done()
                     seq += 1
-                    doc_ids, held, lengths, ids, chars, number = [], [], [], [], 0, {}
+                    if seq >> _SEQ_BITS:
+                        raise ValueError("too many chunks in one partition: read the input in more partitions")
+                    doc_ids, held, shares, lengths, ids, chars, number = [], [], [], [], [], 0, {}
         if doc_ids:
             yield done()
 
@@ -103,17 +124,17 @@ def encoded(docs: DataFrame) -> DataFrame:
 
 
 def word_rows(chunks: DataFrame) -> DataFrame:
-    """hash, place and training count of each word of each chunk."""
+    """hash, place, kind and training count of each word of each chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, hashes, shapes, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                h, k, n = np.frombuffer(hashes, np.int64), np.frombuffer(shapes, np.int8).astype(np.int64), np.frombuffer(counts, np.int32)
-                at = (((chunk << _I_BITS) + np.arange(len(h), dtype=np.int64)) << _K_BITS) + k
+            for chunk, hashes, kinds, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                h, k, n = np.frombuffer(hashes, np.int64), np.frombuffer(kinds, np.uint8).astype(np.int16), np.frombuffer(counts, np.int32)
+                at = (chunk << _I_BITS) + np.arange(len(h), dtype=np.int64)
                 for i in range(0, len(h), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in (h, at, n)], names=["h", "at", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in (h, at, k, n)], names=["h", "at", "k", "n"])
 
-    return chunks.select("chunk", "hashes", "shapes", "counts").mapInArrow(run, "h long, at long, n int")
+    return chunks.select("chunk", "hashes", "kinds", "counts").mapInArrow(run, "h long, at long, k short, n int")
 
 
 def packed(counted: DataFrame) -> DataFrame:
@@ -137,148 +158,249 @@ def packed(counted: DataFrame) -> DataFrame:
         if parts:
             yield done()
 
-    placed = counted.select(F.shiftright("at", _I_BITS + _K_BITS).alias("chunk"), "at", "c")
+    placed = counted.select(F.shiftright("at", _I_BITS).alias("chunk"), "at", "c")
     return placed.repartition("chunk").sortWithinPartitions("chunk", "at").mapInArrow(run, "chunk long, c binary")
 
 
-def _tokens(ids: bytes, lengths: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Local word ids, and the four feature rows of each token; contexts end at the start of a document."""
-    flat = _unpacked_ids(ids)
+@dataclass
+class Model:
+    """Weights of both softmaxes (buckets x outcomes), their start values, and the words' shares.
+
+    ``heads``: hashes of the frequent words in order of their hash, with class and subclass of each; ``n``, ``v``: training tokens
+    and distinct training words of each subclass of each class.
+    """
+
+    total: int
+    distinct: int
+    heads: np.ndarray
+    head_cells: np.ndarray
+    n: np.ndarray
+    v: np.ndarray
+    bits: int
+    first: np.ndarray
+    second: np.ndarray
+
+    def cells(self, hashes: np.ndarray, kinds: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """class * SUBCLASSES + subclass of each word."""
+        band = 1 + sum((counts * b < self.total).astype(np.int64) for b in BANDS)
+        out = band * SHAPES * SUBCLASSES + kinds.astype(np.int64)
+        if len(self.heads):
+            at = np.searchsorted(self.heads, hashes).clip(max=len(self.heads) - 1)
+            hit = self.heads[at] == hashes
+            out[hit] = self.head_cells[at[hit]]
+        return out
+
+    def biases(self) -> tuple[np.ndarray, np.ndarray]:
+        """Log shares of the classes, and of the subclasses of each class, as training has them."""
+        n = self.n.reshape(CLASSES, SUBCLASSES) + 0.5
+        return np.log(n.sum(1) / n.sum()).astype(np.float32), np.log(n / n.sum(1, keepdims=True)).astype(np.float32)
+
+    def word_logs(self, cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """log10 P(word | subclass)."""
+        return np.log10((counts + 0.5) / (self.n + 0.5 * (self.v + 1))[cells])
+
+
+def head_cells(heads: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """The frequent words of a shape are dealt to its subclasses by rank, so that each has one to itself or nearly so."""
+    out, used = np.zeros(len(heads), np.int64), np.zeros(SHAPES, np.int64)
+    for i, k in enumerate(kinds // SUBCLASSES):
+        out[i] = k * SUBCLASSES + used[k] % SUBCLASSES
+        used[k] += 1
+    return out
+
+
+def features(words: np.ndarray, cells: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The four features of each token as 64-bit numbers (tokens x 4); contexts end at the start of a document."""
     starts = np.cumsum(lengths) - lengths
-    place = np.arange(len(flat)) - np.repeat(starts, lengths)
-    own = hashes[flat]
-    before = [np.where(place >= k, np.roll(own, k), np.uint64(k)) for k in (1, 2, 3)]
-    mixed = [before[0] * _MIX[0], (before[0] * _MIX[1]) ^ (before[1] * _MIX[2] + np.uint64(1)), before[1] * _MIX[2], before[2] * _MIX[3]]
-    return flat, np.stack([(m >> np.uint64(64 - BUCKET_BITS)).astype(np.int32) for m in mixed], axis=1)
+    place = np.arange(len(words)) - np.repeat(starts, lengths)
+    before = lambda x, k: np.where(place >= k, np.roll(x, k), np.uint64(k))
+    own = cells.astype(np.uint64) + np.uint64(8)
+    return np.stack([before(words, 1) * _MIX[0], before(own, 1) * _MIX[1], before(own, 2) * _MIX[2], before(own, 3) * _MIX[3]], axis=1)
 
 
-def log_probs(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Natural log of P(class | context) for each row of features."""
-    z = _centred(weights, rows)
-    return z - np.log(np.exp(z) @ np.ones(CLASSES, np.float32))[:, None]
+def buckets(mixed: np.ndarray, bits: int, classes: np.ndarray | None = None) -> np.ndarray:
+    """The row of the weights for each feature; with ``classes`` that of the second softmax."""
+    if classes is not None:
+        mixed = (mixed ^ (classes.astype(np.uint64) * _MIX[4])[:, None]) * _MIX[5]
+    return (mixed >> np.uint64(64 - bits)).astype(np.int32)
 
 
-def _centred(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The sum of each row's weights, less its maximum."""
+def log_probs(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Natural log of the softmax over the outcomes for each row of features."""
     z = weights.take(rows[:, 0], axis=0)
     for k in range(1, rows.shape[1]):
         z += weights.take(rows[:, k], axis=0)
-    z += weights[-1]
+    z += bias
     z -= z.max(axis=1, keepdims=True)
-    return z
-
-
-def train(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> None:
-    """One pass of mini-batch gradient descent with per-weight rates, in place; a batch touches most rows, so all are updated."""
-    step = np.empty((CLASSES, _ROWS))
-    for at in range(0, len(rows), BATCH):
-        x, y = rows[at : at + BATCH], classes[at : at + BATCH]
-        g = np.exp(_centred(weights, x))
-        g /= (g @ np.ones(CLASSES, np.float32))[:, None]
-        g[np.arange(len(y)), y] -= 1.0
-        flat = x.ravel(order="F").astype(np.int64)
-        for k, own in enumerate(np.ascontiguousarray(g.T, np.float64)):
-            step[k] = np.bincount(flat, np.tile(own, x.shape[1]), _ROWS)
-            step[k, -1] = own.sum()
-        by_row = step.T.astype(np.float32)
-        squares += by_row * by_row
-        weights -= RATE * by_row / np.sqrt(squares + 1e-6)
-
-
-def _classes(hashes: np.ndarray, shapes: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    """The class of each word: its place among the frequent words, or else its shape."""
-    out = HEADS + shapes.astype(np.int64)
-    if len(heads):
-        order = np.argsort(heads)
-        at = np.searchsorted(heads[order], hashes).clip(max=len(heads) - 1)
-        hit = heads[order][at] == hashes
-        out[hit] = order[at[hit]]
-    return out
+    return z - np.log(np.exp(z) @ np.ones(z.shape[1], np.float32))[:, None]
+
+
+def add_gradient(seen: np.ndarray, expected: np.ndarray, logs: np.ndarray, rows: np.ndarray, outcomes: np.ndarray) -> None:
+    """Adds what happened and what the model expected, by bucket and outcome; their difference is the gradient."""
+    size, width = expected.shape[1], len(expected)
+    flat = rows.ravel(order="F").astype(np.int64)
+    for k, own in enumerate(np.ascontiguousarray(np.exp(logs).T, np.float64)):
+        expected[k] += np.bincount(flat, np.tile(own, rows.shape[1]), size)
+    seen += np.bincount(np.tile(outcomes, rows.shape[1]) * size + flat, minlength=width * size).reshape(width, size)
+
 
+_READY = ("doc_ids", "held", "shares", "lengths", "ids", "hashes", "kinds", "c")
 
-def _opened(batch: pa.RecordBatch, heads: np.ndarray) -> Iterator[tuple]:
-    """doc_ids, held, lengths, counts by word, class by word, word of each token, features of each token."""
-    for doc_ids, held, lengths, ids, hashes, shapes, c in zip(*(batch.column(i) for i in range(7)), strict=True):
+
+def _opened(batch: pa.RecordBatch, model: Model) -> Iterator[tuple]:
+    """doc_ids, held, share, lengths, counts by word, hash by word, cell by word, word of each token."""
+    for doc_ids, held, shares, lengths, ids, hashes, kinds, c in zip(*(batch.column(i) for i in range(8)), strict=True):
         h, n = np.frombuffer(hashes.as_py(), np.int64), lengths.values.to_numpy()
-        flat, rows = _tokens(ids.as_py(), n, h.view(np.uint64))
-        yield doc_ids.values, np.array(held.as_py(), bool), n, np.frombuffer(c.as_py(), np.int64), _classes(h, np.frombuffer(shapes.as_py(), np.int8), heads), flat, rows
+        counts = np.frombuffer(c.as_py(), np.int64)
+        cells = model.cells(h, np.frombuffer(kinds.as_py(), np.uint8), counts)
+        yield doc_ids.values, np.array(held.as_py(), bool), shares.values.to_numpy(), n, counts, h.view(np.uint64), cells, _unpacked_ids(ids.as_py())
 
 
-_READY = ("doc_ids", "held", "lengths", "ids", "hashes", "shapes", "c")
+def _parts(n: np.ndarray, size: int) -> Iterator[slice]:
+    """Ranges of documents of about ``size`` tokens; a long document is one of its own."""
+    ends, lo = np.cumsum(n), 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, side="right")))
+        yield slice(lo, hi)
+        lo = hi
 
 
-def _round(chunks: DataFrame, weights: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    """The weights after every task has gone over its chunks, averaged by tokens."""
-    sent = chunks.sparkSession.sparkContext.broadcast(weights)
+def _round(chunks: DataFrame, model: Model, turn: int, rounds: int) -> None:
+    """One step on the gradient over all training documents of this round."""
+    sent = chunks.sparkSession.sparkContext.broadcast(model)
+    size = 1 << model.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, squares, seen = sent.value.copy(), np.zeros_like(sent.value), 0
+        own = sent.value
+        bias = own.biases()
+        sums = [np.zeros((2, width, size)) for width in (CLASSES, SUBCLASSES)]
+        any_seen = False
         for batch in batches:
-            for _, held, n, _, classes, flat, rows in _opened(batch, heads):
-                used = np.repeat(~held, n)
-                train(own, squares, rows[used], classes[flat[used]])
-                seen += int(used.sum())
-        if seen:
-            parts = np.array_split(own, SLICES)
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([float(seen)] * SLICES), pa.array([p.tobytes() for p in parts])], names=["slice", "n", "w"])
-
-    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, list] = {}
+            for _, held, shares, n, _, words, cells, flat in _opened(batch, own):
+                used = ~held & (shares % rounds == turn)
+                mine, n = flat[np.repeat(used, n)], n[used]
+                ends = np.cumsum(n)
+                for docs in _parts(n, BATCH << 2):
+                    lengths = n[docs]
+                    ids = mine[ends[docs.start] - n[docs.start] : ends[docs.stop - 1]]
+                    mixed, target = features(words[ids], cells[ids], lengths), cells[ids]
+                    for at in range(0, len(ids), BATCH):
+                        x, y = mixed[at : at + BATCH], target[at : at + BATCH]
+                        k, j = y // SUBCLASSES, y % SUBCLASSES
+                        rows = buckets(x, own.bits)
+                        add_gradient(*sums[0], log_probs(own.first, bias[0], rows), rows, k)
+                        rows = buckets(x, own.bits, k)
+                        add_gradient(*sums[1], log_probs(own.second, bias[1][k], rows), rows, j)
+                        any_seen = True
+        if any_seen:
+            parts = [np.concatenate([np.array_split(s, SLICES, axis=2)[i].ravel() for s in sums]) for i in range(SLICES)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["slice", "g"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, n, w in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                sums = total.setdefault(k, [0.0, 0.0])
-                sums[0] += n
-                sums[1] = sums[1] + n * np.frombuffer(w, np.float32).astype(np.float64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([(w / n).astype(np.float32).tobytes() for n, w in total.values()], pa.binary())], names=["slice", "w"])
-
-    done = chunks.select(*_READY).mapInArrow(run, "slice int, n double, w binary").repartition(SLICES, "slice").mapInArrow(average, "slice int, w binary")
-    got = {r.slice: np.frombuffer(bytes(r.w), np.float32) for r in done.collect()}
-    return np.concatenate([got[k] for k in range(SLICES)]).reshape(weights.shape) if got else weights
-
-
-def score(docs: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
+            for k, g in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(g.as_py(), np.float64)
+                total[k] = total[k] + own if k in total else own
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([g.tobytes() for g in total.values()], pa.binary())], names=["slice", "g"])
+
+    done = chunks.select(*_READY).mapInArrow(run, "slice int, g binary").repartition(SLICES, "slice").mapInArrow(added, "slice int, g binary")
+    cuts = [len(x) for x in np.array_split(np.zeros(size), SLICES)]
+    for r in done.toLocalIterator():
+        g, lo, n = np.frombuffer(bytes(r.g), np.float64), sum(cuts[: r.slice]), cuts[r.slice]
+        for weights, width in ((model.first, CLASSES), (model.second, SUBCLASSES)):
+            part, g = g[: 2 * width * n].reshape(2, width, n), g[2 * width * n :]
+            step = RATE * (part[0] - part[1]) / (part[1] + PRIOR)
+            weights[lo : lo + n] += np.clip(step, -MOST, MOST).T.astype(np.float32)
+    sent.unpersist()
+
+
+def fitted(chunks: DataFrame, counted: DataFrame, ready: DataFrame, *, rounds: int = ROUNDS) -> Model:
+    """The model of the training rows; what the driver holds is the heads, a row for each subclass and the weights."""
+    words = counted.filter("word is not null")
+    heads = words.select("word", "k", "c").orderBy(F.col("c").desc(), "word").limit(HEADS).collect()
+    hashes, kinds = np.array([r.word for r in heads], np.int64), np.array([r.k for r in heads], np.int64)
+    total = words.agg(F.sum("c")).first()[0] or 0
+    order = np.argsort(hashes)
+    cells = head_cells(hashes, kinds)[order] if len(heads) else np.zeros(0, np.int64)
+    size = CLASSES * SUBCLASSES
+    bits = int(np.clip(np.ceil(np.log2(max(total, 1)) / 2), MIN_BITS, MAX_BITS))
+    zeros = [np.zeros((1 << bits, width), np.float32) for width in (CLASSES, SUBCLASSES)]
+    model = Model(int(total), 0, hashes[order], cells, np.zeros(size), np.zeros(size), bits, *zeros)
+
+    def masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, v = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for batch in batches:
+            h, k, c = (batch.column(i).to_numpy() for i in range(3))
+            own = model.cells(h, k, c)
+            np.add.at(n, own, c)
+            v += np.bincount(own, minlength=size)
+        some = np.flatnonzero(v)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (some, n[some], v[some])], names=["cell", "n", "v"])
+
+    for r in words.select("word", "k", "c").mapInArrow(masses, "cell long, n long, v long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
+        model.n[r.cell], model.v[r.cell] = r.n, r.v
+    model.distinct = int(model.v.sum())
+    for turn in range(rounds if total else 0):
+        _round(ready, model, turn, rounds)
+    return model
+
+
+def score(docs: DataFrame, *, rounds: int = ROUNDS, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``.
 
     A null or empty text is the end token alone; a null doc_id counts as an empty name, which is training. Repeated rows
-    each train and are each scored. Without any training row nothing is known and the scores are those of one
-    unknown slot. An empty table gives no rows. Texts are scored whole.
+    each train and are each scored. Without any training row nothing is known and the scores are those of
+    unknown words alone. An empty table gives no rows. Texts are scored whole.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    chunks = materialize(encoded(docs), "lm-chunks")
-    word = Window.partitionBy("h")
-    counted = word_rows(chunks).withColumn("c", F.sum("n").over(word)).withColumn("nth", F.row_number().over(word.orderBy("at")))
-    counted = materialize(counted.select("at", F.col("c").cast("long").alias("c"), F.when((F.col("nth") == 1) & (F.col("c") > 0), F.col("h")).alias("word")), "lm-counts")
-    words = counted.filter("word is not null")
-    heads = np.array([r.word for r in words.orderBy(F.col("c").desc(), "word").limit(HEADS).collect()], np.int64)
-    place = F.array_position(F.array(*map(F.lit, heads.tolist())).cast("array<long>"), F.col("word"))
-    of_class = F.when(place > 0, place - 1).otherwise(HEADS + F.col("at").bitwiseAND(F.lit(SHAPES - 1))).cast("int")
-    n_class, v_class = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in words.groupBy(of_class.alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
-        n_class[r.k], v_class[r.k] = r.n, r.v
-    n_all, v_all = int(n_class.sum()), int(v_class.sum())
-    ready = materialize(chunks.drop("counts").join(packed(counted), "chunk"), "lm-ready")
-    weights = np.zeros((_ROWS, CLASSES), np.float32)
-    weights[-1] = np.log((n_class + 0.5) / (n_class + 0.5).sum())
-    for k in range(rounds):
-        weights = _round(ready.filter(F.pmod(F.xxhash64("chunk"), F.lit(rounds)) == k), weights, heads)
-    sent = docs.sparkSession.sparkContext.broadcast(weights)
-    in_class, base = np.log10(n_class + 0.5 * (v_class + 1)), float(np.log10(n_all + 0.5 * (v_all + 1)))
+    ready, model = prepared(docs, rounds=rounds, chunk_chars=chunk_chars)
+    of_id = docs.schema["doc_id"].dataType.simpleString()
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    base = float(np.log10(model.total + 0.5 * (model.distinct + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            for doc_ids, held, n, c, k, flat, rows in _opened(batch, heads):
-                of_word, classes = np.log10(c + 0.5), k[flat]
-                by_token = of_word[flat] - in_class[classes]
-                for at in range(0, len(flat), 8 * BATCH):
-                    part = slice(at, at + 8 * BATCH)
-                    by_token[part] += log_probs(own, rows[part])[np.arange(len(classes[part])), classes[part]] / np.log(10)
+            for doc_ids, held, _, n, c, words, cells, flat in _opened(batch, own):
+                by_token = np.concatenate([token_logs(own, words, cells, c, flat[lo:hi], n[docs]) for docs, lo, hi in _ranges(n)])
                 starts = np.cumsum(n) - n
                 total = lambda x: np.add.reduceat(x, starts)  # noqa: B023, E731
-                columns = [doc_ids, pa.array(held), pa.array(n.astype(np.int64)), pa.array(total((c > 0)[flat].astype(np.int64))), pa.array(np.full(len(n), n_all, np.int64)), pa.array(total(of_word[flat]) - n * base), pa.array(total(by_token))]
+                columns = [doc_ids, pa.array(held), pa.array(n.astype(np.int64)), pa.array(total((c > 0)[flat].astype(np.int64))), pa.array(np.full(len(n), own.total, np.int64))]
+                columns += [pa.array(total(np.log10(c + 0.5)[flat]) - n * base), pa.array(total(by_token))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return ready.select(*_READY).mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return ready.select(*_READY).mapInArrow(run, f"doc_id {of_id}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def _ranges(n: np.ndarray) -> Iterator[tuple[slice, int, int]]:
+    ends = np.cumsum(n)
+    for docs in _parts(n, BATCH << 2):
+        yield docs, int(ends[docs.start] - n[docs.start]), int(ends[docs.stop - 1])
+
+
+def token_logs(model: Model, words: np.ndarray, cells: np.ndarray, counts: np.ndarray, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """log10 P(token | its context) for the tokens of whole documents."""
+    bias = model.biases()
+    mixed, target, out = features(words[flat], cells[flat], lengths), cells[flat], model.word_logs(cells, counts)[flat]
+    for at in range(0, len(flat), BATCH):
+        x, y = mixed[at : at + BATCH], target[at : at + BATCH]
+        k, j, rows = y // SUBCLASSES, y % SUBCLASSES, np.arange(len(y))
+        logs = log_probs(model.first, bias[0], buckets(x, model.bits))[rows, k] + log_probs(model.second, bias[1][k], buckets(x, model.bits, k))[rows, j]
+        out[at : at + BATCH] += logs / np.log(10)
+    return out
+
+
+def prepared(docs: DataFrame, *, rounds: int = ROUNDS, chunk_chars: int = CHUNK_CHARS) -> tuple[DataFrame, Model]:
+    """The chunks with the counts of their words, and the fitted model."""
+    spark = docs.sparkSession
+    chunks = materialize(encoded(docs, chunk_chars=chunk_chars), "lm-chunks")
+    rows = chunks.agg(F.sum(F.length("kinds").cast("long"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_IN_PART))
+    word = Window.partitionBy("h")
+    counted = word_rows(chunks).repartition(parts, "h").withColumn("c", F.sum("n").over(word)).withColumn("nth", F.row_number().over(word.orderBy("at")))
+    counted = materialize(counted.select("at", "k", F.col("c").cast("long").alias("c"), F.when((F.col("nth") == 1) & (F.col("c") > 0), F.col("h")).alias("word")), "lm-counts")
+    ready = materialize(chunks.drop("counts").join(packed(counted), "chunk"), "lm-ready")
+    return ready, fitted(chunks, counted, ready, rounds=rounds)
 
 
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
