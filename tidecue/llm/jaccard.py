@@ -5,9 +5,11 @@ trie self-join are one; but at a similarity of 0.8 two fingerprints differ in ab
 spends 18 bits compares nearly all pairs. So texts that agree on a band of a MinHash are the other: at 0.8, 36 bands of 6
 miss one pair in 50,000. Every link is confirmed on the sets of shingles themselves.
 
-Texts with one set are one vertex from the start. Each member of a bucket is compared with the bucket's least vertex first;
-of the other pairs only those whose ends are not yet in one group are compared, so a large group of near copies costs
-a row for each member and band, while no pair that could join two groups is left out. Hot buckets and vertices are salted.
+Texts with one set are one vertex from the start. A shingle that no other candidate holds can't be shared, so what a set has of
+others bounds its similarity with any of them: a candidate with over a fifth of its own alone has no link, and no pair is
+looked at whose bound is below the threshold. Each member of a bucket is compared with the bucket's center first, the one with the
+least of its own; of the other pairs only those whose ends are not yet in one group are compared. So a large group of near copies
+costs a row for each member and band, while no pair that could join two groups is left out. Hot buckets and vertices are salted.
 """
 
 from __future__ import annotations
@@ -72,11 +74,6 @@ def buckets(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, DEPTH))], np.uint64).view(np.int64)
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return UNDER * both >= OVER * (len(a) + len(b) - both)
-
-
 def row_keys(docs: DataFrame) -> list[Column]:
     """Two 64-bit hashes of the whole row, which name it: rows with one name are one and the same."""
     columns = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if f.dataType.typeName() in ("map", "variant") else F.col(f"`{f.name}`") for f in docs.schema]
@@ -135,21 +132,58 @@ def _attached(pairs: DataFrame, side: str, sets: DataFrame) -> DataFrame:
     return dealt.join(placed, [side, "part"]).drop("part")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``u, v``: those of the distinct ``pairs`` (a, b) that are similar."""
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The distinct ``pairs`` (a, b) with the sizes of their sets (n, m) and of what they share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            sizes = [[len(x) for x, _ in held], [len(y) for _, y in held], [len(np.intersect1d(x, y, assume_unique=True)) for x, y in held]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, pa.int64()) for c in sizes)], names=["a", "b", "n", "m", "both"])
+
+    sided = _attached(_attached(pairs, "a", sets), "b", sets).select("a", "b", "of_a", "of_b")
+    return materialize(sided.mapInArrow(run, "a long, b long, n long, m long, both long"), "overlaps")
+
+
+def _links(overlaps: DataFrame) -> DataFrame:
+    similar = UNDER * F.col("both") >= OVER * (F.col("n") + F.col("m") - F.col("both"))
+    return overlaps.filter(similar).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def _outside(open_rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """center, v, h: the shingles of each of ``open_rows`` (center, v) that the center lacks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for v, center, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                own = np.setdiff1d(np.frombuffer(x.as_py(), np.int64), np.frombuffer(y.as_py(), np.int64), assume_unique=True)
+                if len(own):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), center)), pa.array(np.full(len(own), v)), pa.array(own)], names=["center", "v", "h"])
+
+    pairs = open_rows.select(F.col("v").alias("a"), F.col("center").alias("b"))
+    sided = _attached(_attached(pairs, "a", sets), "b", sets).select("a", "b", "of_a", "of_b")
+    return materialize(sided.mapInArrow(run, "center long, v long, h long"), "outside")
+
+
+def shared_counts(sets: DataFrame) -> DataFrame:
+    """v and c: how many of its shingles another of ``sets`` holds as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            kept = batch.select([0, 1]).filter(pa.array(held, pa.bool_()))
-            yield pa.RecordBatch.from_arrays(kept.columns, names=["u", "v"])
+            for v, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(x.as_py(), np.int64)
+                for i in range(0, len(own), 1 << 16):
+                    part = own[i : i + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), v)), pa.array(part)], names=["v", "h"])
 
-    both = _attached(_attached(pairs, "a", sets), "b", sets).select("a", "b", "of_a", "of_b")
-    return materialize(both.mapInArrow(run, "u long, v long"), "links")
+    held = sets.select("v", "hashes").mapInArrow(run, "v long, h long").groupBy("h").agg(F.min("v").alias("v"), F.count("*").alias("times"))
+    alone = held.filter("times = 1").groupBy("v").agg(F.count("*").alias("alone"))
+    return sets.select("v", (F.octet_length("hashes") / 8).cast("long").alias("n")).join(alone, "v", "left").select("v", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("c"))
 
 
-def _lengths_allow(n: Column, m: Column) -> Column:
-    return UNDER * F.least(n, m) >= OVER * F.greatest(n, m)
+def _allowed(n: Column, c: Column, m: Column, d: Column) -> Column:
+    """Whether sets of ``n`` and ``m`` shingles, ``c`` and ``d`` of them shared with any other, can be similar."""
+    return (UNDER * F.least(n, m) >= OVER * F.greatest(n, m)) & ((OVER + UNDER) * F.least(c, d) >= OVER * (n + m))
 
 
 def _by_prints(vertices: DataFrame) -> DataFrame:
@@ -169,24 +203,43 @@ def kept_rows(docs: DataFrame) -> DataFrame:
     rows = materialize(_with_buckets(docs), "sets")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "k1", "k2")).alias("least")
     vertices = materialize(rows.groupBy("v").agg(least, F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys")), "vertices")
-    entries = vertices.select("v", "n", F.explode("keys").alias("key"))
-    shared = entries.groupBy("key").agg(F.min(F.struct("v", "n")).alias("first"), F.count("*").alias("size")).filter("size > 1").select("key", "first", _salts())
-    members = materialize(entries.withColumn("salt", _salt("v")).join(shared, ["key", "salt"]).select("key", "v", "n", "first"), "buckets")
+    entries = vertices.select("v", F.explode("keys").alias("key"))
+    shared = entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key", _salts())
+    found = materialize(entries.withColumn("salt", _salt("v")).join(shared, ["key", "salt"]).select("key", "v"), "buckets")
     by_prints = materialize(_by_prints(vertices), "print-pairs")
-    used = members.select("v").union(by_prints.select("a")).union(by_prints.select("b")).distinct()
+    used = found.select("v").union(by_prints.select("a")).union(by_prints.select("b")).distinct()
     sets = materialize(_sets(docs, vertices.select("v", "least.k1", "least.k2").join(used, "v", "left_semi")), "shingles")
-    sizes = vertices.select("v", "n")
-    stars = members.filter("v <> first.v").filter(_lengths_allow(F.col("n"), F.col("first.n"))).select(F.col("v").alias("a"), F.col("first.v").alias("b"))
-    allowed = by_prints.join(sizes.withColumnsRenamed({"v": "a", "n": "n_a"}), "a").join(sizes.withColumnsRenamed({"v": "b", "n": "n_b"}), "b").filter(_lengths_allow(F.col("n_a"), F.col("n_b")))
-    links = _confirmed(materialize(stars.union(allowed.select("a", "b")).distinct(), "stars-of-buckets"), sets)
-    # What can still join two groups: pairs within a bucket, neither end its least vertex, that the links so far keep apart.
-    named = members.join(components(links).withColumnRenamed("u", "v"), "v", "left").select("key", "v", "n", F.coalesce("root", "v").alias("root"), (F.col("v") == F.col("first.v")).alias("is_first"))
-    named = materialize(named.filter("not is_first"), "named")
-    mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key", _salts())
-    open_rows = materialize(named.withColumn("salt", _salt("v")).join(mixed, ["key", "salt"]).select("key", "salt", "v", "n", "root"), "open")
-    others = open_rows.select("key", F.col("v").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"), _salts())
-    pairs = open_rows.withColumnRenamed("v", "a").join(others, ["key", "salt"]).filter("a < b and root <> other").filter(_lengths_allow(F.col("n"), F.col("m"))).select("a", "b").distinct()
-    links = links.union(_confirmed(materialize(pairs, "pairs"), sets))
+    alive = materialize(shared_counts(sets).filter(F.col("c") * UNDER >= F.col("n") * OVER), "candidates")
+    sets = sets.join(alive.select("v"), "v", "left_semi")
+    members = materialize(found.join(alive, "v").select("key", "v", "n", "c"), "members")
+    center = F.max_by(F.struct("v", "n", "c"), F.struct(F.col("c") / F.col("n"), -F.col("v"))).alias("first")
+    centers = members.groupBy("key").agg(center, F.count("*").alias("size")).filter("size > 1").select("key", "first", _salts())
+    members = materialize(members.withColumn("salt", _salt("v")).join(centers, ["key", "salt"]).select("key", "v", "n", "c", "first"), "centered")
+    stars = materialize(members.filter("v <> first.v").select(F.col("v").alias("a"), F.col("first.v").alias("b")).distinct(), "stars-of-buckets")
+    to_centers = _overlaps(stars, sets)
+    of = lambda side, n, c: alive.withColumnsRenamed({"v": side, "n": n, "c": c})
+    checked = by_prints.join(of("a", "n", "c"), "a").join(of("b", "m", "d"), "b").filter(_allowed(*map(F.col, "ncmd"))).select("a", "b").distinct()
+    links = _links(to_centers).union(_links(_overlaps(materialize(checked, "checked"), sets)))
+    # What can still join two groups: pairs around one center that the links so far keep apart. Such a pair shares at most the lesser
+    # of what both share with the center, and what both hold outside of it: found by those shingles, which are rare.
+    root = lambda side: components_of.select(F.col("u").alias(side), "root")
+    components_of = components(links)
+    around = to_centers.select(F.col("a").alias("v"), F.col("b").alias("center"), "n", "both").join(root("v"), "v", "left").withColumn("root", F.coalesce("root", "v"))
+    mixed = around.groupBy("center").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("center")
+    around = materialize(around.join(mixed, "center", "left_semi"), "around")
+    other = around.select("center", F.col("v").alias("b"), F.col("n").alias("m"), F.col("both").alias("d"), F.col("root").alias("other"))
+    one = around.withColumnRenamed("v", "a")
+    whole = lambda shared: (OVER + UNDER) * (F.least("both", "d") + shared) >= OVER * (F.col("n") + F.col("m"))
+    by_size = (UNDER * F.least("n", "m") >= OVER * F.greatest("n", "m")) & F.expr("a < b and root <> other")
+    # without a shingle outside, both must share enough with the center: those that do are linked to it, unless sizes differ
+    near = (OVER + UNDER) * F.col("both") >= 2 * OVER * F.col("n") * OVER / UNDER
+    inner = one.filter(near).withColumn("salt", _salt("a")).join(other.withColumn("salt", _salts()), ["center", "salt"]).filter(by_size & whole(F.lit(0))).select("a", "b")
+    outside = _outside(around, sets)
+    several = outside.groupBy("center", "h").agg(F.count("*").alias("times")).filter("times > 1").select("center", "h")
+    held = materialize(outside.join(several, ["center", "h"]), "held")
+    met = held.withColumnRenamed("v", "a").join(held.withColumnRenamed("v", "b"), ["center", "h"]).filter("a < b").groupBy("center", "a", "b").agg(F.count("*").alias("outside"))
+    outer = met.join(one, ["center", "a"]).join(other, ["center", "b"]).filter(by_size & whole(F.col("outside"))).select("a", "b")
+    links = links.union(_links(_overlaps(materialize(inner.union(outer).distinct(), "pairs"), sets)))
     placed = vertices.select("v", "least").join(components(links).withColumnRenamed("u", "v"), "v", "left")
     return placed.groupBy(F.coalesce("root", "v").alias("root")).agg(F.min("least").alias("least")).select("least.k1", "least.k2")
 
