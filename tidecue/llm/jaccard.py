@@ -206,37 +206,36 @@ def kept_rows(docs: DataFrame) -> DataFrame:
     entries = vertices.select("v", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key", _salts())
     found = materialize(entries.withColumn("salt", _salt("v")).join(shared, ["key", "salt"]).select("key", "v"), "buckets")
-    by_prints = materialize(_by_prints(vertices), "print-pairs")
+    by_prints = materialize(_by_prints(vertices), "print-pairs")  # used three times
     used = found.select("v").union(by_prints.select("a")).union(by_prints.select("b")).distinct()
     sets = materialize(_sets(docs, vertices.select("v", "least.k1", "least.k2").join(used, "v", "left_semi")), "shingles")
     alive = materialize(shared_counts(sets).filter(F.col("c") * UNDER >= F.col("n") * OVER), "candidates")
     sets = sets.join(alive.select("v"), "v", "left_semi")
-    members = materialize(found.join(alive, "v").select("key", "v", "n", "c"), "members")
+    members = found.join(alive, "v").select("key", "v", "n", "c")
     center = F.max_by(F.struct("v", "n", "c"), F.struct(F.col("c") / F.col("n"), -F.col("v"))).alias("first")
     centers = members.groupBy("key").agg(center, F.count("*").alias("size")).filter("size > 1").select("key", "first", _salts())
-    members = materialize(members.withColumn("salt", _salt("v")).join(centers, ["key", "salt"]).select("key", "v", "n", "c", "first"), "centered")
+    members = members.withColumn("salt", _salt("v")).join(centers, ["key", "salt"]).select("v", "first")
     stars = materialize(members.filter("v <> first.v").select(F.col("v").alias("a"), F.col("first.v").alias("b")).distinct(), "stars-of-buckets")
     to_centers = _overlaps(stars, sets)
     of = lambda side, n, c: alive.withColumnsRenamed({"v": side, "n": n, "c": c})
     checked = by_prints.join(of("a", "n", "c"), "a").join(of("b", "m", "d"), "b").filter(_allowed(*map(F.col, "ncmd"))).select("a", "b").distinct()
-    links = _links(to_centers).union(_links(_overlaps(materialize(checked, "checked"), sets)))
-    # What can still join two groups: pairs around one center that the links so far keep apart. Such a pair shares at most the lesser
+    links = _links(to_centers).union(_links(_overlaps(checked, sets)))
+    # What can still join two groups: pairs around one center of which not both are linked to it. Such a pair shares at most the lesser
     # of what both share with the center, and what both hold outside of it: found by those shingles, which are rare.
-    root = lambda side: components_of.select(F.col("u").alias(side), "root")
-    components_of = components(links)
-    around = to_centers.select(F.col("a").alias("v"), F.col("b").alias("center"), "n", "both").join(root("v"), "v", "left").withColumn("root", F.coalesce("root", "v"))
-    mixed = around.groupBy("center").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("center")
+    linked = UNDER * F.col("both") >= OVER * (F.col("n") + F.col("m") - F.col("both"))
+    around = to_centers.select(F.col("a").alias("v"), F.col("b").alias("center"), "n", "both", linked.alias("linked"))
+    mixed = around.groupBy("center").agg(F.count("*").alias("size"), F.bool_and("linked").alias("whole")).filter("size > 1 and not whole").select("center")
     around = materialize(around.join(mixed, "center", "left_semi"), "around")
-    other = around.select("center", F.col("v").alias("b"), F.col("n").alias("m"), F.col("both").alias("d"), F.col("root").alias("other"))
+    other = around.select("center", F.col("v").alias("b"), F.col("n").alias("m"), F.col("both").alias("d"), F.col("linked").alias("too"))
     one = around.withColumnRenamed("v", "a")
     whole = lambda shared: (OVER + UNDER) * (F.least("both", "d") + shared) >= OVER * (F.col("n") + F.col("m"))
-    by_size = (UNDER * F.least("n", "m") >= OVER * F.greatest("n", "m")) & F.expr("a < b and root <> other")
+    by_size = (UNDER * F.least("n", "m") >= OVER * F.greatest("n", "m")) & F.expr("a < b and not (linked and too)")
     # without a shingle outside, both must share enough with the center: those that do are linked to it, unless sizes differ
     near = (OVER + UNDER) * F.col("both") >= 2 * OVER * F.col("n") * OVER / UNDER
     inner = one.filter(near).withColumn("salt", _salt("a")).join(other.withColumn("salt", _salts()), ["center", "salt"]).filter(by_size & whole(F.lit(0))).select("a", "b")
     outside = _outside(around, sets)
     several = outside.groupBy("center", "h").agg(F.count("*").alias("times")).filter("times > 1").select("center", "h")
-    held = materialize(outside.join(several, ["center", "h"]), "held")
+    held = outside.join(several, ["center", "h"])
     met = held.withColumnRenamed("v", "a").join(held.withColumnRenamed("v", "b"), ["center", "h"]).filter("a < b").groupBy("center", "a", "b").agg(F.count("*").alias("outside"))
     outer = met.join(one, ["center", "a"]).join(other, ["center", "b"]).filter(by_size & whole(F.col("outside"))).select("a", "b")
     links = links.union(_links(_overlaps(materialize(inner.union(outer).distinct(), "pairs"), sets)))
