@@ -293,18 +293,20 @@ def _round(chunks: DataFrame, model: Model, turn: int, rounds: int) -> None:
                         add_gradient(*sums[1], log_probs(own.second, bias[1][k], rows), rows, j)
                         any_seen = True
         if any_seen:
-            parts = [np.concatenate([np.array_split(s, SLICES, axis=2)[i].ravel() for s in sums]) for i in range(SLICES)]
+            parts = [np.concatenate([np.array_split(s, SLICES, axis=2)[i].ravel() for s in sums]).astype(np.float32) for i in range(SLICES)]
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["slice", "g"])
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, g in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = np.frombuffer(g.as_py(), np.float64)
+                own = np.frombuffer(g.as_py(), np.float32).astype(np.float64)
                 total[k] = total[k] + own if k in total else own
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([g.tobytes() for g in total.values()], pa.binary())], names=["slice", "g"])
 
-    done = chunks.select(*_READY).mapInArrow(run, "slice int, g binary").repartition(SLICES, "slice").mapInArrow(added, "slice int, g binary")
+    # each task sends one gradient whatever it has read, so there are as many as run at once
+    dealt = chunks.select(*_READY).coalesce(chunks.sparkSession.sparkContext.defaultParallelism)
+    done = dealt.mapInArrow(run, "slice int, g binary").repartition(SLICES, "slice").mapInArrow(added, "slice int, g binary")
     cuts = [len(x) for x in np.array_split(np.zeros(size), SLICES)]
     for r in done.toLocalIterator():
         g, lo, n = np.frombuffer(bytes(r.g), np.float64), sum(cuts[: r.slice]), cuts[r.slice]
