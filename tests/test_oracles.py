@@ -20,7 +20,7 @@ def test_query_matches_sql(spark, name):
         assert got
         return
     db = duckdb.connect()
-    for t in ("documents", "pages", "conversations", "orders"):
+    for t in ("documents", "pages", "conversations", "orders", "events"):
         db.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     have = db.execute(catalog.ORACLE_SQL[name])
     names = [c[0] for c in have.description]

@@ -130,7 +130,15 @@ def too_long(source: Column, translation: Column) -> Column:
 
 
 def issues(source: Column, translation: Column, lang: str) -> Column:
-    """All reasons to look at a pair, in a fixed order; an empty translation has that one alone."""
+    """All reasons to look at a pair, in a fixed order; an empty translation has that one alone.
+
+    The stripped translation is made once, by an array around the pair; the rules read it from there.
+    """
+    pair = F.struct(source.alias("source"), stripped(translation).alias("translation"))
+    return F.get(F.transform(F.array(pair), lambda p: _issues(p["source"], p["translation"], lang)), F.lit(0))
+
+
+def _issues(source: Column, translation: Column, lang: str) -> Column:
     rules = {
         "json or markdown leak": leaks_markup(translation),
         "model refusal": refuses(translation),

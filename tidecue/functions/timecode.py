@@ -43,3 +43,28 @@ def file_size(n: Column) -> Column:
 
 def shifted(ms: Column, offset: Column) -> Column:
     return F.greatest(F.lit(0).cast("long"), ms - offset)
+
+
+def seconds_of(text: Column) -> Column:
+    """Seconds of [[HH:]MM:]SS[.mmm] with whole hours and minutes; null if it is no such time, as with a comma."""
+    t = F.split(F.trim(text), ":")
+    whole = lambda k: F.try_element_at(t, F.lit(k)).try_cast("long")
+    last = F.try_element_at(t, F.lit(-1)).try_cast("double")
+    return F.when(F.size(t) == 3, whole(1) * 3600 + whole(2) * 60 + last).when(F.size(t) == 2, whole(1) * 60 + last).when(F.size(t) == 1, last)
+
+
+def seconds_text(seconds: Column, *, hours: bool = True, comma: bool = False) -> Column:
+    """HH:MM:SS.mmm of seconds, or MM:SS.mmm under an hour without ``hours``; the seconds are rounded by themselves and may show as 60.000."""
+    h, m = F.floor(seconds / 3600).cast("long"), F.floor(F.pmod(seconds, F.lit(3600.0)) / 60).cast("long")
+    rest = F.format_string("%06.3f", F.bround(F.pmod(seconds, F.lit(60.0)), 3))
+    whole = F.concat(F.format_string("%02d:%02d:", h, m), rest)
+    text = whole if hours else F.when(h > 0, whole).otherwise(F.concat(F.format_string("%02d:", m), rest))
+    return F.replace(text, F.lit("."), F.lit(",")) if comma else text
+
+
+def time_range(text: Column) -> Column:
+    """(start, end) in seconds of a range like 00:00 - 03:15; an error if it has another form or ends before it starts."""
+    parts = F.split(F.replace(text, F.lit(" "), F.lit("")), "-")
+    bounds = F.struct(seconds_of(F.get(parts, F.lit(0))).alias("start"), seconds_of(F.get(parts, F.lit(1))).alias("end"))
+    valid = F.coalesce((F.size(parts) == 2) & (bounds["start"] < bounds["end"]), F.lit(False))
+    return F.when(valid, bounds).otherwise(F.raise_error(F.concat(F.lit("Invalid time range: "), text)).cast("struct<start:double,end:double>"))

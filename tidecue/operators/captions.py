@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidecue.functions.text import for_compare, normal_token, without_tags
+from tidecue.functions.text import normal_token, without_tags
 from tidecue.functions.timecode import format_ms
 
 
@@ -91,30 +91,6 @@ def tokens(cues: DataFrame) -> DataFrame:
     return rows.select("video_id", "cue_index", F.col("i").cast("long").alias("token_index"), "text", normal_token(F.col("text")).alias("normalized"), at(F.col("i")).alias("token_start"), at(F.col("i") + 1).alias("token_end"))
 
 
-def trimmed(cues: DataFrame, near_ms: int = 150, longest: int = 20) -> DataFrame:
-    """How many words of each cue repeat what rolls over from the cue before: all, for a repeated cue close by, or a prefix.
-
-    A fold over a video's cues in order, whose state is the last kept cue's end, text and words after trimming.
-    """
-    words = F.filter(F.split(without_tags(F.col("source")), r"(?U)\s+"), lambda x: x != "")
-    item = F.struct("cue_index", "start_ms", "end_ms", for_compare(without_tags(F.col("source"))).alias("text"), F.transform(words, normal_token).alias("words"))
-    lists = cues.groupBy("video_id").agg(F.array_sort(F.collect_list(item)).alias("cues"))
-    empty = F.array().cast("array<string>")
-    state = F.struct(F.lit(None).cast("long").alias("end_ms"), F.lit(None).cast("string").alias("text"), empty.alias("words"), F.array().cast("array<struct<cue_index:bigint,n_words:int,n_removed:int>>").alias("out"))
-
-    def step(acc: Column, cue: Column) -> Column:
-        n = F.least(F.size(acc.words), F.size(cue.words), F.lit(longest))
-        fits = F.filter(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda k: F.slice(acc.words, -k, k) == F.slice(cue.words, F.lit(1), k))
-        same = F.coalesce((acc.text == cue.text) & (F.abs(cue.start_ms - acc.end_ms) <= near_ms), F.lit(False))
-        drop = F.when(same, F.size(cue.words)).otherwise(F.coalesce(F.array_max(fits), F.lit(0)))
-        left = F.slice(cue.words, drop + 1, F.size(cue.words))
-        out = F.concat(acc.out, F.array(F.struct(cue.cue_index.alias("cue_index"), F.size(cue.words).alias("n_words"), drop.alias("n_removed"))))
-        kept = F.size(left) > 0
-        return F.struct(F.when(kept, cue.end_ms).otherwise(acc.end_ms).alias("end_ms"), F.when(kept, cue.text).otherwise(acc.text).alias("text"), F.when(kept, left).otherwise(acc.words).alias("words"), out.alias("out"))
-
-    return lists.select("video_id", F.explode(F.aggregate("cues", state, step, lambda acc: acc.out)).alias("x")).select("video_id", "x.*")
-
-
 def render_srt(cues: DataFrame, text: Column) -> DataFrame:
     """The SRT file of each video."""
     block = F.concat(F.col("cue_index").cast("string"), F.lit("\n"), format_ms(F.col("start_ms")), F.lit(" --> "), format_ms(F.col("end_ms")), F.lit("\n"), text, F.lit("\n\n"))

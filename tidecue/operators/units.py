@@ -64,22 +64,22 @@ def _words(text: Column) -> Column:
 
 def _inline(source: Column) -> Column:
     """Each word of a cue with the time of the last time tag before it, if any; other tags are left out."""
-    parts = F.split(F.regexp_replace(source, "(<[^>]+>)", "\x01$1\x01"), "\x01")
-    inner = lambda p: stripped(F.substring(p, F.lit(2), F.length(p) - 2))
-    is_tag = lambda p: p.rlike(r"(?s)^<[^>]+>$")
-    time = lambda p: F.when(is_tag(p) & inner(p).rlike(STAMP), parse_ms(inner(p)))
-    times = lambda i: F.filter(F.transform(F.slice(parts, F.lit(1), i + 1), time), lambda t: t.isNotNull())
-    clock = lambda i: F.try_element_at(times(i), F.lit(-1))
-    # the time is found once for a part, not for each of its words
-    timed = F.transform(parts, lambda p, i: F.struct(F.when(is_tag(p), F.array().cast("array<string>")).otherwise(_words(p)).alias("words"), clock(i).alias("at")))
-    return F.flatten(F.transform(timed, lambda p: F.transform(p.words, lambda w: F.struct(w.alias("text"), p["at"].alias("at")))))
+    marked = F.regexp_replace(source, "<([^>]+)>", "\x01$1\x03")
+    stamps = F.regexp_replace(marked, "(?U)\x01\\s*(" + STAMP.strip("^$") + ")\\s*\x03", " \x02$1 ")
+    # cut at the stamps: every part but the first begins with one
+    parts = F.split(F.regexp_replace(stamps, "\x01[^\x03]*\x03", " "), "\x02")
+    timed = lambda p, i: F.struct(_words(p).alias("words"), F.when(i > 0, F.lit(1)).otherwise(0).alias("skip"))
+    with_time = lambda p: F.struct(p["words"].alias("words"), p["skip"].alias("skip"), F.when(p["skip"] > 0, parse_ms(F.get(p["words"], F.lit(0)))).alias("at"))
+    own = lambda p: F.transform(F.slice(p["words"], p["skip"] + 1, F.size(p["words"])), lambda w: F.struct(w.alias("text"), p["at"].alias("at")))
+    return F.flatten(F.transform(F.transform(F.transform(parts, timed), with_time), own))
 
 
 def _proportional(source: Column, start: Column, end: Column) -> Column:
     """Words with times in proportion to their place, rounded half to even."""
-    words = _words(stripped(without_tags(source)))
-    at = lambda w, k: (start + F.rint((end - start) * k / F.size(w))).cast("long")
-    return F.transform(words, lambda w, i: F.struct(w.alias("text"), at(words, i).alias("token_start"), at(words, i + 1).alias("token_end")))
+    at = lambda k, n: (start + F.rint((end - start) * k / n)).cast("long")
+    timed = lambda words: F.transform(words, lambda w, i: F.struct(w.alias("text"), at(i, F.size(words)).alias("token_start"), at(i + 1, F.size(words)).alias("token_end")))
+    # the words are bound once by an array around them
+    return F.get(F.transform(F.array(_words(stripped(without_tags(source)))), timed), F.lit(0))
 
 
 def _warning(code: str, severity: str, message: str) -> Column:
@@ -91,7 +91,8 @@ def tokenized(cues: DataFrame, kind: str, *, single_file: bool = False) -> DataF
 
     WebVTT (kind vtt) uses the times in the text if they are whole: words before the first time share the span before it,
     times must grow, and no word may be without length; else, and for SRT, times are in proportion. A cue without
-    length has no words. ``single_file`` warns of every cue whose times are less precise than a WebVTT file's.
+    length has no words. ``single_file`` warns of every cue whose times are less precise than a WebVTT file's. Explode the arrays
+    with an outer generator: for an inner one the optimizer repeats the whole expression in a filter below it.
     """
     if kind not in ("srt", "vtt"):
         raise ValueError("kind must be srt or vtt")
@@ -172,7 +173,7 @@ def token_table(rows: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noq
     """
     cut = trimmed(rows, limits).select("video_id", "cue_index", "n_removed", "reason")
     keep = [c for c in ("intersects_clip", "is_padding_only") if c in rows.columns]
-    words = rows.join(cut, ["video_id", "cue_index"]).select("video_id", "cue_index", "timing", "n_removed", "reason", *keep, F.posexplode("tokens").alias("i", "t"))
+    words = rows.join(cut, ["video_id", "cue_index"]).select("video_id", "cue_index", "timing", "n_removed", "reason", *keep, F.posexplode_outer("tokens").alias("i", "t")).filter("i is not null")
     gone = F.col("i") < F.col("n_removed")
     order = Window.partitionBy("video_id").orderBy("cue_index", "token_index")
     words = words.select(
@@ -350,7 +351,7 @@ def invalid_units(made: DataFrame, of_spans: DataFrame, active: DataFrame) -> Da
 
 def warnings_of(rows: DataFrame, cut: DataFrame, made: DataFrame) -> DataFrame:
     """All warnings of a run in the order of its phases: words, rolling over, forced splits."""
-    first = rows.select("video_id", F.lit(1).alias("phase"), F.col("cue_index").alias("at"), F.posexplode("warnings").alias("n", "w")).select("video_id", "phase", "at", "n", "w.*")
+    first = rows.select("video_id", F.lit(1).alias("phase"), F.col("cue_index").alias("at"), F.posexplode_outer("warnings").alias("n", "w")).filter("n is not null").select("video_id", "phase", "at", "n", "w.*")
     message = F.concat(F.lit("removed "), F.col("n_removed").cast("string"), F.lit(" rolling overlap tokens"))
     rolled = cut.filter("reason = 'rolling_overlap'")
     second = rolled.select("video_id", F.lit(2).alias("phase"), F.col("cue_index").alias("at"), F.lit(0).alias("n"), F.lit("rolling_overlap_removed").alias("code"), F.lit("info").alias("severity"), message.alias("message"))
