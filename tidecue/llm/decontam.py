@@ -38,14 +38,31 @@ CONTAINS = 0.35
 VERBATIM = 0.8
 PARAPHRASE = 0.55
 ANSWER = 0.5
+#: Share of a passage's words, for passages of items that are longer.
+WHOLE = 0.95
 ITEMS_IN_BLOCK = 4096
 _EDGE = ".,;:!?\"'()[]{}«»“”„¿¡…*_#$%&|"
 _CACHE = 100_000
 
 
+#: White space beyond ASCII, and letters of scripts that are written without it, each of which is a word.
+_WIDE = "[\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+_SINGLE = "([\\x{3041}-\\x{30ff}\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{ac00}-\\x{d7a3}])"
+
+
+def spaced(texts: pa.Array) -> pa.Array:
+    """The texts with one kind of white space between words; the only place that decides what a word is, for items and documents alike."""
+    if pc.any(pc.match_substring_regex(texts, _WIDE)).as_py():
+        texts = pc.replace_substring_regex(texts, _WIDE, " ")
+    if pc.any(pc.match_substring_regex(texts, _SINGLE)).as_py():
+        texts = pc.replace_substring_regex(texts, _SINGLE, r" \1 ")
+    return texts
+
+
 def terms(text: str) -> list[str]:
     """Lower-case words without marks at their edges; words of marks only are none."""
-    return [w for w in (x.strip(_EDGE) for x in text.lower().split()) if w]
+    words = pc.ascii_split_whitespace(spaced(pa.array([text], pa.string())))[0].as_py()
+    return [w for w in (x.lower().strip(_EDGE) for x in words) if w]
 
 
 @dataclass
@@ -110,7 +127,7 @@ def _ids_of(texts: pa.Array, vocabulary: dict[str, int]) -> Iterator[np.ndarray]
     if kept is None or kept[0] is not vocabulary:
         _IDS.clear()
         kept = _IDS[id(vocabulary)] = (vocabulary, _Ids(vocabulary))
-    words = pc.ascii_split_whitespace(texts)
+    words = pc.ascii_split_whitespace(spaced(texts))
     coded = words.flatten().dictionary_encode()
     ids = np.fromiter(map(kept[1].__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)), np.int32, len(coded.dictionary))[coded.indices.to_numpy()]
     at = words.offsets.to_numpy()
@@ -248,12 +265,18 @@ def search_ids(ids: np.ndarray, block: Block, *, cosine: float = COSINE) -> list
     found: dict[int, list[tuple[int, float]]] = {}
     for i, j in zip(*np.nonzero(along >= CONTAINS * block.norms), strict=True):
         if (score := float(along[i, j] / lengths[i])) >= cosine:
-            found.setdefault(block.passages[j][0], []).append((int(open_windows[i]), score))
+            found.setdefault(block.passages[j][0], []).append((int(open_windows[i]), score, int(j)))
     out = []
     for k, windows in sorted(found.items()):
         item = block.items[k]
-        best, seen = (0.0, 0.0), -1
-        for r, _ in sorted(windows):
+        best, seen, quoted = (0.0, 0.0), -1, False
+        for r, _, j in sorted(windows):
+            passage = block.passages[j][1]
+            if len(passage) < len(item.words):  # a passage of a long item counts as well, word for word
+                region = ids[max(0, r * STEP - len(passage)) : (r + 2) * STEP + len(passage)]
+                if lcs(passage, region) >= WHOLE * len(passage):
+                    quoted = True
+                    break
             lo, hi = r * STEP - len(item.words), (r + 2) * STEP + len(item.words)
             if r <= seen:
                 continue
@@ -265,8 +288,8 @@ def search_ids(ids: np.ndarray, block: Block, *, cosine: float = COSINE) -> list
             best = max(best, (lcs(item.words, region) / len(item.words), lcs(item.answer, region) / len(item.answer)))
             if best[0] == 1.0:
                 break
-        if best[0] >= VERBATIM or (best[0] >= PARAPHRASE and best[1] >= ANSWER):
-            out.append((k, max(s for _, s in windows), *best))
+        if quoted or best[0] >= VERBATIM or (best[0] >= PARAPHRASE and best[1] >= ANSWER):
+            out.append((k, max(s for _, s, _ in windows), *best))
     return out
 
 
