@@ -5,7 +5,7 @@ Three kinds are patterns alone (assign, access, hex). Three more are reported on
 ``jwt``      a signed token: its first two parts are base64url JSON objects, the first one names an ``alg``
 ``key``      base64 or hex that decodes to a private key: DER whose nested lengths fill the whole and whose
              members are those of PKCS#1, PKCS#8 or SEC 1, or an OpenSSH container whose length fields nest
-``encoded``  base64 or hex of printable text that itself holds an assign or access secret
+``encoded``  base64 or hex of text (UTF-8, no control characters) that itself holds an assign or access secret or one of these
 
 Spans are code points of the whole text, end exclusive. Texts are scanned once, in Arrow batches, without a shuffle.
 """
@@ -40,6 +40,9 @@ BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{40,}\r?\n(?!-----))
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{24}")
 HEX_CODE = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])")
 MIN_BASE64 = 24
+#: Levels of encoding inside one another that are decoded.
+MAX_DEPTH = 4
+_CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -107,19 +110,23 @@ def _is_openssh_key(data: bytes) -> bool:
     return seen >= 5 and at == len(data)
 
 
-def _kind_of(data: bytes) -> str | None:
+def _kind_of(data: bytes, depth: int) -> str | None:
+    """What decoded bytes are; text that is encoded once more is decoded again, down to ``MAX_DEPTH`` levels."""
     if not data:
         return None
     if (data[0] == 0x30 and _is_der_key(data)) or (data[:1] == b"o" and _is_openssh_key(data)):
         return "key"
-    if len(data) >= 12 and all(c in b"\t\n\r" or 32 <= c < 127 for c in data[:64]):
-        try:
-            inner = data.decode("ascii")
-        except UnicodeDecodeError:
-            return None
-        if any(m.end(1) - m.start(1) >= 12 for m in ASSIGN.finditer(inner)) or ACCESS.search(inner):
-            return "encoded"
-    return None
+    if len(data) < 12:
+        return None
+    try:
+        inner = data.decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+    if _CONTROL.search(inner):
+        return None
+    if any(m.end(1) - m.start(1) >= 12 for m in ASSIGN.finditer(inner)) or ACCESS.search(inner):
+        return "encoded"
+    return "encoded" if depth < MAX_DEPTH and confirmed_spans(inner, depth + 1) else None
 
 
 def _unbase64(code: str) -> bytes:
@@ -140,7 +147,7 @@ def _is_object(part: str, key: str | None = None) -> bool:
     return isinstance(value, dict) and (key is None or isinstance(value.get(key), str))
 
 
-def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
+def confirmed_spans(text: str, depth: int = 1) -> list[tuple[str, int, int]]:
     """The spans that decoding confirms."""
     out = []
     if "ey" in text or "ew" in text:  # a JSON object in base64url starts with one: {" or { and a blank, or { and a line end or tab
@@ -150,10 +157,10 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
                 out.append(("jwt", *m.span()))
     if _RUN.search(text):
         for m in BASE64.finditer(text):
-            if m.end() - m.start() >= MIN_BASE64 and (kind := _kind_of(_unbase64(m[0]))):
+            if m.end() - m.start() >= MIN_BASE64 and (kind := _kind_of(_unbase64(m[0]), depth)):
                 out.append((kind, *m.span()))
     for m in HEX_CODE.finditer(text):
-        if len(m[0]) % 2 == 0 and (kind := _kind_of(bytes.fromhex(m[0]))):
+        if len(m[0]) % 2 == 0 and (kind := _kind_of(bytes.fromhex(m[0]), depth)):
             out.append((kind, *m.span()))
     return out
 
