@@ -127,7 +127,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     rows without a doc_id are left alone. An empty table gives no rows. Should different pairs share a 128-bit hash,
     the comparison tells, and no pair of that hash is removed.
     """
-    texts = docs.select("doc_id", text_or_empty().alias("text"))
+    texts = docs.filter("doc_id is not null").select("doc_id", text_or_empty().alias("text"))
     found = materialize(repeats(docs), "repeats")
     marks = found.groupBy("doc_id").agg(F.collect_set(F.struct("line", "hash")).alias("marks"))
     others = found.filter("not is_first").join(unequal(texts.join(marks, "doc_id", "left")).select("hash", _salts()), ["hash", "salt"], "left_anti")
@@ -138,7 +138,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["n_lines", "n_removed", "text"])
 
     joined = texts.join(gone, "doc_id", "left")
-    return joined.select("doc_id", F.pandas_udf(rebuild, "n_lines long, n_removed long, text string")("text", "gone").alias("r")).select("doc_id", "r.*")
+    out = joined.select("doc_id", F.pandas_udf(rebuild, "n_lines long, n_removed long, text string")("text", "gone").alias("r")).select("doc_id", "r.*")
+    # rows without a doc_id are sent nowhere
+    lines = F.size(F.split(text_or_empty(), "\n")).cast("long").alias("n_lines")
+    return out.union(docs.filter("doc_id is null").select("doc_id", lines, F.lit(0).cast("long").alias("n_removed"), text_or_empty().alias("text")))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
