@@ -188,7 +188,8 @@ def _env(text: str) -> str:
 
 
 def _paths(text: str) -> str:
-    return f"list_sort(list_concat(regexp_extract_all({text}, '[A-Za-z]:\\\\\S+'), regexp_extract_all({text}, '(?:^|[^A-Za-z0-9])(/(?:[{_W}.-]+/)+[{_W}.-]+)', 1)))"
+    windows, posix = r"[A-Za-z]:\\\S+", rf"(?:^|[^A-Za-z0-9])(/(?:[{_W}.-]+/)+[{_W}.-]+)"
+    return f"list_sort(list_concat(regexp_extract_all({text}, '{windows}'), regexp_extract_all({text}, '{posix}', 1)))"
 
 
 ORACLE_SQL = {
