@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecue.functions import prompts, text, timecode
-from tidecue.operators import calls, captions, reports
+from tidecue.operators import calls, captions, reports, semantic, units
 from tidecue.sources import cues as sources
 from tidecue.sources import files
 
@@ -223,7 +223,48 @@ def scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _words(source):
+    return F.filter(F.split(text.without_tags(source), r"(?U)\s+"), lambda x: x != "")
+
+
+def _proposed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Units by rule of conversations, their words, and proposals of ten words a segment with faults by the video's number."""
+    turns = sources.from_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    active = units.token_table(units.tokenized(turns, "srt"), units.Limits(drop_repeats=False, trim_overlap=False)).filter("pos is not null")
+    labelled = units.units_of(active)
+    made = units.units(labelled)
+    words = active.withColumn("place", F.col("pos"))  # none of these units is padding
+    kind, last = F.col("video_id") % 8, F.floor((F.col("n") - 1) / 10).cast("int")
+
+    def segment(i):
+        start = F.when((kind == 5) & (i == 0), 1).otherwise(i * 10)
+        stop = F.least(F.col("n"), i * 10 + 10) + F.when((kind == 2) & (i == 0), -1).when((kind == 3) & (i == 0), 1).when((kind == 6) & (i == last), -1).otherwise(0)
+        extra = F.when((kind == 4) & (i == 0), ', "text": "x"').otherwise("")
+        return F.concat(F.lit('{"start_token": "'), start.cast("string"), F.lit('", "end_token": '), stop.cast("string"), extra, F.lit("}"))
+
+    sizes = turns.groupBy("video_id").agg(F.sum(F.size(_words(F.col("source")))).alias("n")).filter("n > 0")
+    listed = F.array_join(F.transform(F.sequence(F.lit(0), last), segment), ", ")
+    payload = F.when(kind == 1, "{not json").otherwise(F.concat(F.lit('{"segments": ['), F.when(kind == 7, "").otherwise(listed), F.lit("]}")))
+    return made, words, sizes.select("video_id", payload.alias("payload"))
+
+
+WIDE = semantic.Options(max_chars=10**6, max_duration_ms=10**9, max_words=10**6)
+
+
+def semantic_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, words, payloads = _proposed(spark, sf_dir)
+    reason = F.when(F.col("reason").startswith("parse_error"), "parse_error").otherwise(F.col("reason"))
+    return semantic.faults(semantic.proposals(payloads), words, WIDE).select("video_id", reason.alias("reason"))
+
+
+def semantic_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made, words, payloads = _proposed(spark, sf_dir)
+    out = semantic.refined(made, words, payloads, WIDE)
+    return out.filter("mode = 'semantic'").select("video_id", "nth", "unit_id", "source_text", "start_ms", "end_ms")
+
+
 QUERIES = {
+    "semantic_faults": semantic_faults, "semantic_units": semantic_units,
     "batch_results": batch_results, "batch_translations": translations, "run_counters": run_counters, "answer_checks": answer_checks, "review_overlay": review_checks, "prompt_hashes": prompt_hashes,
     "cache_upsert": cache_upsert, "cache_lookup": cache_lookup, "adaptive_fold": adaptive_fold, "batch_report": batch_report, "report_sections": report_sections, "global_context": global_contexts,
     "chapter_summary": chapters, "vtt_lenient_scan": lenient_vtt, "srt_checks": srt_checks, "scalars": scalars,
@@ -257,7 +298,15 @@ def _json_list(test: str) -> str:
 _KEYS = ",".join(
     f'"{k}":' + ("true" if k == "structured_output" else "\"' || h || '\"" if k == "batch_source_hash" else '"zh-CN"' if k == "target_lang" else f'"{k}"') for k in prompts.KEY_FIELDS
 )
+_SEM = r"""WITH c AS (SELECT conv_id AS video_id, turn + 1 AS cue_index, list_filter(string_split_regex(regexp_replace(text, '<[^>]+>', ' ', 'g'), '\s+'), lambda y: y <> '') AS w, turn * 2500 AS s, turn * 2500 + 2000 + length(text) % 1000 AS e FROM conversations),
+t AS (SELECT *, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i, len(w) AS k FROM c), p AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY cue_index, i) - 1 AS pos, count(*) OVER (PARTITION BY video_id) AS n,
+    s + round_even((e - s) * i / k, 0)::BIGINT AS a, s + round_even((e - s) * (i + 1) / k, 0)::BIGINT AS z FROM t) """
 ORACLE_SQL = {
+    "semantic_faults": _SEM + """, v AS (SELECT DISTINCT video_id, n, video_id % 8 AS f FROM p) SELECT video_id, CASE f WHEN 1 THEN 'parse_error' WHEN 2 THEN CASE WHEN n > 10 THEN 'V10: gap at segment 0/1' WHEN n = 1 THEN 'V5: end_token <= start_token at segment 0' ELSE 'V7: last segment end_token != ' || n END
+        WHEN 3 THEN CASE WHEN n > 10 THEN 'V9: overlap at segment 0/1' ELSE 'V11: out_of_range at segment 0' END WHEN 4 THEN 'forbidden_text_fields: [''text'']' WHEN 5 THEN CASE WHEN n = 1 THEN 'V5: end_token <= start_token at segment 0' ELSE 'V6: first segment does not start at 0' END
+        WHEN 6 THEN CASE WHEN n % 10 = 1 THEN 'V5: end_token <= start_token at segment ' || (n - 1) // 10 ELSE 'V7: last segment end_token != ' || n END WHEN 7 THEN 'empty_segments' END AS reason FROM v""",
+    "semantic_units": _SEM + """, u AS (SELECT video_id, pos // 10 AS b, string_agg(x, ' ' ORDER BY pos) AS source_text, arg_min(a, pos) AS start_ms, arg_max(z, pos) AS end_ms FROM p WHERE video_id % 8 = 0 GROUP BY video_id, pos // 10)
+        SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY start_ms, end_ms, printf('s%03d', b + 1)) AS nth, printf('s%03d', b + 1) AS unit_id, source_text, start_ms, end_ms FROM u""",
     "batch_results": _R + """ SELECT video_id, batch_id, 'success' AS state, n AS cue_count, attempts::BIGINT AS attempts, attempts::BIGINT AS calls, fallback_calls, CASE WHEN split THEN 2 ELSE attempts - 1 END::BIGINT AS retries, error_type,
         CASE WHEN split THEN 'shrink' WHEN kind = 2 THEN 'fallback' ELSE 'main' END AS route, CASE WHEN split THEN (max(batch_id) OVER w + 1 + 6 * (batch_id - 1)) || ',' || (max(batch_id) OVER w + 2 + 6 * (batch_id - 1)) ELSE '' END AS children,
         CASE WHEN split THEN 1::BIGINT END AS split_attempt FROM o WINDOW w AS (PARTITION BY video_id)""",

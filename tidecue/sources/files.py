@@ -113,9 +113,12 @@ def preferred_subtitle(names: Column) -> Column:
 
 
 def write_texts(texts: DataFrame, path: str, *, overwrite: bool = False) -> None:
-    """A folder of text, dealt by video_id: one file for each video of ``texts`` (video_id, text); what exists is an error unless ``overwrite``."""
-    out = texts.select(F.col("video_id").cast("string").alias("video_id"), F.col("text").alias("value"))
-    out.write.mode("overwrite" if overwrite else "errorifexists").option("lineSep", "").partitionBy("video_id").text(path)
+    """A folder of text, dealt by video_id: one file for each video of ``texts`` (video_id, text); what exists is an error unless ``overwrite``.
+
+    A file ends with a line end; a text without one gets it.
+    """
+    out = texts.select(F.col("video_id").cast("string").alias("video_id"), F.regexp_replace("text", r"\n\z", "").alias("value"))
+    out.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("video_id").text(path)
 
 
 def write_artifacts(tables: dict[str, DataFrame], folder: str, *, overwrite: bool = False) -> None:
