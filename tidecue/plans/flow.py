@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecue.functions import prompts, text, timecode
-from tidecue.operators import calls, captions, reports, semantic, units
+from tidecue.operators import calls, captions, checks, reports, semantic, units
 from tidecue.sources import cues as sources
 from tidecue.sources import files
 
@@ -263,7 +263,52 @@ def semantic_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.filter("mode = 'semantic'").select("video_id", "nth", "unit_id", "source_text", "start_ms", "end_ms")
 
 
+def _faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as cues with faults by number."""
+    own = sources.from_lines(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("cue_index", "pos")
+    k = F.col("pos")
+    return own.select(
+        "video_id", "pos", F.when(k % 9 == 0, k + 1).otherwise(k).alias("cue_index"), F.when(k % 17 == 0, " ").when((k % 7 == 0) & (k > 1), (k - 1).cast("string")).otherwise(k.cast("string")).alias("cue_id"),
+        F.when(k % 13 == 0, F.lit(None)).otherwise(timecode.format_ms(F.col("start_ms"))).alias("start"), timecode.format_ms(F.col("end_ms")).alias("end"), F.when(k % 11 == 0, "\t").otherwise(F.col("source")).alias("source"),
+    )
+
+
+def cue_first_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.first_fault(checks.cue_faults(_faulty(spark, sf_dir)))
+
+
+def _partly(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    turns = _turns(spark, sf_dir)
+    k = F.col("cue_index")
+    other = turns.filter(k % 5 != 0).select("video_id", F.when(k % 7 == 0, F.concat(F.lit("z"), F.col("cue_id"))).otherwise(F.col("cue_id")).alias("cue_id"), F.when(k % 3 == 0, " ").otherwise(F.concat(F.lit("t "), F.col("source"))).alias("translation"))
+    return turns, other
+
+
+def translation_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.incomplete(*_partly(spark, sf_dir))
+
+
+def bilingual_older(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, other = _partly(spark, sf_dir)
+    rows = checks.with_translations(turns, other, instead="[未翻译]")
+    return checks.bilingual_file(rows.select("video_id", "cue_index", (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), F.col("source").alias("text"), "translation"))
+
+
+def unit_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The artifacts of each conversation's units: the renumbered file, and the hashes of the two documents' unit lists."""
+    turns = sources.from_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    labelled = units.units_of(units.token_table(units.tokenized(turns, "srt"), units.Limits(drop_repeats=False, trim_overlap=False)).filter("pos is not null"))
+    made = units.units(labelled)
+    docs = reports.unit_documents(reports.unit_payload(made, units.spans(labelled)), mode="single_file", input_format="srt")
+    srt = captions.render_srt(made.withColumnRenamed("unit_no", "cue_index"), F.col("source_text"))
+    ids = F.array_join(F.from_json("units_json", "units array<struct<unit_id:string>>")["units"]["unit_id"], ",")
+    keys = F.array_join(F.map_keys(F.from_json("cue_map_json", "units map<string,string>")["units"]), ",")
+    return docs.join(srt, "video_id").select("video_id", ids.alias("unit_ids"), (keys == ids).alias("same_keys"), F.get_json_object("units_json", "$.schema_version").alias("version"), F.regexp_count("srt", F.lit("(?m)^\\d+\n\\d\\d:")).cast("long").alias("blocks"))
+
+
 QUERIES = {
+    "cue_faults": lambda s, d: checks.cue_faults(_faulty(s, d)).select("video_id", "pos", "reason"), "cue_first_faults": cue_first_faults, "translation_gaps": translation_gaps, "bilingual_older": bilingual_older,
+    "unit_documents": unit_documents,
     "semantic_faults": semantic_faults, "semantic_units": semantic_units,
     "batch_results": batch_results, "batch_translations": translations, "run_counters": run_counters, "answer_checks": answer_checks, "review_overlay": review_checks, "prompt_hashes": prompt_hashes,
     "cache_upsert": cache_upsert, "cache_lookup": cache_lookup, "adaptive_fold": adaptive_fold, "batch_report": batch_report, "report_sections": report_sections, "global_context": global_contexts,
@@ -301,7 +346,16 @@ _KEYS = ",".join(
 _SEM = r"""WITH c AS (SELECT conv_id AS video_id, turn + 1 AS cue_index, list_filter(string_split_regex(regexp_replace(text, '<[^>]+>', ' ', 'g'), '\s+'), lambda y: y <> '') AS w, turn * 2500 AS s, turn * 2500 + 2000 + length(text) % 1000 AS e FROM conversations),
 t AS (SELECT *, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i, len(w) AS k FROM c), p AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY cue_index, i) - 1 AS pos, count(*) OVER (PARTITION BY video_id) AS n,
     s + round_even((e - s) * i / k, 0)::BIGINT AS a, s + round_even((e - s) * (i + 1) / k, 0)::BIGINT AS z FROM t) """
+_FAULTY = "WITH " + _LINES + r""", f AS (SELECT video_id, k AS pos, CASE WHEN k % 9 = 0 THEN k + 1 ELSE k END AS ix, CASE WHEN k % 17 = 0 THEN ' ' WHEN k % 7 = 0 AND k > 1 THEN (k - 1)::VARCHAR ELSE k::VARCHAR END AS id FROM c),
+d AS (SELECT *, trim(id) <> '' AND row_number() OVER (PARTITION BY video_id, id ORDER BY pos) > 1 AS again FROM f),
+r AS (SELECT video_id, pos, 1 AS n, 'index' AS reason FROM d WHERE ix <> pos UNION ALL SELECT video_id, pos, 2, 'id' FROM d WHERE trim(id) = '' UNION ALL SELECT video_id, pos, 3, 'duplicate id' FROM d WHERE again
+UNION ALL SELECT video_id, pos, 4, 'start' FROM d WHERE pos % 13 = 0 UNION ALL SELECT video_id, pos, 6, 'source' FROM d WHERE pos % 11 = 0) """
+_PARTLY = """WITH c AS (SELECT conv_id AS video_id, turn + 1 AS k, text AS source, turn * 2500 AS s, turn * 2500 + 2000 + length(text) % 1000 AS e FROM conversations) """
 ORACLE_SQL = {
+    "cue_faults": _FAULTY + "SELECT video_id, pos, reason FROM r",
+    "cue_first_faults": _FAULTY + "SELECT video_id, arg_min(reason, pos * 10 + n) AS reason, min(pos) AS pos FROM r GROUP BY video_id",
+    "translation_gaps": _PARTLY + """SELECT video_id, 'c' || k AS cue_id, CASE WHEN k % 5 = 0 OR k % 7 = 0 THEN 'missing' ELSE 'blank' END AS reason FROM c WHERE k % 5 = 0 OR k % 7 = 0 OR k % 3 = 0 UNION ALL SELECT video_id, 'zc' || k, 'of no cue' FROM c WHERE k % 5 <> 0 AND k % 7 = 0""",
+    "bilingual_older": _PARTLY + f"""SELECT video_id, string_agg(k || chr(10) || {_SHOW.replace("{2}", ",").format("s")} || ' --> ' || {_SHOW.replace("{2}", ",").format("e")} || chr(10) || source || chr(10) || CASE WHEN k % 5 = 0 OR k % 7 = 0 THEN '[未翻译]' WHEN k % 3 = 0 THEN ' ' ELSE 't ' || source END || chr(10) || chr(10), '' ORDER BY k) AS srt FROM c GROUP BY video_id""",
     "semantic_faults": _SEM + """, v AS (SELECT DISTINCT video_id, n, video_id % 8 AS f FROM p) SELECT video_id, CASE f WHEN 1 THEN 'parse_error' WHEN 2 THEN CASE WHEN n > 10 THEN 'V10: gap at segment 0/1' WHEN n = 1 THEN 'V5: end_token <= start_token at segment 0' ELSE 'V7: last segment end_token != ' || n END
         WHEN 3 THEN CASE WHEN n > 10 THEN 'V9: overlap at segment 0/1' ELSE 'V11: out_of_range at segment 0' END WHEN 4 THEN 'forbidden_text_fields: [''text'']' WHEN 5 THEN CASE WHEN n = 1 THEN 'V5: end_token <= start_token at segment 0' ELSE 'V6: first segment does not start at 0' END
         WHEN 6 THEN CASE WHEN n % 10 = 1 THEN 'V5: end_token <= start_token at segment ' || (n - 1) // 10 ELSE 'V7: last segment end_token != ' || n END WHEN 7 THEN 'empty_segments' END AS reason FROM v""",
