@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidecue.llm.common import materialize, table, text_or_empty
+from tidecue.llm.common import discard, materialize, table, text_or_empty
 
 FOLDS, HELD_OUT = 5, 1
 CHUNK_CHARS = 8_000_000
@@ -302,14 +302,15 @@ def _round(chunks: DataFrame, model: Model, turn: int, rounds: int) -> None:
             for k, g in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own = np.frombuffer(g.as_py(), np.float32).astype(np.float64)
                 total[k] = total[k] + own if k in total else own
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([g.tobytes() for g in total.values()], pa.binary())], names=["slice", "g"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([g.astype(np.float32).tobytes() for g in total.values()], pa.binary())], names=["slice", "g"])
 
     # each task sends one gradient whatever it has read, so there are as many as run at once
     dealt = chunks.select(*_READY).coalesce(chunks.sparkSession.sparkContext.defaultParallelism)
     done = dealt.mapInArrow(run, "slice int, g binary").repartition(SLICES, "slice").mapInArrow(added, "slice int, g binary")
     cuts = [len(x) for x in np.array_split(np.zeros(size), SLICES)]
-    for r in done.toLocalIterator():
-        g, lo, n = np.frombuffer(bytes(r.g), np.float64), sum(cuts[: r.slice]), cuts[r.slice]
+    # two numbers for each weight, a size that MAX_BITS bounds
+    for r in done.collect():
+        g, lo, n = np.frombuffer(bytes(r.g), np.float32), sum(cuts[: r.slice]), cuts[r.slice]
         for weights, width in ((model.first, CLASSES), (model.second, SUBCLASSES)):
             part, g = g[: 2 * width * n].reshape(2, width, n), g[2 * width * n :]
             step = RATE * (part[0] - part[1]) / (part[1] + PRIOR)
@@ -317,7 +318,7 @@ def _round(chunks: DataFrame, model: Model, turn: int, rounds: int) -> None:
     sent.unpersist()
 
 
-def fitted(chunks: DataFrame, counted: DataFrame, ready: DataFrame, *, rounds: int = ROUNDS) -> Model:
+def fitted(counted: DataFrame, ready: DataFrame, *, rounds: int = ROUNDS) -> Model:
     """The model of the training rows; what the driver holds is the heads, a row for each subclass and the weights."""
     words = counted.filter("word is not null")
     heads = words.select("word", "k", "c").orderBy(F.col("c").desc(), "word").limit(HEADS).collect()
@@ -402,7 +403,10 @@ def prepared(docs: DataFrame, *, rounds: int = ROUNDS, chunk_chars: int = CHUNK_
     counted = word_rows(chunks).repartition(parts, "h").withColumn("c", F.sum("n").over(word)).withColumn("nth", F.row_number().over(word.orderBy("at")))
     counted = materialize(counted.select("at", "k", F.col("c").cast("long").alias("c"), F.when((F.col("nth") == 1) & (F.col("c") > 0), F.col("h")).alias("word")), "lm-counts")
     ready = materialize(chunks.drop("counts").join(packed(counted), "chunk"), "lm-ready")
-    return ready, fitted(chunks, counted, ready, rounds=rounds)
+    discard(chunks)  # all of it is in ready
+    model = fitted(counted, ready, rounds=rounds)
+    discard(counted)
+    return ready, model
 
 
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
