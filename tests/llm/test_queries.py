@@ -26,3 +26,5 @@ def test_pipeline(spark):
             assert docs.columns == columns
         seen.append(docs.count())
     assert seen[0] > seen[1] >= seen[2] >= seen[3] > 0 and seen[4] == seen[5]
+    key = lambda df: sorted((r.doc_id, r.size, r.text_crc32, r.shard) for r in df.collect())
+    assert key(corpus_pipeline.run(spark, SF)) == key(docs)
