@@ -145,3 +145,52 @@ def test_more_words_than_milliseconds(spark):
 def test_limits():
     with pytest.raises(ValueError):
         units.Limits(chars=0)
+
+
+@pytest.mark.parametrize("kind", ["srt", "vtt"])
+def test_one_pass_over_cues_gives_what_tables_of_words_give(spark, kind):
+    pick = random.Random(2)
+    some = ["the", "and", "okay", "next", "project", "so", "now", "we're", "going", "fox", "<i>jumps</i>", "of", "<00:00:02.000>", "over", "--"]
+    rows = []
+    for video in range(6):
+        said = [" ".join(pick.choice(some) for _ in range(pick.randrange(0, 12))) for _ in range(30)]
+        for k in range(1, 30):
+            if pick.random() < 0.3:
+                said[k] = said[k - 1] if pick.random() < 0.5 else " ".join([*said[k - 1].split()[-3:], said[k]])
+        rows += [(video, k + 1, x, k * 1000, k * 1000 + pick.choice((-5, 3, 900, 1000, 4000))) for k, x in enumerate(said)]
+    limits, clip = units.Limits(chars=40, duration_ms=3000, cues=3), (4000, 12000)
+    flagged = spark.createDataFrame(rows, SCHEMA).withColumn("intersects_clip", (F.col("end_ms") > clip[0]) & (F.col("start_ms") < clip[1]))
+    table = units.tokenized(flagged, kind, single_file=True)
+    every, cut = units.token_table(table, limits), units.trimmed(table, limits)
+    active = every.filter("pos is not null")
+    labelled = units.units_of(active, limits)
+    made, of_spans = units.units(labelled, clip), units.spans(labelled).drop("run")
+    found = units.segments(flagged.repartition(3), kind, limits, single_file=True)
+    same = lambda a, b: sorted(map(str, a.select(b.columns).collect())) == sorted(map(str, b.collect()))
+    assert same(units.segment_table(found, clip), made) and same(units.segment_spans(found), of_spans)
+    assert same(found.filter("cue_index is not null"), cut)
+    runs = found.filter("cue_index is not null and start < end")
+    assert same(runs, units.word_runs(active))
+    assert same(units.segment_stats(found), units.stats(table, cut, every, made, units.warnings_of(table, cut, made)))
+    wrong = of_spans.withColumn("end", F.col("end") - (F.col("start") % 5 == 0).cast("int")).withColumn("cue_index", F.col("cue_index") + (F.col("start") % 7 == 0).cast("int"))
+    wrong = wrong.union(of_spans.filter("video_id = 1 and unit_pos = 0")).union(of_spans.filter("video_id = 2").withColumn("end", F.col("end") + 900).limit(1))
+    told = units.invalid_units(made, wrong, active)
+    assert {r.reason for r in told.collect()} >= {"invalid span", "missing coverage", "duplicate assignment", "span of another cue"}
+    assert same(told, units.invalid_units(made, wrong, runs))
+    # word by word
+    places, covered = {(r.video_id, r.pos): r.cue_index for r in active.collect()}, {}
+    for r in wrong.collect():
+        for pos in range(r.start, r.end):
+            covered.setdefault((r.video_id, pos), []).append((r.unit_pos, r.cue_index))
+    lost = {v: max(len(covered.get(p, ())) for p in places if p[0] == v and len(covered.get(p, ())) != 1) for v in {p[0] for p in places if len(covered.get(p, ())) != 1}}
+    plain = {(v, None, "duplicate assignment" if n > 1 else "missing coverage") for v, n in lost.items()}
+    plain |= {(p[0], u, "span of another cue") for p, own in places.items() for u, c in covered.get(p, ()) if c != own}
+    assert {tuple(r) for r in told.collect() if r.reason in ("duplicate assignment", "missing coverage", "span of another cue")} == plain
+
+
+@pytest.mark.parametrize("name", ["segment_units"])
+def test_words_are_never_sent(spark, name):
+    from tidecue.plans import catalog
+
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(video_id") <= 5 and plan.count("mapInArrow") + plan.count("MapInArrow") <= 2 and "posexplode_outer" not in plan

@@ -3,7 +3,8 @@
 All tables hold any number of videos. Words are found within a row, without a shuffle. Two steps depend on the order of a
 whole video and can't be told as built-in expressions: the fold over cues whose state is the trimmed cue before, and the
 greedy walk whose forced splits go back. Both are streams over sorted rows that keep a bounded state, never a whole video.
-Units always begin at strong phrases, so the walk is dealt by video and phrase, and a long video is many tasks.
+``segments`` does both in one stream over cues, which are sent once; the tables of words are for those who need every word.
+There, units always begin at strong phrases, so the walk is dealt by video and phrase.
 """
 
 from __future__ import annotations
@@ -131,6 +132,28 @@ def tokenized(cues: DataFrame, kind: str, *, single_file: bool = False) -> DataF
     return rows.withColumn("timing", timing).withColumn("warnings", warnings).drop("_raw", "_first", "_first_ms", "_at", "_ends", "_state")
 
 
+class Fold:
+    """The cues of a video in order; what is kept is the last kept cue's end, text and last words."""
+
+    def __init__(self, limits: Limits):
+        self.limits = limits
+        self.before: tuple[int, str, list[str]] | None = None
+
+    def removed(self, start: int, end: int, text: str, words: list[str]) -> tuple[int, str | None]:
+        """How many words of this cue go, and why."""
+        n, reason, before = 0, None, self.before
+        if before is not None:
+            if self.limits.drop_repeats and text and text == before[1] and abs(start - before[0]) <= NEAR_MS:
+                return len(words), "duplicate_cue"
+            if self.limits.trim_overlap and words:
+                most = min(len(before[2]), len(words), LONGEST_OVERLAP)
+                n = next((k for k in range(most, 0, -1) if before[2][-k:] == words[:k]), 0)
+                reason = "rolling_overlap" if n else None
+        if len(words) > n:
+            self.before = (end, text, words[n:][-LONGEST_OVERLAP:])
+        return n, reason
+
+
 def trimmed(rows: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """video_id, cue_index, n_words, n_removed, reason for ``tokenized`` rows: what repeats the kept cue before.
 
@@ -141,24 +164,13 @@ def trimmed(rows: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B
     state = rows.select("video_id", "cue_index", "start_ms", "end_ms", for_compare(without_tags(F.col("source"))).alias("text"), F.transform("tokens", lambda t: normal_token(t.text)).alias("words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        video, before = None, None  # the last kept cue: its end, text and last words
+        video, fold = None, None
         for batch in batches:
             ids, out = batch.column(0).to_pylist(), []
             for own, start, end, text, words in zip(ids, *(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
-                if own != video:
-                    video, before = own, None
-                n, reason = 0, None
-                if before is not None:
-                    if limits.drop_repeats and text and text == before[1] and abs(start - before[0]) <= NEAR_MS:
-                        out.append((len(words), len(words), "duplicate_cue"))
-                        continue
-                    if limits.trim_overlap and words:
-                        most = min(len(before[2]), len(words), LONGEST_OVERLAP)
-                        n = next((k for k in range(most, 0, -1) if before[2][-k:] == words[:k]), 0)
-                        reason = "rolling_overlap" if n else None
-                out.append((len(words), n, reason))
-                if len(words) > n:
-                    before = (end, text, words[n:][-LONGEST_OVERLAP:])
+                if fold is None or own != video:
+                    video, fold = own, Fold(limits)
+                out.append((len(words), *fold.removed(start, end, text, words)))
             columns = [batch.column(0), batch.column(1), *(pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string())))]
             yield pa.RecordBatch.from_arrays(columns, names=["video_id", "cue_index", "n_words", "n_removed", "reason"])
 
@@ -291,6 +303,150 @@ def units_of(active: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa
     return joined.withColumn("unit_pos", F.max("unit_pos").over(upto)).withColumn("forced", F.last("forced", True).over(upto)).drop("n_words")
 
 
+def segments(cues: DataFrame, kind: str, limits: Limits = Limits(), *, single_file: bool = False) -> DataFrame:  # noqa: B008
+    """Trimming, places and the greedy walk in one pass: cues are sent once, as they came, and no word is ever a row.
+
+    A row for each cue (cue_index is set): what ``trimmed`` tells, the ``start`` and ``end`` of its words' places, and ``n_warned``, its
+    own warnings of that severity. A row for each unit (unit_no is set): its text, times, whether a word lies in the clip, and its spans.
+    A stream holds the words of one unit and the longest phrase ahead, never a whole video.
+    """
+    id_kind = cues.schema["video_id"].dataType.simpleString()
+    marked = "intersects_clip" in cues.columns
+    sent = cues.select("video_id", "cue_index", "source", "start_ms", "end_ms", *["intersects_clip"] * marked)
+    rows = tokenized(sent.repartition("video_id").sortWithinPartitions("video_id", "cue_index"), kind, single_file=single_file)
+    of = lambda c: F.transform("tokens", lambda t: t[c])
+    state = rows.select(
+        "video_id", "cue_index", "start_ms", "end_ms", for_compare(without_tags(F.col("source"))).alias("said"), F.transform("tokens", lambda t: normal_token(t.text)).alias("words"),
+        of("text").alias("texts"), of("token_start").alias("starts"), of("token_end").alias("ends"), "timing",
+        F.col("intersects_clip") if marked else F.lit(True).alias("intersects_clip"), F.size(F.filter("warnings", lambda w: w.severity == "warning")).cast("long").alias("n_warned"),
+    )
+    by_first: dict[str, list[list[str]]] = {}
+    for phrase in limits.phrases:
+        by_first.setdefault(phrase.split()[0], []).append(phrase.split())
+    longest = max((len(p.split()) for p in limits.phrases), default=1)
+    dangling = frozenset(limits.dangling)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        done: list[pa.RecordBatch] = []
+
+        def live() -> Iterator[tuple]:
+            """Words that stay: (video, chars, start, end, cue, dangles), text, place in the cue, in the clip, begins a phrase."""
+            video, fold, ahead, norms, pos = None, None, [], [], 0
+
+            def known(stop: int) -> Iterator[tuple]:
+                for i in range(stop):
+                    yield *ahead[i], any(norms[i : i + len(p)] == p for p in by_first.get(norms[i], ()))
+                del ahead[:stop], norms[:stop]
+
+            for batch in batches:
+                for own, cue, start, end, said, words, texts, starts, ends, timing, inside, warned in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if fold is None or own != video:
+                        yield from known(len(ahead))
+                        video, fold, pos = own, Fold(limits), 0
+                    n, reason = fold.removed(start, end, said, words)
+                    stay = len(words) - n
+                    out.append((own, cue, len(words), n, reason, timing, warned, pos, pos + stay) + (None,) * 9)
+                    if len(out) >= 4096:
+                        done.append(batch_of(out))
+                    pos += stay
+                    for i in range(n, len(words)):
+                        ahead.append(((own, len(texts[i]), starts[i], ends[i], cue, words[i] in dangling), texts[i], i, inside))
+                    norms += words[n:]
+                    yield from known(max(0, len(ahead) - longest + 1))
+            yield from known(len(ahead))
+
+        stream = live()
+        word, number, pos = next(stream, None), 0, 0
+        while word is not None:
+            video, kept = word[0][0], []
+
+            def island() -> Iterator[tuple]:
+                nonlocal word
+                while True:
+                    token = word[0]
+                    kept.append(word)  # noqa: B023
+                    word = next(stream, None)
+                    yield token[1:]
+                    if word is None or word[4] or word[0][0] != token[0]:
+                        return
+
+            for n, forced in walk(island(), limits):
+                number += 1
+                out.append((video,) + (None,) * 8 + (number, pos, n, forced, *_told(kept[:n], pos)))
+                del kept[:n]
+                pos += n
+                if len(out) >= 4096:
+                    done.append(batch_of(out))
+                yield from done
+                done.clear()
+            if word is not None and word[0][0] != video:
+                number = pos = 0
+        yield from done
+        if out:
+            yield batch_of(out)
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+        out.clear()
+        return batch
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    span = pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "end", "cue_index", "cue_token_start", "cue_token_end")]))
+    columns = {"video_id": to_arrow_type(cues.schema["video_id"].dataType), "cue_index": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "reason": pa.string(), "timing": pa.string(), "n_warned": pa.int64(), "start": pa.int64(), "end": pa.int64()}
+    columns |= {"unit_no": pa.int64(), "unit_pos": pa.int64(), "unit_words": pa.int64(), "forced": pa.bool_(), "source_text": pa.string(), "times": pa.list_(pa.int64()), "intersects_clip": pa.bool_(), "source_cues": pa.list_(pa.int64()), "spans": span}
+    names, types = list(columns), list(columns.values())
+    schema = (
+        f"video_id {id_kind}, cue_index long, n_words long, n_removed long, reason string, timing string, n_warned long, start long, end long, unit_no long, unit_pos long, unit_words long, forced boolean, "
+        "source_text string, times array<long>, intersects_clip boolean, source_cues array<long>, spans array<struct<start:long,end:long,cue_index:long,cue_token_start:long,cue_token_end:long>>"
+    )
+    return state.mapInArrow(run, schema)
+
+
+def _told(words: list[tuple], pos: int) -> tuple:
+    """Text, times (of the first and last word, least, most), whether a word lies in the clip, cues and spans of a unit's words from ``pos`` on."""
+    spans, cue, last = [], None, -1
+    for k, ((_, _, _, _, own, _), _, i, _, _) in enumerate(words):
+        if not spans or own != cue or i != last + 1:
+            spans.append([pos + k, pos + k, own, i, i])
+            cue = own
+        spans[-1][1], spans[-1][4], last = pos + k + 1, i + 1, i
+    starts, ends = [w[0][2] for w in words], [w[0][3] for w in words]
+    inside = [w[3] for w in words if w[3] is not None]
+    names = ("start", "end", "cue_index", "cue_token_start", "cue_token_end")
+    times = [starts[0], ends[-1], min(starts), max(ends)]
+    return " ".join(w[1] for w in words), times, any(inside) if inside else None, list(dict.fromkeys(w[0][4] for w in words)), [dict(zip(names, s, strict=True)) for s in spans]
+
+
+def segment_spans(found: DataFrame) -> DataFrame:
+    """What ``spans`` gives, of ``segments``."""
+    return found.filter("unit_no is not null").select("video_id", "unit_pos", "unit_no", F.explode_outer("spans").alias("s")).select("video_id", "unit_pos", "unit_no", "s.*")
+
+
+def segment_table(found: DataFrame, clip: tuple[int, int] | None = None, *, prefix: str = "u") -> DataFrame:
+    """What ``units`` gives, of ``segments``."""
+    made = found.filter("unit_no is not null").withColumn("n_words", F.col("unit_words"))
+    for i, c in enumerate(("start_ms", "end_ms", "low", "high")):
+        made = made.withColumn(c, F.col("times")[i])
+    return _described(made, F.col("unit_no"), clip, prefix)
+
+
+def segment_stats(found: DataFrame) -> DataFrame:
+    """What ``stats`` gives, of ``segments``: one aggregation by video."""
+    count = lambda test: F.count_if(test).cast("long")
+    live, duplicate = F.col("n_words") - F.col("n_removed"), F.col("reason") == "duplicate_cue"
+    total = lambda n, test=None: F.coalesce(F.sum(n if test is None else F.when(test, n)), F.lit(0)).cast("long")
+    forced = F.coalesce("forced", F.lit(False))
+    return found.groupBy("video_id").agg(
+        F.count("cue_index").alias("extracted_cues"), count(duplicate).alias("removed_duplicate_cues"), total(live).alias("active_tokens"),
+        total(F.col("n_removed"), duplicate).alias("removed_duplicate_tokens"), total(F.col("n_removed"), F.col("reason") == "rolling_overlap").alias("removed_overlap_tokens"),
+        total(live, F.col("timing") == "vtt_inline").alias("inline_tokens"), total(live, F.col("timing") == "cue_proportional").alias("proportional_tokens"),
+        F.count("unit_no").alias("units"), count(forced).alias("forced_splits"), count(F.col("unit_no").isNotNull() & ~F.col("intersects_clip")).alias("padding_only_units"),
+        (total(F.col("n_warned")) + count(forced)).alias("warnings"),
+    )
+
+
 def spans(of_units: DataFrame) -> DataFrame:
     """video_id, unit_pos and the spans of each unit: runs of words that stand side by side in one cue."""
     own = Window.partitionBy("video_id", "unit_pos").orderBy("pos")
@@ -314,12 +470,17 @@ def units(of_units: DataFrame, clip: tuple[int, int] | None = None, *, prefix: s
         F.min("token_start").alias("low"), F.max("token_end").alias("high"), F.first("forced").alias("forced"), inside.alias("intersects_clip"),
     )
     number = F.row_number().over(Window.partitionBy("video_id").orderBy("unit_pos"))
+    text, cues = F.array_join(F.transform("w", lambda x: x.text), " "), F.array_distinct(F.transform("w", lambda x: x.cue_index))
+    found = found.withColumn("n_words", F.size("w").cast("long")).withColumn("source_text", text).withColumn("source_cues", cues)
+    return _described(found, number, clip, prefix)
+
+
+def _described(found: DataFrame, number: Column, clip: tuple[int, int] | None, prefix: str) -> DataFrame:
     crosses = [(F.col("low") < F.lit(c)) & (F.col("high") > F.lit(c)) if clip else F.lit(False) for c in clip or (0, 0)]
     kind = F.when(~F.col("intersects_clip"), "padding_only").when(crosses[0], "crosses_clip_start").when(crosses[1], "crosses_clip_end").otherwise("inside_clip")
     return found.select(
-        "video_id", F.format_string(prefix + "%03d", number).alias("unit_id"), number.cast("long").alias("unit_no"), "unit_pos", F.size("w").cast("long").alias("n_words"),
-        F.array_join(F.transform("w", lambda x: x.text), " ").alias("source_text"), "start_ms", "end_ms",
-        F.array_distinct(F.transform("w", lambda x: x.cue_index)).alias("source_cues"), kind.alias("boundary_type"),
+        "video_id", F.format_string(prefix + "%03d", number).alias("unit_id"), number.cast("long").alias("unit_no"), "unit_pos", "n_words",
+        "source_text", "start_ms", "end_ms", "source_cues", kind.alias("boundary_type"),
         (~F.col("intersects_clip")).alias("is_padding_only"), crosses[0].alias("crosses_clip_start"), crosses[1].alias("crosses_clip_end"), "intersects_clip", "forced",
     )
 
@@ -330,23 +491,51 @@ def invalid_words(active: DataFrame) -> DataFrame:
     return active.filter("token_start >= token_end").select("video_id", "token_id", reason.alias("reason"))
 
 
+def word_runs(active: DataFrame) -> DataFrame:
+    """video_id, cue_index, start, end: the words that stay as runs of neighbouring places in one cue."""
+    own = Window.partitionBy("video_id", "cue_index").orderBy("pos")
+    runs = active.select("video_id", "cue_index", "pos").withColumn("run", F.col("pos") - F.dense_rank().over(own))
+    return runs.groupBy("video_id", "cue_index", "run").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end")).drop("run")
+
+
 def invalid_units(made: DataFrame, of_spans: DataFrame, active: DataFrame) -> DataFrame:
-    """What is wrong with units: times, their order, spans that leave the words, words in no or several units or of another cue."""
+    """What is wrong with units: times, their order, spans that leave the words, words in no or several units or of another cue.
+
+    ``active`` is the words that stay, or their ``word_runs``. Spans and runs are compared as ranges, not word by word.
+    """
     order = Window.partitionBy("video_id").orderBy("unit_pos")
     lag = lambda c: F.lag(c).over(order)
     checked = made.select(
         "video_id", "unit_pos",
         F.when(F.col("start_ms") >= F.col("end_ms"), "invalid timing").when((F.col("start_ms") < lag("start_ms")) | (F.col("end_ms") < lag("end_ms")), "non-monotonic unit order").alias("reason"),
     )
-    words = active.select("video_id", "pos", F.col("cue_index").alias("own_cue"))
-    sizes = words.groupBy("video_id").agg((F.max("pos") + 1).alias("n"))
-    outside = of_spans.join(sizes, "video_id", "left").filter("start < 0 or end > coalesce(n, 0) or start >= end").select("video_id", "unit_pos", F.lit("invalid span").alias("reason"))
-    covered = of_spans.filter("start < end").select("video_id", "unit_pos", "cue_index", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"))
-    strange = covered.join(words, ["video_id", "pos"]).filter("cue_index <> own_cue").select("video_id", "unit_pos", F.lit("span of another cue").alias("reason")).distinct()
-    times = covered.groupBy("video_id", "pos").agg(F.count("*").alias("times"))
-    lost = words.join(times, ["video_id", "pos"], "left").filter("coalesce(times, 0) <> 1")
-    lost = lost.groupBy("video_id").agg(F.max(F.coalesce("times", F.lit(0))).alias("most")).select("video_id", F.lit(None).cast("long").alias("unit_pos"), F.when(F.col("most") > 1, "duplicate assignment").otherwise("missing coverage").alias("reason"))
-    return checked.filter("reason is not null").union(outside).union(strange).union(lost)
+    runs = (active if "end" in active.columns else word_runs(active)).select("video_id", "cue_index", "start", "end").filter("start < end")
+    of_spans = of_spans.select("video_id", "unit_pos", "cue_index", "start", "end")
+    # strange: ranges that meet in a block of places
+    blocks = F.explode(F.sequence(F.floor(F.col("start") / 64), F.floor((F.col("end") - 1) / 64))).alias("block")
+    held = runs.select("video_id", F.col("cue_index").alias("own_cue"), F.col("start").alias("own_start"), F.col("end").alias("own_end"), blocks)
+    met = of_spans.filter("start < end").select("*", blocks).join(held, ["video_id", "block"]).filter("start < own_end and own_start < end and cue_index <> own_cue")
+    strange = met.select("video_id", "unit_pos", F.lit("span of another cue").alias("reason")).distinct()
+    # each end of a range changes how many spans and runs lie over what follows; nothing else does
+    ends = F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("step")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("step")))).alias("e")
+    all_ends = of_spans.select("video_id", F.lit(True).alias("is_span"), "unit_pos", "start", "end", ends).union(runs.select("video_id", F.lit(False), F.lit(None).cast("long"), "start", "end", ends))
+    all_ends = all_ends.select("video_id", "is_span", "unit_pos", "start", "end", "e.*")
+    video = Window.partitionBy("video_id")
+    upto = video.orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    depth = lambda test: F.coalesce(F.sum(F.when(test, F.col("step"))).over(upto), F.lit(0))
+    swept = all_ends.select(
+        "*", depth(F.col("is_span") & (F.col("start") < F.col("end"))).alias("units"), depth(~F.col("is_span")).alias("words"),
+        F.coalesce(F.max(F.when(~F.col("is_span"), F.col("end"))).over(video), F.lit(0)).alias("n"), F.row_number().over(video.orderBy("at")).alias("nth"),
+    )
+    most = F.max(F.when((F.col("words") > 0) & (F.col("units") != 1), F.col("units"))).over(video)
+    outside = F.col("is_span") & (F.col("step") > 0) & ((F.col("start") < 0) | (F.col("end") > F.col("n")) | (F.col("start") >= F.col("end")))
+    lost = F.when(F.col("most") > 1, "duplicate assignment").otherwise("missing coverage")
+    found = F.array(
+        F.when(outside, F.struct(F.col("unit_pos").alias("unit_pos"), F.lit("invalid span").alias("reason"))),
+        F.when((F.col("nth") == 1) & F.col("most").isNotNull(), F.struct(F.lit(None).cast("long").alias("unit_pos"), lost.alias("reason"))),
+    )
+    told = swept.withColumn("most", most).select("video_id", F.explode_outer(F.filter(found, lambda x: x.isNotNull())).alias("f")).filter("f is not null").select("video_id", "f.*")
+    return checked.filter("reason is not null").union(strange).union(told)
 
 
 def warnings_of(rows: DataFrame, cut: DataFrame, made: DataFrame) -> DataFrame:

@@ -75,8 +75,12 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.token_table(units.tokenized(flagged(spark, sf_dir), "srt", single_file=True))
 
 
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units.segments(flagged(spark, sf_dir), "srt", single_file=True)
+
+
 def segment_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = units.units(units.units_of(words(spark, sf_dir).filter("pos is not null")), CLIP)
+    made = units.segment_table(segments(spark, sf_dir), CLIP)
     return made.withColumn("source_cues", F.array_join(F.transform("source_cues", lambda x: x.cast("string")), ",")).drop("unit_pos")
 
 
