@@ -106,10 +106,7 @@ def words_without_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segmentation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = units.tokenized(flagged(spark, sf_dir), "srt", single_file=True)
-    cut, every = units.trimmed(rows), units.token_table(rows)
-    made = units.units(units.units_of(every.filter("pos is not null")), CLIP)
-    return units.stats(rows, cut, every, made, units.warnings_of(rows, cut, made))
+    return units.segment_stats(segments(spark, sf_dir))
 
 
 def strong_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
