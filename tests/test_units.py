@@ -188,7 +188,7 @@ def test_one_pass_over_cues_gives_what_tables_of_words_give(spark, kind):
     assert {tuple(r) for r in told.collect() if r.reason in ("duplicate assignment", "missing coverage", "span of another cue")} == plain
 
 
-@pytest.mark.parametrize("name", ["segment_units", "segmentation_stats", "unit_coverage_check"])
+@pytest.mark.parametrize("name", ["segment_units", "segmentation_stats", "unit_coverage_check", "unit_spans"])
 def test_words_are_never_sent(spark, name):
     from tidecue.plans import catalog
 

@@ -85,7 +85,7 @@ def segment_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unit_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return units.spans(units.units_of(words(spark, sf_dir).filter("pos is not null"))).drop("run")
+    return units.segment_spans(segments(spark, sf_dir)).drop("unit_no")
 
 
 def coverage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
