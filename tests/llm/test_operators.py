@@ -425,3 +425,26 @@ def test_rows_without_a_doc_id_keep_their_lines(spark):
     df = spark.createDataFrame([(None, text), (None, text), (1, text), (2, text)], "doc_id long, text string")
     got = sorted((str(r["doc_id"]), r["n_lines"], r["n_removed"]) for r in rows(linededup.dedup_lines(df)))
     assert got == [("1", 3, 0), ("2", 3, 3), ("None", 3, 0), ("None", 3, 0)]
+
+
+def test_components_join_nothing_and_hold_few_shuffles(spark):
+    pick = random.Random(3)
+    links = [(pick.randrange(400), pick.randrange(400)) for _ in range(260)]
+    edges = spark.createDataFrame([(a, b) for a, b in links if a != b], "u long, v long")
+    for plan in (x._jdf.queryExecution().executedPlan().toString() for x in (components._large(edges), components._small(edges))):
+        assert "Join" not in plan and plan.count("Exchange hashpartitioning") <= 2
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    got = {r.u: r.root for r in components.components(edges).collect()}
+    assert spark.conf.get("spark.sql.adaptive.enabled") == before
+    root = list(range(400))
+    for _ in range(400):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    assert {v: root[v] for a, b in links if a != b for v in (a, b) if root[v] != v} == got
+
+
+def test_near_dedup_sends_no_table_to_all(spark):
+    pairs = spark.createDataFrame([(1, 2)], "a long, b long")
+    sets = spark.createDataFrame([(v, jaccard.shingles(f"one two three four five six {v}").tobytes()) for v in (1, 2)], "v long, hashes binary")
+    for x in (jaccard._attached(pairs, "a", sets), jaccard.shared_counts(sets)):
+        assert "Broadcast" not in x._jdf.queryExecution().executedPlan().toString()

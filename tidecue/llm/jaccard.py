@@ -111,7 +111,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     # a row that is repeated often lies in many partitions of the input, and is spread by them
     texts = _named(docs, text_or_empty().alias("text"), F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"))
-    found = texts.join(wanted.select("*", _salts()), ["k1", "k2", "salt"]).groupBy("v").agg(F.min("text").alias("text"))
+    found = texts.join(wanted.select("*", _salts()).hint("merge"), ["k1", "k2", "salt"]).groupBy("v").agg(F.min("text").alias("text"))
     return found.select("v", "text").mapInArrow(run, "v long, hashes binary")
 
 
@@ -126,10 +126,10 @@ def _salts() -> Column:
 def _attached(pairs: DataFrame, side: str, sets: DataFrame) -> DataFrame:
     """``pairs`` with the shingles of the vertex in column ``side``, in several places where it has many pairs."""
     parts = pairs.groupBy(F.col(side).alias("v")).agg(F.ceil(F.count("*") / _PAIRS).cast("int").alias("parts"))
-    dealt = pairs.withColumn("salt", _salt("a", "b")).join(parts.select(F.col("v").alias(side), "parts", _salts()), [side, "salt"])
+    dealt = pairs.withColumn("salt", _salt("a", "b")).join(parts.select(F.col("v").alias(side), "parts", _salts()).hint("merge"), [side, "salt"])
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("b", "a"), F.col("parts")).cast("int")).drop("salt", "parts")
-    placed = sets.join(parts, "v").select(F.col("v").alias(side), F.col("hashes").alias(f"of_{side}"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return dealt.join(placed, [side, "part"]).drop("part")
+    placed = sets.join(parts.hint("merge"), "v").select(F.col("v").alias(side), F.col("hashes").alias(f"of_{side}"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return dealt.join(placed.hint("merge"), [side, "part"]).drop("part")
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def shared_counts(sets: DataFrame) -> DataFrame:
 
     held = sets.select("v", "hashes").mapInArrow(run, "v long, h long").groupBy("h").agg(F.min("v").alias("v"), F.count("*").alias("times"))
     alone = held.filter("times = 1").groupBy("v").agg(F.count("*").alias("alone"))
-    return sets.select("v", (F.octet_length("hashes") / 8).cast("long").alias("n")).join(alone, "v", "left").select("v", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("c"))
+    return sets.select("v", (F.octet_length("hashes") / 8).cast("long").alias("n")).join(alone.hint("merge"), "v", "left").select("v", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("c"))
 
 
 def _allowed(n: Column, c: Column, m: Column, d: Column) -> Column:
@@ -189,10 +189,10 @@ def _allowed(n: Column, c: Column, m: Column, d: Column) -> Column:
 def _by_prints(vertices: DataFrame) -> DataFrame:
     """Candidate pairs (a, b) of the trie self-join: vertices of one fingerprint, and the least ones of linked fingerprints."""
     leaves = vertices.groupBy("fp").agg(F.min("v").alias("first"), F.count("*").alias("size"))
-    own = vertices.select("v", "fp").join(leaves.filter("size > 1").select("fp", "first"), "fp").filter("v <> first").select(F.col("v").alias("a"), F.col("first").alias("b"))
+    own = vertices.select("v", "fp").join(leaves.filter("size > 1").select("fp", "first").hint("merge"), "fp").filter("v <> first").select(F.col("v").alias("a"), F.col("first").alias("b"))
     found = near_links(leaves.select("fp"), budget=BUDGET)
     of = lambda side, name: leaves.select(F.col("fp").alias(side), F.col("first").alias(name))
-    return own.union(found.join(of("u", "a"), "u").join(of("v", "b"), "v").select("a", "b"))
+    return own.union(found.join(of("u", "a").hint("merge"), "u").join(of("v", "b").hint("merge"), "v").select("a", "b"))
 
 
 def kept_rows(docs: DataFrame) -> DataFrame:
@@ -205,41 +205,41 @@ def kept_rows(docs: DataFrame) -> DataFrame:
     vertices = materialize(rows.groupBy("v").agg(least, F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys")), "vertices")
     entries = vertices.select("v", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key", _salts())
-    found = materialize(entries.withColumn("salt", _salt("v")).join(shared, ["key", "salt"]).select("key", "v"), "buckets")
+    found = materialize(entries.withColumn("salt", _salt("v")).join(shared.hint("merge"), ["key", "salt"]).select("key", "v"), "buckets")
     by_prints = materialize(_by_prints(vertices), "print-pairs")  # used three times
     used = found.select("v").union(by_prints.select("a")).union(by_prints.select("b")).distinct()
-    sets = materialize(_sets(docs, vertices.select("v", "least.k1", "least.k2").join(used, "v", "left_semi")), "shingles")
+    sets = materialize(_sets(docs, vertices.select("v", "least.k1", "least.k2").join(used.hint("merge"), "v", "left_semi")), "shingles")
     alive = materialize(shared_counts(sets).filter(F.col("c") * UNDER >= F.col("n") * OVER), "candidates")
-    sets = sets.join(alive.select("v"), "v", "left_semi")
-    members = found.join(alive, "v").select("key", "v", "n", "c")
+    sets = sets.join(alive.select("v").hint("merge"), "v", "left_semi")
+    members = found.join(alive.hint("merge"), "v").select("key", "v", "n", "c")
     center = F.max_by(F.struct("v", "n", "c"), F.struct(F.col("c") / F.col("n"), -F.col("v"))).alias("first")
     centers = members.groupBy("key").agg(center, F.count("*").alias("size")).filter("size > 1").select("key", "first", _salts())
-    members = members.withColumn("salt", _salt("v")).join(centers, ["key", "salt"]).select("v", "first")
+    members = members.withColumn("salt", _salt("v")).join(centers.hint("merge"), ["key", "salt"]).select("v", "first")
     stars = materialize(members.filter("v <> first.v").select(F.col("v").alias("a"), F.col("first.v").alias("b")).distinct(), "stars-of-buckets")
     to_centers = _overlaps(stars, sets)
     of = lambda side, n, c: alive.withColumnsRenamed({"v": side, "n": n, "c": c})
-    checked = by_prints.join(of("a", "n", "c"), "a").join(of("b", "m", "d"), "b").filter(_allowed(*map(F.col, "ncmd"))).select("a", "b").distinct()
+    checked = by_prints.join(of("a", "n", "c").hint("merge"), "a").join(of("b", "m", "d").hint("merge"), "b").filter(_allowed(*map(F.col, "ncmd"))).select("a", "b").distinct()
     links = _links(to_centers).union(_links(_overlaps(checked, sets)))
     # What can still join two groups: pairs around one center of which not both are linked to it. Such a pair shares at most the lesser
     # of what both share with the center, and what both hold outside of it: found by those shingles, which are rare.
     linked = UNDER * F.col("both") >= OVER * (F.col("n") + F.col("m") - F.col("both"))
     around = to_centers.select(F.col("a").alias("v"), F.col("b").alias("center"), "n", "both", linked.alias("linked"))
     mixed = around.groupBy("center").agg(F.count("*").alias("size"), F.bool_and("linked").alias("whole")).filter("size > 1 and not whole").select("center")
-    around = materialize(around.join(mixed, "center", "left_semi"), "around")
+    around = materialize(around.join(mixed.hint("merge"), "center", "left_semi"), "around")
     other = around.select("center", F.col("v").alias("b"), F.col("n").alias("m"), F.col("both").alias("d"), F.col("linked").alias("too"))
     one = around.withColumnRenamed("v", "a")
     whole = lambda shared: (OVER + UNDER) * (F.least("both", "d") + shared) >= OVER * (F.col("n") + F.col("m"))
     by_size = (UNDER * F.least("n", "m") >= OVER * F.greatest("n", "m")) & F.expr("a < b and not (linked and too)")
     # without a shingle outside, both must share enough with the center: those that do are linked to it, unless sizes differ
     near = (OVER + UNDER) * F.col("both") >= 2 * OVER * F.col("n") * OVER / UNDER
-    inner = one.filter(near).withColumn("salt", _salt("a")).join(other.withColumn("salt", _salts()), ["center", "salt"]).filter(by_size & whole(F.lit(0))).select("a", "b")
+    inner = one.filter(near).withColumn("salt", _salt("a")).join(other.withColumn("salt", _salts()).hint("merge"), ["center", "salt"]).filter(by_size & whole(F.lit(0))).select("a", "b")
     outside = _outside(around, sets)
     several = outside.groupBy("center", "h").agg(F.count("*").alias("times")).filter("times > 1").select("center", "h")
-    held = outside.join(several, ["center", "h"])
-    met = held.withColumnRenamed("v", "a").join(held.withColumnRenamed("v", "b"), ["center", "h"]).filter("a < b").groupBy("center", "a", "b").agg(F.count("*").alias("outside"))
-    outer = met.join(one, ["center", "a"]).join(other, ["center", "b"]).filter(by_size & whole(F.col("outside"))).select("a", "b")
+    held = outside.join(several.hint("merge"), ["center", "h"])
+    met = held.withColumnRenamed("v", "a").join(held.withColumnRenamed("v", "b").hint("merge"), ["center", "h"]).filter("a < b").groupBy("center", "a", "b").agg(F.count("*").alias("outside"))
+    outer = met.join(one.hint("merge"), ["center", "a"]).join(other.hint("merge"), ["center", "b"]).filter(by_size & whole(F.col("outside"))).select("a", "b")
     links = links.union(_links(_overlaps(materialize(inner.union(outer).distinct(), "pairs"), sets)))
-    placed = vertices.select("v", "least").join(components(links).withColumnRenamed("u", "v"), "v", "left")
+    placed = vertices.select("v", "least").join(components(links).withColumnRenamed("u", "v").hint("merge"), "v", "left")
     return placed.groupBy(F.coalesce("root", "v").alias("root")).agg(F.min("least").alias("least")).select("least.k1", "least.k2")
 
 
@@ -252,4 +252,4 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     kept = materialize(kept_rows(docs), "kept")
     apart = _named(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     # repeated rows are taken together before they are sent anywhere
-    return apart.groupBy("k1", "k2").agg(F.first("row").alias("row")).join(kept, ["k1", "k2"], "left_semi").select("row.*")
+    return apart.groupBy("k1", "k2").agg(F.first("row").alias("row")).join(kept.hint("merge"), ["k1", "k2"], "left_semi").select("row.*")
