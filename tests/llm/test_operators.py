@@ -448,3 +448,24 @@ def test_near_dedup_sends_no_table_to_all(spark):
     sets = spark.createDataFrame([(v, jaccard.shingles(f"one two three four five six {v}").tobytes()) for v in (1, 2)], "v long, hashes binary")
     for x in (jaccard._attached(pairs, "a", sets), jaccard.shared_counts(sets)):
         assert "Broadcast" not in x._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_texts_are_projected_in_slices(spark):
+    import tracemalloc
+
+    items = [(i, " ".join(f"w{i * 30 + k}" for k in range(30))) for i in range(300)]
+    block = decontam.block_of(items)
+    decontam.fit(spark, block, np.ones(len(block.vocabulary), np.int64), 1000)
+    text = " ".join(" ".join([*items[i % 300][1].split(), *items[i % 299][1].split()[:20]]) for i in range(4000))
+    ids = next(decontam._ids_of(decontam.pa.array([text]), block.vocabulary))
+    tracemalloc.start()
+    got = decontam.search_ids(ids, block)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [k for k, *_ in got] == list(range(300)) and all(x == 1.0 for _, _, x, _ in got)
+    assert peak < 120 << 20
+    batch = decontam.pa.array(["none of it " * 2000] * 5000)
+    before = decontam.pa.total_allocated_bytes()
+    next(iter(found := decontam._ids_of(batch, block.vocabulary)))
+    assert decontam.pa.total_allocated_bytes() - before < batch.nbytes / 2
+    assert sum(1 for _ in found) == 4999

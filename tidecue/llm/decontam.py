@@ -43,6 +43,9 @@ WHOLE = 0.95
 ITEMS_IN_BLOCK = 4096
 _EDGE = ".,;:!?\"'()[]{}«»“”„¿¡…*_#$%&|"
 _CACHE = 100_000
+#: Texts whose words, and windows whose projections, are held at once.
+SLICE = 512
+WINDOWS = 1024
 
 
 #: White space beyond ASCII, and letters of scripts that are written without it, each of which is a word.
@@ -127,13 +130,14 @@ def _ids_of(texts: pa.Array, vocabulary: dict[str, int]) -> Iterator[np.ndarray]
     if kept is None or kept[0] is not vocabulary:
         _IDS.clear()
         kept = _IDS[id(vocabulary)] = (vocabulary, _Ids(vocabulary))
-    words = pc.ascii_split_whitespace(spaced(texts))
-    coded = words.flatten().dictionary_encode()
-    ids = np.fromiter(map(kept[1].__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)), np.int32, len(coded.dictionary))[coded.indices.to_numpy()]
-    at = words.offsets.to_numpy()
-    for lo, hi in zip(at[:-1] - at[0], at[1:] - at[0], strict=True):
-        own = ids[lo:hi]
-        yield own[own != -2]
+    for first in range(0, len(texts), SLICE):
+        words = pc.ascii_split_whitespace(spaced(texts.slice(first, SLICE)))
+        coded = words.flatten().dictionary_encode()
+        ids = np.fromiter(map(kept[1].__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)), np.int32, len(coded.dictionary))[coded.indices.to_numpy()]
+        at = words.offsets.to_numpy()
+        for lo, hi in zip(at[:-1] - at[0], at[1:] - at[0], strict=True):
+            own = ids[lo:hi]
+            yield own[own != -2]
 
 
 def _terms_by_run(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -252,20 +256,22 @@ def search_ids(ids: np.ndarray, block: Block, *, cosine: float = COSINE) -> list
     open_windows = np.flatnonzero((2 * (energy[:-1] + energy[1:]) >= cosine**2 * block.floor) & (most[:-1] + most[1:] >= 0.999 * CONTAINS))
     if not len(open_windows):
         return []
-    used = np.zeros(runs + 1, bool)
-    used[open_windows] = used[open_windows + 1] = True
-    rows = used[run]
-    run, term = run[rows], term[rows]
-    latent = np.zeros((runs + 1, block.basis.shape[1]), np.float32)
-    starts = np.flatnonzero(np.r_[True, np.diff(run) != 0])
-    latent[run[starts]] = np.add.reduceat(block.weighted.take(term, axis=0), starts, axis=0)
-    rows_of = latent[open_windows] + latent[open_windows + 1]
-    along = rows_of @ block.queries
-    lengths = np.linalg.norm(rows_of, axis=1).clip(1e-6)
-    found: dict[int, list[tuple[int, float]]] = {}
-    for i, j in zip(*np.nonzero(along >= CONTAINS * block.norms), strict=True):
-        if (score := float(along[i, j] / lengths[i])) >= cosine:
-            found.setdefault(block.passages[j][0], []).append((int(open_windows[i]), score, int(j)))
+    found: dict[int, list[tuple[int, float, int]]] = {}
+    for first in range(0, len(open_windows), WINDOWS):
+        own = open_windows[first : first + WINDOWS]
+        used = np.unique(np.r_[own, own + 1])
+        begins, ends = np.searchsorted(run, used), np.searchsorted(run, used, side="right")
+        sizes = ends - begins
+        rows = np.repeat(begins - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        latent = np.zeros((len(used), block.basis.shape[1]), np.float32)
+        held = sizes > 0
+        latent[held] = np.add.reduceat(block.weighted.take(term[rows], axis=0), (np.cumsum(sizes) - sizes)[held], axis=0)
+        rows_of = latent[np.searchsorted(used, own)] + latent[np.searchsorted(used, own + 1)]
+        along = rows_of @ block.queries
+        lengths = np.linalg.norm(rows_of, axis=1).clip(1e-6)
+        for i, j in zip(*np.nonzero(along >= CONTAINS * block.norms), strict=True):
+            if (score := float(along[i, j] / lengths[i])) >= cosine:
+                found.setdefault(block.passages[j][0], []).append((int(own[i]), score, int(j)))
     out = []
     for k, windows in sorted(found.items()):
         item = block.items[k]
