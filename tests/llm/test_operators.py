@@ -469,3 +469,24 @@ def test_long_texts_are_projected_in_slices(spark):
     next(iter(found := decontam._ids_of(batch, block.vocabulary)))
     assert decontam.pa.total_allocated_bytes() - before < batch.nbytes / 2
     assert sum(1 for _ in found) == 4999
+
+
+@pytest.mark.parametrize("scale", [1.0, 200.0])
+def test_softmax_and_gradient_against_a_plain_reading(scale):
+    draw = np.random.default_rng(4)
+    weights, bias = (draw.standard_normal((64, 32)) * scale).astype(np.float32), draw.standard_normal(32).astype(np.float32)
+    rows, outcomes = draw.integers(0, 64, (500, 4)).astype(np.int32), draw.integers(0, 32, 500)
+    z = weights.astype(float)[rows].sum(axis=1) + bias
+    z -= z.max(axis=1, keepdims=True)
+    plain = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    assert np.allclose(lmscore.log_prob(weights, bias, rows, outcomes), plain[np.arange(500), outcomes], rtol=1e-4, atol=1e-4)
+    shares = lmscore.probs(weights, bias, rows)
+    assert np.allclose(shares, np.exp(plain), atol=1e-4)
+    seen, expected = np.zeros((2, 32, 64))
+    lmscore.add_gradient(seen, expected, shares, rows, outcomes)
+    want, happened = np.zeros((2, 64, 32))
+    for r, p, y in zip(rows, shares, outcomes, strict=True):
+        for b in r:
+            want[b] += p
+            happened[b, y] += 1
+    assert np.allclose(expected.T, want, atol=1e-6) and (seen.T == happened).all()

@@ -225,23 +225,46 @@ def buckets(mixed: np.ndarray, bits: int, classes: np.ndarray | None = None) ->
     return (mixed >> np.uint64(64 - bits)).astype(np.int32)
 
 
-def log_probs(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Natural log of the softmax over the outcomes for each row of features."""
+#: Exponentials up to this, and sums of them, are ordinary 32-bit numbers.
+_SAFE = 60.0
+
+
+def _raised(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The sum of each row's weights over the outcomes, moved where an exponential could leave the range of 32 bits."""
     z = weights.take(rows[:, 0], axis=0)
     for k in range(1, rows.shape[1]):
         z += weights.take(rows[:, k], axis=0)
     z += bias
-    z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z) @ np.ones(z.shape[1], np.float32))[:, None]
+    if len(z) and max(z.max(), -z.min()) > _SAFE:
+        z -= z.max(axis=1, keepdims=True)
+    return z
+
+
+def probs(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The softmax over the outcomes for each row of features."""
+    z = _raised(weights, bias, rows)
+    np.exp(z, out=z)
+    z /= (z @ np.ones(z.shape[1], np.float32))[:, None]
+    return z
+
+
+def log_prob(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, outcomes: np.ndarray) -> np.ndarray:
+    """Natural log of one outcome's share for each row of features."""
+    z = _raised(weights, bias, rows)
+    own = z[np.arange(len(z)), outcomes]
+    np.exp(z, out=z)
+    return own - np.log(z @ np.ones(z.shape[1], np.float32))
 
 
-def add_gradient(seen: np.ndarray, expected: np.ndarray, logs: np.ndarray, rows: np.ndarray, outcomes: np.ndarray) -> None:
-    """Adds what happened and what the model expected, by bucket and outcome; their difference is the gradient."""
+def add_gradient(seen: np.ndarray, expected: np.ndarray, shares: np.ndarray, rows: np.ndarray, outcomes: np.ndarray) -> None:
+    """Adds what happened and what the model expected (``shares``), by bucket and outcome; their difference is the gradient."""
     size, width = expected.shape[1], len(expected)
     flat = rows.ravel(order="F").astype(np.int64)
-    for k, own in enumerate(np.ascontiguousarray(np.exp(logs).T, np.float64)):
-        expected[k] += np.bincount(flat, np.tile(own, rows.shape[1]), size)
-    seen += np.bincount(np.tile(outcomes, rows.shape[1]) * size + flat, minlength=width * size).reshape(width, size)
+    by_feature = flat.reshape(rows.shape[1], -1)
+    for k, own in enumerate(np.ascontiguousarray(shares.T, np.float64)):
+        for at in by_feature:
+            expected[k] += np.bincount(at, own, size)
+    np.add.at(seen.reshape(-1), np.tile(outcomes, rows.shape[1]) * size + flat, 1.0)
 
 
 _READY = ("doc_ids", "held", "shares", "lengths", "ids", "hashes", "kinds", "c")
@@ -288,9 +311,9 @@ def _round(chunks: DataFrame, model: Model, turn: int, rounds: int) -> None:
                         x, y = mixed[at : at + BATCH], target[at : at + BATCH]
                         k, j = y // SUBCLASSES, y % SUBCLASSES
                         rows = buckets(x, own.bits)
-                        add_gradient(*sums[0], log_probs(own.first, bias[0], rows), rows, k)
+                        add_gradient(*sums[0], probs(own.first, bias[0], rows), rows, k)
                         rows = buckets(x, own.bits, k)
-                        add_gradient(*sums[1], log_probs(own.second, bias[1][k], rows), rows, j)
+                        add_gradient(*sums[1], probs(own.second, bias[1][k], rows), rows, j)
                         any_seen = True
         if any_seen:
             parts = [np.concatenate([np.array_split(s, SLICES, axis=2)[i].ravel() for s in sums]).astype(np.float32) for i in range(SLICES)]
@@ -387,8 +410,8 @@ def token_logs(model: Model, words: np.ndarray, cells: np.ndarray, counts: np.nd
     mixed, target, out = features(words[flat], cells[flat], lengths), cells[flat], model.word_logs(cells, counts)[flat]
     for at in range(0, len(flat), BATCH):
         x, y = mixed[at : at + BATCH], target[at : at + BATCH]
-        k, j, rows = y // SUBCLASSES, y % SUBCLASSES, np.arange(len(y))
-        logs = log_probs(model.first, bias[0], buckets(x, model.bits))[rows, k] + log_probs(model.second, bias[1][k], buckets(x, model.bits, k))[rows, j]
+        k, j = y // SUBCLASSES, y % SUBCLASSES
+        logs = log_prob(model.first, bias[0], buckets(x, model.bits), k) + log_prob(model.second, bias[1][k], buckets(x, model.bits, k), j)
         out[at : at + BATCH] += logs / np.log(10)
     return out
 
