@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidecue.llm.common import discard, materialize, table, text_or_empty
+from tidecue.llm.common import discard, materialize, table, text_or_empty, tidy
 
 FOLDS, HELD_OUT = 5, 1
 CHUNK_CHARS = 8_000_000
@@ -425,8 +425,10 @@ def prepared(docs: DataFrame, *, rounds: int = ROUNDS, chunk_chars: int = CHUNK_
     word = Window.partitionBy("h")
     counted = word_rows(chunks).repartition(parts, "h").withColumn("c", F.sum("n").over(word)).withColumn("nth", F.row_number().over(word.orderBy("at")))
     counted = materialize(counted.select("at", "k", F.col("c").cast("long").alias("c"), F.when((F.col("nth") == 1) & (F.col("c") > 0), F.col("h")).alias("word")), "lm-counts")
+    tidy(spark)  # words are sent once more for ready, which need not lie beside this shuffle
     ready = materialize(chunks.drop("counts").join(packed(counted), "chunk"), "lm-ready")
     discard(chunks)  # all of it is in ready
+    tidy(spark)
     model = fitted(counted, ready, rounds=rounds)
     discard(counted)
     return ready, model
