@@ -490,3 +490,42 @@ def test_softmax_and_gradient_against_a_plain_reading(scale):
             want[b] += p
             happened[b, y] += 1
     assert np.allclose(expected.T, want, atol=1e-6) and (seen.T == happened).all()
+
+
+def test_near_copies_of_one_text_are_not_all_paired(spark, monkeypatch):
+    pick, every = random.Random(1), []
+    base = [f"w{pick.randrange(10**6)}" for _ in range(150)]
+    for i in range(240):
+        words = list(base)
+        for _ in range(pick.randrange(1, 7)):  # few words, so that copies share what the center lacks
+            words[pick.randrange(150)] = f"x{pick.randrange(4)}"
+        every.append((i, " ".join(words)))
+    sets = {i: set(zip(*(t.split()[k:] for k in range(5)))) for i, t in every}
+    root = {i: i for i in sets}
+    for a in sets:
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if g == high else g for i, g in root.items()}
+    made, written = {}, jaccard.materialize
+    monkeypatch.setattr(jaccard, "materialize", lambda df, label: made.setdefault(label, written(df, label)) if label == "pairs" else written(df, label))
+    df = spark.createDataFrame(every, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"] for r in rows(jaccard.keep_one_of_each(df))} == set(root.values()) and len(set(root.values())) > 10
+    assert made["pairs"].count() <= 20 * len(every)  # of 28,680; 9,036 before groups and prefixes were looked at
+
+
+def test_open_pairs_miss_no_link(spark):
+    pick, sets, links = random.Random(3), {}, set()
+    center = set(range(90))
+    for v in range(1, 160):
+        own = set(pick.sample(sorted(center), pick.randrange(70, 91)))
+        sets[v] = own | set(pick.sample(range(90, 120), pick.randrange(0, 25)))
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and a % 7 != b % 7:
+                links.add((a, b))
+    around = [(0, v, len(s), len(s & center), v % 7, v % 7 != 0) for v, s in sets.items()]
+    packed = [(v, np.array(sorted(s), np.uint64).tobytes()) for v, s in [(0, center), *sets.items()]]
+    schema = "center long, v long, n long, both long, root long, apart boolean"
+    got = [(r.a, r.b) for r in jaccard.open_pairs(spark.createDataFrame(around, schema), spark.createDataFrame(packed, "v long, hashes binary")).collect()]
+    assert links and links <= set(got) and len(got) == len(set(got))

@@ -8,8 +8,9 @@ miss one pair in 50,000. Every link is confirmed on the sets of shingles themsel
 Texts with one set are one vertex from the start. A shingle that no other candidate holds can't be shared, so what a set has of
 others bounds its similarity with any of them: a candidate with over a fifth of its own alone has no link, and no pair is
 looked at whose bound is below the threshold. Each member of a bucket is compared with the bucket's center first, the one with the
-least of its own; of the other pairs only those whose ends are not yet in one group are compared. So a large group of near copies
-costs a row for each member and band, while no pair that could join two groups is left out. Hot buckets and vertices are salted.
+least of its own; of the other pairs only those whose ends are not yet in one group are compared, and found by what either has to
+share beyond the center (``open_pairs``). So a large group of near copies costs a row for each member and band, and for each of the
+rarest shingles that a member has beside its center; no pair that could join two groups is left out. Hot buckets and vertices are salted.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecue.llm.common import materialize, text_or_empty
@@ -35,6 +36,8 @@ BUDGET = 3
 #: Texts that are read into sets together.
 SLICE = 512
 SALTS = 16
+#: Sizes of one class differ by this factor at most, about.
+STEP = 1.03
 #: Pairs of one vertex that are compared in one place.
 _PAIRS = 64
 _BLOCK = 2048
@@ -150,19 +153,88 @@ def _links(overlaps: DataFrame) -> DataFrame:
     return overlaps.filter(similar).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _outside(open_rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """center, v, h: the shingles of each of ``open_rows`` (center, v) that the center lacks."""
+def _outside(around: DataFrame, sets: DataFrame) -> DataFrame:
+    """center, v, n, both, root, size, h: the ``size`` shingles of each row of ``around`` that the center lacks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["center", "v", "n", "both", "root"]
         for batch in batches:
-            for v, center, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            for *row, x, y in zip(*(batch.column(i).to_pylist() for i in range(5)), batch.column(5), batch.column(6), strict=True):
                 own = np.setdiff1d(np.frombuffer(x.as_py(), np.int64), np.frombuffer(y.as_py(), np.int64), assume_unique=True)
                 if len(own):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), center)), pa.array(np.full(len(own), v)), pa.array(own)], names=["center", "v", "h"])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(own), x)) for x in (*row, len(own))), pa.array(own)], names=[*names, "size", "h"])
+
+    pairs = around.select(F.col("v").alias("a"), F.col("center").alias("b"), "n", "both", "root")
+    sided = _attached(_attached(pairs, "a", sets), "b", sets).select("b", "a", "n", "both", "root", "of_a", "of_b")
+    return materialize(sided.mapInArrow(run, "center long, v long, n long, both long, root long, size long, h long"), "outside")
+
+
+def _around(to_centers: DataFrame, roots: DataFrame) -> DataFrame:
+    """center, v, n, both, root, apart: the members of centers whose members are not all in one group; ``apart`` from the center's."""
+    of = lambda side, name: roots.select(F.col("v").alias(side), F.col("root").alias(name))
+    named = to_centers.select(F.col("a").alias("v"), F.col("b").alias("center"), "n", "both").join(of("v", "root").hint("merge"), "v", "left")
+    own = F.coalesce("root", "v")
+    named = named.select("center", "v", "n", "both", own.alias("root")).join(of("center", "of_center").hint("merge"), "center", "left")
+    named = named.withColumn("apart", F.col("root") != F.coalesce("of_center", "center")).drop("of_center")
+    mixed = named.groupBy("center").agg(F.count("*").alias("times"), F.min("root").alias("least"), F.max("root").alias("most")).filter("times > 1 and least <> most").select("center")
+    return materialize(named.join(mixed.hint("merge"), "center", "left_semi"), "around")
+
+
+def _class(n: Column) -> Column:
+    return F.floor(F.log(n) / float(np.log(STEP))).cast("int")
+
+
+def _least_of(k: Column) -> Column:
+    """No size of class ``k`` is below this."""
+    return F.floor(F.pow(F.lit(STEP), k) * (1 - 1e-9))
+
+
+def _classes(n: Column, most: Column) -> Column:
+    """The classes of sizes from the least that can be similar to ``n`` up to ``most``, one row for each."""
+    return F.explode(F.sequence(_class(_small(n)), _class(most)))
 
-    pairs = open_rows.select(F.col("v").alias("a"), F.col("center").alias("b"))
-    sided = _attached(_attached(pairs, "a", sets), "b", sets).select("a", "b", "of_a", "of_b")
-    return materialize(sided.mapInArrow(run, "center long, v long, h long"), "outside")
+
+def _small(n: Column) -> Column:
+    return F.ceil(n * OVER / UNDER)
+
+
+def _needed(n: Column, m: Column) -> Column:
+    """What sets of ``n`` and ``m`` shingles share at least if they are similar."""
+    return F.ceil((n + m) * OVER / (OVER + UNDER))
+
+
+def open_pairs(around: DataFrame, sets: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) around one center (``_around``) of different groups that may be similar.
+
+    A pair shares at most the lesser of what both share with the center, and what both hold outside of it. Where the first is enough,
+    both are smaller than the center or nearly so, and sizes find the pair. Else it needs a number of shingles outside. With
+    those of every member in one order, the rarest around the center first, the first that a pair shares leaves that number in both
+    (a prefix filter). Sizes are dealt into classes, so that what a pair needs is known before it is formed: the smaller is in its own
+    class and the larger in each class that it can meet, either with its prefix only.
+    """
+    n, m, both, d, k = (F.col(x) for x in ("n", "m", "both", "d", "k"))
+    other = [F.col(x).alias(y) for x, y in (("v", "w"), ("n", "m"), ("both", "d"), ("root", "other"))]
+    lowest = lambda k, n: F.greatest(_least_of(k), _small(n))
+    far = F.expr("root <> other") & (UNDER * F.least(n, m) >= OVER * F.greatest(n, m))
+    pair = [F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")]
+
+    largest = F.floor(n * UNDER / OVER)
+    one = around.filter("apart and n > 0").select("center", "v", "n", "both", "root", _class(n).alias("k"), _classes(n, largest).alias("l"))
+    two = around.filter("n > 0").select("center", "v", "n", "both", "root", _class(n).alias("l"), _classes(n, largest).alias("k"))
+    one, two = one.filter(both >= _needed(n, lowest(F.col("l"), n))), two.filter(both >= _needed(n, lowest(k, n)))
+    inner = one.join(two.select("center", "k", "l", *other).hint("merge"), ["center", "k", "l"]).filter(far & (F.least(both, d) >= _needed(n, m)))
+
+    outside = _outside(around, sets)
+    holders = outside.groupBy("center", "h").agg(F.count("*").alias("times"), (F.min("root") != F.max("root")).alias("several"))
+    order = Window.partitionBy("center", "v").orderBy("times", "h")
+    ranked = outside.join(holders.hint("merge"), ["center", "h"]).withColumn("left", F.col("size") - F.row_number().over(order) + 1)
+    ranked = materialize(ranked.filter("several").select("center", "h", "v", "n", "both", "root", "left"), "ranked")
+    within = lambda n, m, both: F.greatest(_needed(n, m) - both, F.lit(1))
+    less = ranked.withColumn("k", _class(n)).filter(F.col("left") >= within(n, n, both))
+    more = ranked.withColumn("k", _classes(n, n)).filter(F.col("left") >= within(n, lowest(k, n), both))
+    met = less.join(more.select("center", "h", "k", *other, F.col("left").alias("too")).hint("merge"), ["center", "h", "k"])
+    outer = met.filter(far & F.expr("n < m or (n = m and v < w)") & (F.least("left", "too") >= within(n, m, F.least(both, d))))
+    return inner.select(*pair).union(outer.select(*pair)).distinct()
 
 
 def shared_counts(sets: DataFrame) -> DataFrame:
@@ -220,27 +292,15 @@ def kept_rows(docs: DataFrame) -> DataFrame:
     of = lambda side, n, c: alive.withColumnsRenamed({"v": side, "n": n, "c": c})
     checked = by_prints.join(of("a", "n", "c").hint("merge"), "a").join(of("b", "m", "d").hint("merge"), "b").filter(_allowed(*map(F.col, "ncmd"))).select("a", "b").distinct()
     links = _links(to_centers).union(_links(_overlaps(checked, sets)))
-    # What can still join two groups: pairs around one center of which not both are linked to it. Such a pair shares at most the lesser
-    # of what both share with the center, and what both hold outside of it: found by those shingles, which are rare.
-    linked = UNDER * F.col("both") >= OVER * (F.col("n") + F.col("m") - F.col("both"))
-    around = to_centers.select(F.col("a").alias("v"), F.col("b").alias("center"), "n", "both", linked.alias("linked"))
-    mixed = around.groupBy("center").agg(F.count("*").alias("size"), F.bool_and("linked").alias("whole")).filter("size > 1 and not whole").select("center")
-    around = materialize(around.join(mixed.hint("merge"), "center", "left_semi"), "around")
-    other = around.select("center", F.col("v").alias("b"), F.col("n").alias("m"), F.col("both").alias("d"), F.col("linked").alias("too"))
-    one = around.withColumnRenamed("v", "a")
-    whole = lambda shared: (OVER + UNDER) * (F.least("both", "d") + shared) >= OVER * (F.col("n") + F.col("m"))
-    by_size = (UNDER * F.least("n", "m") >= OVER * F.greatest("n", "m")) & F.expr("a < b and not (linked and too)")
-    # without a shingle outside, both must share enough with the center: those that do are linked to it, unless sizes differ
-    near = (OVER + UNDER) * F.col("both") >= 2 * OVER * F.col("n") * OVER / UNDER
-    inner = one.filter(near).withColumn("salt", _salt("a")).join(other.withColumn("salt", _salts()).hint("merge"), ["center", "salt"]).filter(by_size & whole(F.lit(0))).select("a", "b")
-    outside = _outside(around, sets)
-    several = outside.groupBy("center", "h").agg(F.count("*").alias("times")).filter("times > 1").select("center", "h")
-    held = outside.join(several.hint("merge"), ["center", "h"])
-    met = held.withColumnRenamed("v", "a").join(held.withColumnRenamed("v", "b").hint("merge"), ["center", "h"]).filter("a < b").groupBy("center", "a", "b").agg(F.count("*").alias("outside"))
-    outer = met.join(one.hint("merge"), ["center", "a"]).join(other.hint("merge"), ["center", "b"]).filter(by_size & whole(F.col("outside"))).select("a", "b")
-    links = links.union(_links(_overlaps(materialize(inner.union(outer).distinct(), "pairs"), sets)))
-    placed = vertices.select("v", "least").join(components(links).withColumnRenamed("u", "v").hint("merge"), "v", "left")
-    return placed.groupBy(F.coalesce("root", "v").alias("root")).agg(F.min("least").alias("least")).select("least.k1", "least.k2")
+    # What can still join two groups: pairs around one center that the links so far leave in different groups.
+    roots = materialize(components(links).withColumnRenamed("u", "v"), "roots")
+    around = _around(to_centers, roots)
+    met = _links(_overlaps(materialize(open_pairs(around, sets), "pairs"), sets))
+    of = lambda side: roots.select(F.col("v").alias(side), F.col("root").alias(f"root_{side}"))
+    joined = met.join(of("u").hint("merge"), "u", "left").join(of("v").hint("merge"), "v", "left")
+    again = components(joined.select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v"))).select(F.col("u").alias("root"), F.col("root").alias("top"))
+    placed = vertices.select("v", "least").join(roots.hint("merge"), "v", "left").withColumn("root", F.coalesce("root", "v")).join(again.hint("merge"), "root", "left")
+    return placed.groupBy(F.coalesce("top", "root").alias("root")).agg(F.min("least").alias("least")).select("least.k1", "least.k2")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
