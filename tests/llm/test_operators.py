@@ -351,6 +351,25 @@ def test_lm_is_a_distribution_and_beats_the_base(spark):
     assert sum(r["score"] - r["base_score"] for r in held) > 0.2 * sum(r["n_tokens"] for r in held)
 
 
+def test_lm_chunks_go_as_their_counts_come(spark, monkeypatch, tmp_path):
+    pick, folder, most = random.Random(5), f"file://{tmp_path}", []
+    data = [(i, " ".join(f"w{pick.randrange(10**6)}" for _ in range(400))) for i in range(400)]
+    written = lmscore.materialize
+    on_disk = lambda: sum(f.stat().st_size for f in tmp_path.rglob("*.parquet") if "lm-counts" not in str(f))
+
+    def recorded(df, label):
+        out = written(df, label)
+        most.append(on_disk())
+        return out
+
+    monkeypatch.setattr("tidecue.llm.common.shared_dir", lambda _: folder)
+    monkeypatch.setattr(lmscore, "materialize", recorded)
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(8)
+    ready, _ = lmscore.prepared(docs, rounds=1, chunk_chars=50_000)
+    assert sorted(d for r in ready.select("doc_ids").collect() for d in r.doc_ids) == list(range(400))
+    assert max(most) < 1.6 * on_disk()  # 2.0 in one turn, with all chunks beside all of ready
+
+
 def test_lm_on_held_out_documents_of_sf001(spark):
     got = rows(lmscore.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out"))
     assert sum(r["score"] - r["base_score"] for r in got) > 0.08 * sum(r["n_tokens"] for r in got)

@@ -23,8 +23,10 @@ their partitions change the result beyond the rounding of sums.
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidecue.llm.common import discard, materialize, table, text_or_empty, tidy
+from tidecue.llm.common import delete, discard, materialize, table, text_or_empty, tidy
 
 FOLDS, HELD_OUT = 5, 1
 CHUNK_CHARS = 8_000_000
@@ -53,6 +55,8 @@ BATCH = 1 << 14
 SLICES = 16
 #: Word rows that are counted in one task, about.
 ROWS_IN_PART = 2_000_000
+#: Chunks meet the counts of their words in so many turns; what a turn has read and sent is removed before the next.
+TURNS = 4
 #: The end of a text as a word; no word holds white space.
 END = b"\n"
 _MARKS = b".,;:!?"
@@ -416,6 +420,29 @@ def token_logs(model: Model, words: np.ndarray, cells: np.ndarray, counts: np.nd
     return out
 
 
+def _lots(chunks: DataFrame) -> list[tuple[list[str], list[int]]]:
+    """The files of ``chunks`` in at most TURNS lots, and the chunks that each lot holds (the driver has a number for each chunk)."""
+    held = defaultdict(list)
+    for r in chunks.select("chunk", F.input_file_name().alias("file")).collect():
+        held[unquote(r.file)].append(r.chunk)
+    files = sorted(held)
+    return [(lot, [c for f in lot for c in held[f]]) for k in range(TURNS) if (lot := files[k::TURNS])]
+
+
+def _with_counts(chunks: DataFrame, counted: DataFrame) -> DataFrame:
+    """``chunks`` with the counts of their words, written in turns: a lot's files are deleted once it is written anew."""
+    spark, done = chunks.sparkSession, []
+    for files, names in _lots(chunks):
+        own = counted.filter(F.shiftright("at", _I_BITS).isin(names))
+        lot = spark.read.schema(chunks.schema).parquet(*files).drop("counts")
+        done.append(materialize(lot.join(packed(own), "chunk"), "lm-ready"))
+        delete(spark, files)
+        tidy(spark)
+    if not done:
+        return materialize(chunks.drop("counts").join(packed(counted), "chunk"), "lm-ready")
+    return spark.read.schema(done[0].schema).parquet(*(d._written_to for d in done))
+
+
 def prepared(docs: DataFrame, *, rounds: int = ROUNDS, chunk_chars: int = CHUNK_CHARS) -> tuple[DataFrame, Model]:
     """The chunks with the counts of their words, and the fitted model."""
     spark = docs.sparkSession
@@ -426,7 +453,7 @@ def prepared(docs: DataFrame, *, rounds: int = ROUNDS, chunk_chars: int = CHUNK_
     counted = word_rows(chunks).repartition(parts, "h").withColumn("c", F.sum("n").over(word)).withColumn("nth", F.row_number().over(word.orderBy("at")))
     counted = materialize(counted.select("at", "k", F.col("c").cast("long").alias("c"), F.when((F.col("nth") == 1) & (F.col("c") > 0), F.col("h")).alias("word")), "lm-counts")
     tidy(spark)  # words are sent once more for ready, which need not lie beside this shuffle
-    ready = materialize(chunks.drop("counts").join(packed(counted), "chunk"), "lm-ready")
+    ready = _with_counts(chunks, counted)
     discard(chunks)  # all of it is in ready
     tidy(spark)
     model = fitted(counted, ready, rounds=rounds)
