@@ -548,3 +548,13 @@ def test_open_pairs_miss_no_link(spark):
     schema = "center long, v long, n long, both long, root long, apart boolean"
     got = [(r.a, r.b) for r in jaccard.open_pairs(spark.createDataFrame(around, schema), spark.createDataFrame(packed, "v long, hashes binary")).collect()]
     assert links and links <= set(got) and len(got) == len(set(got))
+
+
+def test_the_driver_returns_what_it_freed(spark, docs, monkeypatch):
+    from tidecue.llm import common
+
+    assert common.trim(spark)
+    times = []
+    monkeypatch.setattr(common, "trim", lambda _: times.append(1))
+    sharding.kd_tree(sharding.described(docs))
+    assert len(times) == 4  # once for each level, whose plans write no table

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidecue.llm.common import materialize, table, text_or_empty
+from tidecue.llm.common import materialize, table, text_or_empty, tidy
 
 N_SHARDS = 16
 #: How far a cut may be off its median, as a share of one shard's bytes, to keep equal texts together.
@@ -128,6 +128,7 @@ def kd_tree(base: DataFrame, *, n_shards: int = N_SHARDS, slack: float = SLACK)
             cuts.append(Cut(n, dim[n], value, place, leaves[n] // 2, leaves[n] - leaves[n] // 2))
             leaves |= {2 * n: leaves[n] // 2, 2 * n + 1: leaves[n] - leaves[n] // 2}
             del leaves[n]
+        tidy(base.sparkSession)  # a level is a dozen plans and writes no table
     for k, n in enumerate(sorted(leaves, key=lambda n: bin(n))):
         shards[n] = k
     return cuts, shards
