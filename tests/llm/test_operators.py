@@ -558,3 +558,11 @@ def test_the_driver_returns_what_it_freed(spark, docs, monkeypatch):
     monkeypatch.setattr(common, "trim", lambda _: times.append(1))
     sharding.kd_tree(sharding.described(docs))
     assert len(times) == 4  # once for each level, whose plans write no table
+
+
+def test_an_article_keeps_what_its_host_repeats(spark):
+    line = "these nine words are an advert on other pages"
+    page = "<body><div class='ad'>{}</div><article><p>own story {}</p><p>{}</p></article></body>"
+    data = [(i, f"http://a.example/{i}", page.format(line if i % 2 else "none", i, line)) for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in rows(html.extract(spark.createDataFrame(data, "page_id long, url string, html string")))}
+    assert got == {i: f"own story {i}\n{line}" for i in range(4)}
